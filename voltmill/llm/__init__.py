@@ -8,5 +8,5 @@ from importlib import import_module
 
 from pyspark import cloudpickle
 
-for _name in ("kernels", "quality_rules", "exact_dedup"):
+for _name in ("kernels", "quality_rules", "exact_dedup", "ngram_join"):
     cloudpickle.register_pickle_by_value(import_module(f"{__name__}.{_name}"))
