@@ -3,14 +3,17 @@
 How a link is found.  Shingles have one global order, frequent ones last and by hash within; two sets that
 meet the threshold share a shingle among the first n - ceil(t n) + 1 of each (prefix filter).  Every list of
 sets that share such a shingle is given to the bucket of its smallest set, so any linking pair meets in at
-least one bucket, while a group of near copies, which shares hundreds of shingles, fills few buckets.  In a
-bucket a signature tree is built: each node holds the OR of its sets' token bitmaps, their range of sizes
-and the least number of tokens that share bits.  A dual traversal drops pairs of nodes whose largest possible
-overlap is too small, whose sizes can't match, or whose sets are all linked to each other already; pairs of
-leaves that are left are counted exactly.
+least one bucket, while a group of near copies, which shares hundreds of shingles, fills few buckets.
 
-Buckets over UNIT_TOKENS are split into blocks: each block is joined by itself; after the components of
-these links are known, the sets outside a bucket's largest component are compared with every block.
+Each bucket's sets make a signature tree: a node holds the OR of its sets' token bitmaps, their range of
+sizes and the largest number of tokens that share bits.  A dual traversal drops pairs of nodes whose largest
+possible overlap is too small or whose sizes can't match.  The bitmaps alone first tell which sets can link
+at all; only those sets travel.  Then trees of the sets themselves find the pairs to count exactly, skipping
+nodes whose sets are linked to each other already.
+
+A set goes to one of its buckets first; after the components of those links are known, only buckets that
+still hold several components are joined in full: their largest component's sets, dealt into blocks of
+about UNIT_TOKENS, with the sets outside it, which go to every block.
 
 Defined results: a null or empty text has an empty set and is linked with nothing; a text shorter than a
 shingle counts as one shingle; equal sets link; repeated rows and equal ids are linked by their texts; a
@@ -143,15 +146,16 @@ def prefix(s: np.ndarray, heavy: np.ndarray, bits: int) -> tuple[np.ndarray, np.
 
 
 def documents_and_leaders(docs: DataFrame, heavy, bits: int) -> DataFrame:
-    """Rows (doc_id, class, n) of the documents, and rows (key, class) with the least class seen with a heavy prefix shingle."""
+    """Rows (doc_id, class, n, map) of the documents, and rows (key, class) with the least class seen with a heavy prefix shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare = heavy.value
         for batch in batches:
-            cls, n, key, least = [], [], [], []
+            cls, n, key, least, maps = [], [], [], [], []
             for s in shingle_sets(batch.column(1)):
                 cls.append(set_class(s) if len(s) else 0)
                 n.append(len(s))
+                maps.append(signature(s) if len(s) else b"")
                 _, h = prefix(s, rare, bits) if len(s) else (s, s)
                 key.append(h)
                 least.append(np.full(len(h), cls[-1], np.int64))
@@ -167,11 +171,12 @@ def documents_and_leaders(docs: DataFrame, heavy, bits: int) -> DataFrame:
                     pa.concat_arrays([pa.array(cls, pa.int64()), pa.array(c, pa.int64())]),
                     pa.concat_arrays([pa.array(n, pa.int32()), pa.nulls(w, pa.int32())]),
                     pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(k.astype(np.int64))]),
+                    pa.concat_arrays([pa.array(maps, pa.binary()), pa.nulls(w, pa.binary())]),
                 ],
-                ["doc_id", "class", "n", "key"],
+                ["doc_id", "class", "n", "key", "map"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, class long, n int, key long")
+    return docs.mapInArrow(run, "doc_id long, class long, n int, key long, map binary")
 
 
 def members(texts: DataFrame, heavy, leaders, bits: int) -> DataFrame:
@@ -243,6 +248,137 @@ def members(texts: DataFrame, heavy, leaders, bits: int) -> DataFrame:
     return blobs.groupBy("part").applyInArrow(gather, "bucket long, class long, n long").distinct()
 
 
+def signature(s: np.ndarray) -> bytes:
+    """Token bitmap of a set: one bit for each hash value modulo the first power of two from n on."""
+    bits = 1 << int(np.clip(int(len(s) - 1).bit_length(), 6, 16))
+    on = np.zeros(bits, bool)
+    on[(s & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(on, bitorder="little").tobytes()
+
+
+def needs(a, b):
+    """Least overlap of linking sets of sizes a and b."""
+    return -(-NUM * (a + b) // (NUM + DEN))
+
+
+def build_tree(ids: np.ndarray, n: np.ndarray, maps: np.ndarray, near: np.ndarray) -> list[dict]:
+    """Levels from leaves to the root; node k of a level has nodes 8k to 8k + 7 of the one below.
+
+    Leaves lie by size, and by near within like sizes.
+    """
+    order = np.lexsort((near, np.floor(np.log(n) / np.log(DEN / NUM) * 2)))
+    n, maps = n[order], maps[order]
+    levels = [{"map": maps, "lo": n, "hi": n, "spare": n - np.bitwise_count(maps).sum(axis=1, dtype=np.int64), "ids": ids[order]}]
+    while len(levels[-1]["lo"]) > 1:
+        x = levels[-1]
+        head = np.arange(0, len(x["lo"]), 8)
+        levels.append({"map": np.bitwise_or.reduceat(x["map"], head), "lo": np.minimum.reduceat(x["lo"], head), "hi": np.maximum.reduceat(x["hi"], head), "spare": np.maximum.reduceat(x["spare"], head)})
+    return levels
+
+
+def spread(levels: list[dict], value: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Least and greatest value below each node."""
+    out = [(value[levels[0]["ids"]],) * 2]
+    for _ in levels[1:]:
+        head = np.arange(0, len(out[-1][0]), 8)
+        out.append((np.minimum.reduceat(out[-1][0], head), np.maximum.reduceat(out[-1][1], head)))
+    return out
+
+
+def dual(a: list[dict], b: list[dict] | None, value: np.ndarray, done, leaves) -> None:
+    """Visit the pairs of leaves of two trees (or of one with itself, b None) that may link.
+
+    done(lo_i, hi_i, lo_j, hi_j) tells from the values below two nodes that no pair is needed; leaves(i, j)
+    gets ids and may change value, in place, and returns whether it did.
+    """
+    self_join = b is None
+    b = a if b is None else b
+    a, b = a + [a[-1]] * (len(b) - len(a)), b + [b[-1]] * (len(a) - len(b))
+    na, nb = [len(x["lo"]) for x in a], [len(x["lo"]) for x in b]
+
+    def spreads() -> tuple[list, list]:
+        return tuple((v := spread([y for k, y in enumerate(x) if not k or y is not x[k - 1]], value)) + [v[-1]] * (len(x) - len(v)) for x in (a, b))
+
+    sa, sb = spreads()
+    stack = [(len(a) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    while stack:
+        level, i, j = stack.pop()
+        x, y = a[level], b[level]
+        ok = (DEN * x["hi"][i] >= NUM * y["lo"][j]) & (DEN * y["hi"][j] >= NUM * x["lo"][i])
+        ok &= ~done(sa[level][0][i], sa[level][1][i], sb[level][0][j], sb[level][1][j])
+        i, j = i[ok], j[ok]
+        most = np.bitwise_count(x["map"][i] & y["map"][j]).sum(axis=1, dtype=np.int64) + np.minimum(x["spare"][i], y["spare"][j])
+        ok = most >= needs(x["lo"][i], y["lo"][j])
+        i, j = i[ok], j[ok]
+        if not len(i):
+            continue
+        if level == 0:
+            if self_join:
+                i, j = i[i < j], j[i < j]
+            if len(i) and leaves(x["ids"][i], y["ids"][j]):
+                sa, sb = spreads()
+            continue
+        for at, (node, n_now, n_below, up) in enumerate(((i, na[level], na[level - 1], a[level] is a[level - 1]), (j, nb[level], nb[level - 1], b[level] is b[level - 1]))):
+            child = node[:, None] if up else node[:, None] * 8 + np.arange(8)
+            if at == 0:
+                left, left_ok = child, child < n_below
+            else:
+                right, right_ok = child, child < n_below
+        ni = np.broadcast_to(left[:, :, None], (len(i), left.shape[1], right.shape[1])).ravel()
+        nj = np.broadcast_to(right[:, None, :], (len(i), left.shape[1], right.shape[1])).ravel()
+        ok = (left_ok[:, :, None] & right_ok[:, None, :]).ravel()
+        if self_join:
+            ok &= ni <= nj
+        ni, nj = ni[ok], nj[ok]
+        step = max(64, (1 << 19) // max(1, x["map"].shape[1]))
+        for k in range(0, len(ni), step):
+            stack.append((level - 1, ni[k : k + step], nj[k : k + step]))
+
+
+def alive(n: np.ndarray, maps: list[bytes], near: np.ndarray) -> np.ndarray:
+    """Which sets may link with another one, as far as their bitmaps tell."""
+    m, out = len(n), np.zeros(len(n), bool)
+    if m <= 12:
+        bits = [8 * len(x) for x in maps]
+        value = [int.from_bytes(x, "little") for x in maps]
+        spare = [int(n[i]) - value[i].bit_count() for i in range(m)]
+        for i in range(m):
+            for j in range(i + 1, m):
+                if out[i] and out[j] or DEN * min(n[i], n[j]) < NUM * max(n[i], n[j]):
+                    continue
+                x, y, w = value[i], value[j], min(bits[i], bits[j])
+                if bits[i] > w:
+                    x = (x | x >> w) & (1 << w) - 1
+                if bits[j] > w:
+                    y = (y | y >> w) & (1 << w) - 1
+                most = (x & y).bit_count() + (min(spare[i], spare[j]) if bits[i] == bits[j] else min(int(n[i]) - x.bit_count(), int(n[j]) - y.bit_count()))
+                if most >= needs(int(n[i]), int(n[j])):
+                    out[i] = out[j] = True
+        return out
+    # Sets that may link have bitmaps of equal or neighbouring widths; a wider one is folded.
+    value = np.zeros(m, np.int64)
+
+    def leaves(i: np.ndarray, j: np.ndarray) -> bool:
+        value[i] = 1
+        value[j] = 1
+        return True
+
+    def done(lo_i, _hi_i, lo_j, _hi_j):
+        return (lo_i == 1) & (lo_j == 1)
+
+    width = np.array([len(x) // 8 for x in maps])
+    tree = {}
+    for w in np.unique(width):
+        ids = np.flatnonzero(width == w)
+        own = np.stack([np.frombuffer(maps[i], np.uint64) for i in ids])
+        tree[w] = build_tree(ids, n[ids], own, near[ids])
+        dual(tree[w], None, value, done, leaves)
+        if w // 2 in tree and w > 1:
+            folded = own[:, : w // 2] | own[:, w // 2 :]
+            dual(tree[w // 2], build_tree(ids, n[ids], folded, near[ids]), value, done, leaves)
+    return value == 1
+
+
 class Unit:
     """Sets to be joined with each other, or the first ones (bases) with the others (probes)."""
 
@@ -255,9 +391,6 @@ class Unit:
             _, first, inverse = np.unique(label, return_index=True, return_inverse=True)
             self.root = first[inverse.ravel()]
 
-    def needs(self, a, b):
-        return -(-NUM * (a + b) // (NUM + DEN))
-
     def overlaps(self, i: int, many: np.ndarray) -> np.ndarray:
         flat = np.concatenate([self.sets[j] for j in many])
         one = self.sets[i]
@@ -265,129 +398,81 @@ class Unit:
         hit = one[np.minimum(at, len(one) - 1)] == flat
         return np.add.reduceat(hit, np.concatenate(([0], np.cumsum(self.n[many])[:-1])), dtype=np.int64)
 
-    def compare(self, i: int, many: np.ndarray) -> None:
+    def compare(self, i: int, many: np.ndarray) -> bool:
         """Count the overlap of set i with each of many that isn't linked to it yet, and link."""
+        known = len(self.links)
         many = many[self.root[many] != self.root[i]]
         many = many[DEN * np.minimum(self.n[many], self.n[i]) >= NUM * np.maximum(self.n[many], self.n[i])]
         if len(many):
-            for j in many[self.overlaps(i, many) >= self.needs(self.n[i], self.n[many])]:
-                if self.root[i] != self.root[j]:
-                    a, b = sorted((self.root[i], self.root[j]))
-                    self.root[self.root == b] = a
-                    self.links.append((i, int(j)))
+            hit = many[self.overlaps(i, many) >= needs(self.n[i], self.n[many])]
+            if len(hit):
+                merged, first = np.unique(self.root[hit], return_index=True)
+                self.links += [(i, int(j)) for j in hit[first]]
+                merged = np.append(merged, self.root[i])
+                self.root[np.isin(self.root, merged)] = merged.min()
+        return len(self.links) > known
 
     def join(self) -> list[tuple[int, int]]:
         m = len(self.sets)
         if m < 2:
             return []
-        if m <= 12 and self.bases is None:
-            for i in range(m - 1):
-                self.compare(i, np.arange(i + 1, m))
-            return self.links
-        if self.bases is None:  # a few stars link most of a group of near copies
-            for _ in range(3):
+        if self.bases is None:
+            if m <= 12:
+                for i in range(m - 1):
+                    self.compare(i, np.arange(i + 1, m))
+                return self.links
+            for _ in range(3):  # a few stars link most of a group of near copies
                 ids, size = np.unique(self.root, return_counts=True)
                 alone = ids[size == 1]
                 if len(alone):
                     self.compare(int(alone[len(alone) // 2]), np.arange(m))
-            self._dual(np.arange(m), None)
-        else:
-            self._dual(np.arange(self.bases), np.arange(self.bases, m))
+            dual(self.tree(np.arange(m)), None, self.root, self._linked, self._leaves)
+        elif 0 < self.bases < m:
+            dual(self.tree(np.arange(self.bases)), self.tree(np.arange(self.bases, m)), self.root, self._linked, self._leaves)
         return self.links
 
-    def _tree(self, ids: np.ndarray, bits: int) -> list[dict]:
-        """Levels from leaves to the root; node k of a level has nodes 8k to 8k + 7 of the one below."""
-        least = np.array([self.sets[i][0] for i in ids])
-        ids = ids[np.lexsort((least, np.floor(np.log(self.n[ids]) / np.log(DEN / NUM) * 2)))]
-        own = np.zeros((len(ids), bits // 64), np.uint64)
-        for r, i in enumerate(ids):
-            at = np.unique(self.sets[i] & np.uint64(bits - 1)).astype(np.int64)
-            np.bitwise_or.at(own[r], at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
-        spare = self.n[ids] - np.bitwise_count(own).sum(axis=1)
-        levels = [{"map": own, "lo": self.n[ids], "hi": self.n[ids], "spare": spare, "ids": ids}]
-        while len(levels[-1]["lo"]) > 1:
-            x = levels[-1]
-            head = np.arange(0, len(x["lo"]), 8)
-            levels.append({"map": np.bitwise_or.reduceat(x["map"], head), "lo": np.minimum.reduceat(x["lo"], head), "hi": np.maximum.reduceat(x["hi"], head), "spare": np.maximum.reduceat(x["spare"], head)})
-        return levels
-
-    def _same(self, levels: list[dict]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Least and greatest root below each node."""
-        r = self.root[levels[0]["ids"]]
-        out = [(r, r)]
-        for x in levels[1:]:
-            head = np.arange(0, len(out[-1][0]), 8)
-            out.append((np.minimum.reduceat(out[-1][0], head), np.maximum.reduceat(out[-1][1], head)))
-        return out
+    @staticmethod
+    def _linked(lo_i, hi_i, lo_j, hi_j):
+        return (lo_i == hi_i) & (lo_j == hi_j) & (lo_i == lo_j)
 
-    def _dual(self, left: np.ndarray, right: np.ndarray | None) -> None:
-        if not len(left) or right is not None and not len(right):
-            return
+    def _leaves(self, i: np.ndarray, j: np.ndarray) -> bool:
+        order = np.argsort(i, kind="stable")
+        i, j = i[order], j[order]
+        return any([self.compare(v, j[p:q]) for v, p, q in _slices(i)])
+
+    def tree(self, ids: np.ndarray) -> list[dict]:
         bits = 1 << int(np.clip(np.ceil(np.log2(max(2, np.median(self.n) * 2))), 8, 13))
-        a = self._tree(left, bits)
-        b = a if right is None else self._tree(right, bits)
-        while len(b) < len(a):
-            b = b + [b[-1]]
-        while len(a) < len(b):
-            a = a + [a[-1]]
-        size = [(len(x["lo"]), len(y["lo"])) for x, y in zip(a, b, strict=True)]
-        stack = [(len(a) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
-        sa, sb, known = self._same(a), self._same(b), len(self.links)
-        while stack:
-            level, i, j = stack.pop()
-            if len(self.links) != known:
-                sa, sb, known = self._same(a), self._same(b), len(self.links)
-            x, y = a[level], b[level]
-            ok = (DEN * x["hi"][i] >= NUM * y["lo"][j]) & (DEN * y["hi"][j] >= NUM * x["lo"][i])
-            (la, ha), (lb, hb) = sa[level], sb[level]
-            ok &= ~((la[i] == ha[i]) & (lb[j] == hb[j]) & (la[i] == lb[j]))
-            i, j = i[ok], j[ok]
-            most = np.bitwise_count(x["map"][i] & y["map"][j]).sum(axis=1, dtype=np.int64) + np.minimum(x["spare"][i], y["spare"][j])
-            ok = most >= self.needs(x["lo"][i], y["lo"][j])
-            i, j = i[ok], j[ok]
-            if not len(i):
-                continue
-            if level == 0:
-                if right is None:
-                    i, j = i[i < j], j[i < j]
-                order = np.argsort(i, kind="stable")
-                for v, p, q in _slices(i[order]):
-                    self.compare(int(x["ids"][v]), y["ids"][j[order][p:q]])
-                continue
-            ca = [8] * 8 if size[level - 1][0] != size[level][0] or size[level][0] > 1 else [1]
-            cb = [8] * 8 if size[level - 1][1] != size[level][1] or size[level][1] > 1 else [1]
-            ni = (i[:, None, None] * (8 if len(ca) > 1 else 1) + np.arange(len(ca))[:, None]) + np.zeros((1, 1, len(cb)), np.int64)
-            nj = (j[:, None, None] * (8 if len(cb) > 1 else 1) + np.arange(len(cb))[None, None, :]) + np.zeros((1, len(ca), 1), np.int64)
-            ni, nj = ni.ravel(), nj.ravel()
-            ok = (ni < size[level - 1][0]) & (nj < size[level - 1][1])
-            if right is None:
-                ok &= ni <= nj
-            ni, nj = ni[ok], nj[ok]
-            for k in range(0, len(ni), 1 << 14):
-                stack.append((level - 1, ni[k : k + (1 << 14)], nj[k : k + (1 << 14)]))
+        maps = np.zeros((len(ids), bits // 64), np.uint64)
+        for r, i in enumerate(ids):
+            at = np.unique(self.sets[i] & np.uint64(bits - 1)).astype(np.int64)
+            np.bitwise_or.at(maps[r], at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+        return build_tree(ids, self.n[ids], maps, np.array([self.sets[i][0] for i in ids]))
 
 
-def _join_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by bucket, block, probe; each unit's links go out as pairs of classes."""
+def _by_unit(batches: Iterator[pa.RecordBatch], key: tuple[str, ...]) -> Iterator[list[dict]]:
+    """Runs of rows of equal key; rows come sorted by it."""
     held: list[dict] = []
-
-    def links(rows: list[dict]) -> pa.RecordBatch:
-        sets = [np.frombuffer(r["set"], np.uint64) for r in rows]
-        bases = sum(not r["probe"] for r in rows)
-        label = np.array([r["label"] for r in rows]) if rows[0]["label"] is not None else None
-        found = Unit(sets, label, None if label is None else bases).join()
-        c = [r["class"] for r in rows]
-        return pa.RecordBatch.from_arrays([pa.array([c[i] for i, _ in found], pa.int64()), pa.array([c[j] for _, j in found], pa.int64())], ["a", "b"])
-
     for batch in batches:
         for row in batch.to_pylist():
-            if held and (held[0]["bucket"], held[0]["block"]) != (row["bucket"], row["block"]):
-                if len(held) > 1:
-                    yield links(held)
+            if held and any(held[0][k] != row[k] for k in key):
+                yield held
                 held = []
             held.append(row)
-    if len(held) > 1:
-        yield links(held)
+    if held:
+        yield held
+
+
+def _join_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each unit's links as pairs of classes; bases come before probes."""
+    for rows in _by_unit(batches, ("bucket", "block")):
+        if len(rows) < 2:
+            continue
+        sets = [np.frombuffer(r["set"], np.uint64) for r in rows]
+        label = np.array([r["label"] for r in rows]) if rows[0]["label"] is not None else None
+        found = Unit(sets, label, None if label is None else sum(not r["probe"] for r in rows)).join()
+        if found:
+            c = [r["class"] for r in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([c[i] for i, _ in found], pa.int64()), pa.array([c[j] for _, j in found], pa.int64())], ["a", "b"])
 
 
 def _links(rows: DataFrame) -> DataFrame:
@@ -396,6 +481,21 @@ def _links(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_join_units, "a long, b long")
 
 
+def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The members of each bucket that its signature tree leaves."""
+    out: list[tuple[int, int, int]] = []
+    for rows in _by_unit(batches, ("bucket",)):
+        if len(rows) > 1:
+            n = np.array([r["n"] for r in rows], np.int64)
+            stay = alive(n, [r["map"] for r in rows], np.array([r["class"] for r in rows]))
+            out += [(rows[i]["bucket"], rows[i]["class"], rows[i]["n"]) for i in np.flatnonzero(stay)]
+        if len(out) > 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["bucket", "class", "n"])
+            out = []
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["bucket", "class", "n"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node of a table of links (a, b): the least node that it reaches.
 
@@ -424,42 +524,55 @@ def link_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     top = heavy_shingles(texts, bits)
     heavy = spark.sparkContext.broadcast(top)
     found = cut(documents_and_leaders(docs, heavy, bits))
-    table = found.where("n IS NOT NULL").drop("key")
+    table = found.where("n IS NOT NULL").select("doc_id", "class", "n")
     lead = found.where("n IS NULL").groupBy("key").agg(F.min("class").alias("class")).toArrow()  # at most HEAVY_KEYS rows
     led = np.zeros(len(top), np.int64)
     led[np.searchsorted(top, lead["key"].to_numpy().astype(np.uint64))] = lead["class"].to_numpy()
     leaders = spark.sparkContext.broadcast(led)
     member = cut(members(texts, heavy, leaders, bits))
+
+    # Signature trees drop what can't link.  A bucket too large for one tree keeps all its members.
     bucket = member.groupBy("bucket").agg(F.count("*").alias("m"), F.sum("n").alias("tokens")).where("m > 1")
-    blocks = bucket.select("bucket", F.ceil(F.col("tokens") / F.lit(UNIT_TOKENS)).alias("blocks"))
-    member = cut(member.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")))
+    member = cut(member.join(bucket, "bucket"))
+    fits = F.col("tokens") <= F.lit(32 * UNIT_TOKENS)
+    one = found.where("n > 0").select("class", "map").groupBy("class").agg(F.min("map").alias("map"))
+    small = member.where(fits).select("bucket", "class", "n").join(one, "class")
+    small = small.repartition(parts(docs), "bucket").sortWithinPartitions("bucket", "class").mapInArrow(_prune, "bucket long, class long, n long")
+    member = cut(small.union(member.where(~fits).select("bucket", "class", F.col("n").cast("long"))))
+
+    # Of each class that is left one text is read again; its set is kept.
+    live = member.select("class").distinct()
+    chosen = table.where("n > 0").join(live, "class", "left_semi").groupBy("class").agg(F.min("doc_id").alias("id"))
+    again = docs.join(chosen.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id"))).select("class", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # of this task's share of the classes
         for batch in batches:
-            sets = list(shingle_sets(batch.column(0)))
-            yield pa.RecordBatch.from_arrays([pa.array([set_class(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["class", "set"])
-
-    # Of each class one text is read again and sent on.
-    live = member.select("class").distinct()
-    chosen = table.where("n > 0").join(live, "class", "left_semi").groupBy("class").agg(F.min_by("doc_id", F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("doc_id"))
-    chosen = chosen.select(F.col("doc_id").alias("__id")).distinct()
-    again = docs.join(chosen.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select("text")
-    sets = again.mapInArrow(encode, "class long, set binary").join(live, "class", "left_semi").dropDuplicates(["class"])
-    rows = member.join(sets, "class")
-    first = rows.select("bucket", "block", F.lit(False).alias("probe"), F.lit(None).cast("long").alias("label"), "class", "set")
-    links = cut(_links(first))
+            cls, sets = [], []
+            for want, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1)), strict=True):
+                if len(s) and want not in seen and set_class(s) == want:
+                    seen.add(want)
+                    cls.append(want)
+                    sets.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(sets, pa.binary())], ["class", "set"])
+
+    sets = cut(again.mapInArrow(encode, "class long, set binary"))
+    weight = member.groupBy("bucket").agg(F.sum("n").alias("tokens")).select("bucket", F.ceil(F.col("tokens") / F.lit(UNIT_TOKENS)).cast("int").alias("blocks"))
+    member = cut(member.join(weight, "bucket").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")))
+
+    # First each set in one of its buckets only; then buckets that still hold several components, in full.
+    home = member.groupBy("class").agg(F.min(F.struct("bucket", "block")).alias("h")).select("class", "h.*")
+    first = home.select("bucket", "block", F.lit(False).alias("probe"), F.lit(None).cast("long").alias("label"), "class")
+    links = cut(_links(first.join(sets, "class")))
     reach = components(links)
-    split = member.where("blocks > 1")
-    if split.isEmpty():
-        return table, reach
-    labelled = split.join(reach.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("label", F.coalesce("root", "class"))
-    main = labelled.groupBy("bucket", "label").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.max_by("label", F.struct("m", "label")).alias("main"))
-    labelled = cut(labelled.join(main, "bucket"))
-    odd = labelled.where("label <> main")
-    base = labelled.join(odd.select("bucket").distinct(), "bucket", "left_semi").select("bucket", "block", F.lit(False).alias("probe"), "label", "class")
-    everywhere = odd.select("bucket", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("block"), F.lit(True).alias("probe"), "label", "class")
-    more = cut(_links(base.union(everywhere).join(sets, "class")))
-    return table, components(links.union(more))
+    labelled = member.join(reach.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("label", F.coalesce("root", "class")).drop("root")
+    sides = labelled.groupBy("bucket", "label").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.count("*").alias("sides"))
+    labelled = cut(labelled.join(sides.where("sides > 1"), "bucket"))
+    base = labelled.select("bucket", "block", F.lit(False).alias("probe"), "label", "class")
+    blocks = F.sequence(F.lit(0), F.col("blocks") - 1)
+    probes = labelled.where("label <> main").select("bucket", F.explode(blocks).alias("block"), F.lit(True).alias("probe"), "label", "class")
+    more = cut(_links(base.union(probes).join(sets, "class")))
+    return table, (reach if more.isEmpty() else components(links.union(more)))
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
