@@ -8,5 +8,5 @@ from importlib import import_module
 
 from pyspark import cloudpickle
 
-for _name in ("kernels", "quality_rules", "exact_dedup", "ngram_join"):
+for _name in ("kernels", "quality_rules", "exact_dedup", "ngram_join", "piece_codec", "license_scan", "quality_model", "chat_format"):
     cloudpickle.register_pickle_by_value(import_module(f"{__name__}.{_name}"))

@@ -5,7 +5,7 @@ size.  The whole part is taken as it is; the fractions are rounded by the pivota
 two open documents pass words to each other until one of them is settled, in a random direction whose odds
 keep each document's expectation.  Groups of about FAN_IN documents are folded at once and leave at most one
 open document each; the open ones of FAN_IN groups make a group of the next level, so a source of any size
-is a tree of small tasks, and at its root one last document is rounded by its fraction alone.  Random
+is a tree of small tasks, and at its root one last document is rounded to the nearest.  Random
 numbers are keyed by document and level: reruns agree, whatever the partitioning.
 
 Defined results: a null or empty text has size 0, is taken 0 times and doesn't move the mix; a null source is
@@ -121,8 +121,7 @@ def copies(rows: DataFrame, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
         settled.append(done)
         rest = folded.where("r.open IS NOT NULL").select("source", F.col("b").alias("g"), "r.open.*").drop("b")
         if n <= 1:
-            last = unit(F.lit(seed), F.lit(-1), "source", "id", "size") < F.col("f")
-            settled.append(rest.select("source", "id", "size", "m", last.cast("int").alias("up")))
+            settled.append(rest.select("source", "id", "size", "m", (F.col("f") >= 0.5).cast("int").alias("up")))
             break
         open_rows = rest.select("source", "id", "size", "m", "f", F.expr(f"g div {FAN_IN}").alias("b"), F.xxhash64(F.lit(seed), "source", "id", "size").alias("key"))
         level, n = level + 1, -(-n // FAN_IN)
