@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import olap  # noqa: F401
+from .core import QUERIES, SQL  # noqa: F401
