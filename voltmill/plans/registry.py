@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import olap  # noqa: F401
+from . import olap, scalar  # noqa: F401
 from .core import QUERIES, SQL  # noqa: F401
