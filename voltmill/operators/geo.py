@@ -16,8 +16,8 @@ def haversine(lat1, lon1, lat2, lon2, radius: float = RADIUS_M, missing: float |
     """Great-circle distance; missing is the result where a coordinate is null or NaN (null by default)."""
     a, b, c, d = (x if isinstance(x, Column) else F.lit(float(x)) if isinstance(x, (int, float)) else F.col(x) for x in (lat1, lon1, lat2, lon2))
     h = F.pow(F.sin(F.radians(c - a) / 2), 2) + F.cos(F.radians(a)) * F.cos(F.radians(c)) * F.pow(F.sin(F.radians(d - b) / 2), 2)
+    known = h.isNotNull() & ~F.isnan(h)
     h = F.least(F.lit(1.0), F.greatest(F.lit(0.0), h))
-    known = ~(F.isnan(h) | h.isNull())
     return F.when(known, 2 * F.atan2(F.sqrt(h), F.sqrt(1 - h)) * radius).otherwise(F.lit(missing).cast("double"))
 
 

@@ -90,4 +90,6 @@ def with_star(body: str, **more: str) -> str:
 
     visit(body)
     ctes = ",\n".join(f"{n} AS ({re.sub(r'[{}]', '', known[n])})" for n in needed)
-    return f"WITH {ctes}\n{body}" if needed else body
+    if not needed:
+        return body
+    return f"WITH {ctes},\n{body[5:]}" if body.startswith("WITH ") else f"WITH {ctes}\n{body}"
