@@ -47,7 +47,7 @@ def _half_keys() -> Column:
 
 def _block_keys() -> Column:
     """For lines as the shorter or equal (m = n) and as the longer one (m = n - 1): each block's bounds and the hash of the rest."""
-    n = F.length("line")
+    n = F.col("n")
 
     def of(m: Column) -> Column:
         def block(i: Column) -> Column:
@@ -80,7 +80,7 @@ def _variants() -> Column:
         F.array(kind("short", F.xxhash64(F.lit("one"), "key", mid))),
     )
     longer = F.array_distinct(F.transform(places, lambda p: kind("long", F.xxhash64(F.lit("one"), "key", without(p)))))
-    return F.when(F.col("m") == F.length("line"), same).otherwise(longer)
+    return F.when(F.col("m") == F.col("n"), same).otherwise(longer)
 
 
 def near_lines(docs: DataFrame, first: DataFrame) -> DataFrame:
@@ -89,10 +89,10 @@ def near_lines(docs: DataFrame, first: DataFrame) -> DataFrame:
     keys = lines.select(F.xxhash64("line").alias("h"), F.explode(_half_keys()).alias("k"))
     live = keys.join(_shared(keys, "k", "h"), "k", "left_semi").select("h").distinct()
     texts = lines.select("line", F.xxhash64("line").alias("h")).join(live.hint("shuffle_hash"), "h", "left_semi").select("line").distinct()
-    texts = cut(texts.select(_id(F.col("line")).alias("id"), "line").join(first, "id"))
-    blocks = texts.select("id", "place", "line", F.inline(_block_keys()))
-    some = _shared(blocks.select("key", "id"), "key", "id")
-    emitted = blocks.join(some, "key", "left_semi").select("id", "place", F.inline(_variants()))
+    texts = cut(texts.select(_id(F.col("line")).alias("id"), "line", F.length("line").alias("n")).join(first, "id"))
+    blocks = cut(texts.select("id", F.inline(_block_keys())))
+    some = blocks.join(_shared(blocks, "key", "id"), "key", "left_semi")
+    emitted = some.join(texts, "id").select("id", "place", F.inline(_variants()))
     emitted = cut(emitted.distinct())
     me = F.struct("place", "id")
     least = emitted.groupBy("v").agg(
