@@ -51,6 +51,24 @@ DEFINITIONS: dict[str, str] = {
         CASE o_orderstatus WHEN 'F' THEN 'SUCCEEDED' WHEN 'O' THEN 'RUNNING' ELSE 'PARTIAL' END AS state, o_orderdate AS started_at, CAST(floor(o_totalprice) AS INT) AS records_fetched FROM {orders}""",
     "station_version": """SELECT o_custkey AS station_id, o_orderkey AS version_key, o_orderdate AS effective_from,
         lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS effective_to, o_orderpriority AS attributes FROM {orders}""",
+    "raw_station": """SELECT c_custkey AS k, CASE WHEN c_custkey % 97 = 0 THEN '' ELSE concat('src', CAST(c_custkey % 3 AS STRING)) END AS source_id, CASE WHEN c_custkey % 89 = 0 THEN ' ' ELSE concat('S', CAST(c_custkey AS STRING)) END AS source_station_id,
+        CASE WHEN c_custkey % 83 = 0 THEN '2.0' ELSE '1.2.0' END AS contract_version, CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 7 = 0 THEN 'zz' ELSE concat(md5(c_name), md5(c_name)) END AS raw_payload_hash,
+        CASE WHEN c_custkey % 41 = 0 THEN ' X ' WHEN c_custkey % 43 = 0 THEN 'Test Station' ELSE concat('Plaza ', CAST(c_custkey % 50 AS STRING), ' Charging') END AS name,
+        CASE WHEN c_custkey % 6 = 0 THEN NULL ELSE concat('Operator ', CAST(c_nationkey % 5 AS STRING)) END AS operator_name,
+        CASE WHEN c_custkey % 53 = 0 THEN CAST(95 AS DOUBLE) WHEN c_custkey % 59 = 0 THEN CAST(0 AS DOUBLE) WHEN c_custkey % 61 = 0 THEN CAST(51.5 AS DOUBLE) ELSE CAST(18.75 AS DOUBLE) + CAST((c_custkey * 31) % 700 AS DOUBLE) / 1000 END AS latitude,
+        CASE WHEN c_custkey % 59 = 0 THEN CAST(0 AS DOUBLE) WHEN c_custkey % 67 = 0 THEN CAST(200 AS DOUBLE) WHEN c_custkey % 61 = 0 THEN CAST(-0.1 AS DOUBLE) ELSE CAST(72.65 AS DOUBLE) + CAST((c_custkey * 17) % 500 AS DOUBLE) / 1000 END AS longitude,
+        CASE c_custkey % 4 WHEN 0 THEN 'India' WHEN 1 THEN ' IN' WHEN 2 THEN 'Nepal' ELSE 'ind' END AS country, CASE c_custkey % 3 WHEN 0 THEN 'Mumbai' WHEN 1 THEN 'Pune' ELSE 'thane' END AS city,
+        CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE concat(CAST(c_custkey % 90 AS STRING), ' Main Road') END AS address_line, CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE concat('Zone ', CAST(c_custkey % 12 AS STRING)) END AS locality,
+        CASE c_custkey % 5 WHEN 0 THEN NULL WHEN 1 THEN '400051' WHEN 2 THEN '012345' WHEN 3 THEN ' 400070 ' ELSE '4000' END AS postal_code,
+        CASE c_custkey % 3 WHEN 0 THEN true WHEN 1 THEN false ELSE NULL END AS is_24_hours, CASE c_custkey % 8 WHEN 0 THEN '09:00' WHEN 1 THEN '25:00' ELSE NULL END AS opening_time, CASE c_custkey % 8 WHEN 0 THEN '21:00' WHEN 1 THEN '9pm' ELSE NULL END AS closing_time,
+        CASE WHEN c_custkey % 19 = 0 THEN 'Permanently closed since May' ELSE 'fine' END AS comments, CASE WHEN c_custkey % 23 = 0 THEN 'temporarily_unavailable' ELSE 'operational' END AS operational_status,
+        CASE WHEN c_custkey % 10 = 0 THEN '12345' ELSE NULL END AS phone, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE (c_custkey * 977) % 200000 - 600 END AS observed_age_s,
+        CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE CAST(c_custkey % 7 AS INT) END AS observed_available, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE CAST(5 AS INT) END AS observed_total FROM {customer}""",
+    "raw_connector": """SELECT o_custkey AS k, o_orderkey AS n, CASE r % 7 WHEN 0 THEN 'CCS2' WHEN 1 THEN 'Type 2' WHEN 2 THEN 'CHAdeMO' WHEN 3 THEN 'plug' WHEN 4 THEN 'GB/T' WHEN 5 THEN 'Other' ELSE 'CCS2' END AS connector_type, CAST(r % 57 AS INT) AS quantity,
+        CASE WHEN r % 11 = 0 THEN NULL WHEN r % 101 = 0 THEN CAST(-1 AS DOUBLE) WHEN r % 103 = 0 THEN CAST(3000 AS DOUBLE) WHEN r % 31 = 0 THEN CAST(700 AS DOUBLE) ELSE CAST(r % 150 + 1 AS DOUBLE) END AS power_kw,
+        CASE WHEN r % 3 = 0 THEN NULL WHEN r % 107 = 0 THEN CAST(0 AS DOUBLE) WHEN r % 37 = 0 THEN CAST(1500 AS DOUBLE) ELSE CAST(400 AS DOUBLE) END AS voltage_v, CASE WHEN r % 3 = 1 THEN NULL WHEN r % 109 = 0 THEN CAST(-2 AS DOUBLE) WHEN r % 29 = 0 THEN CAST(2000 AS DOUBLE) ELSE CAST(32 AS DOUBLE) END AS amperage_a,
+        CASE r % 5 WHEN 0 THEN 'free' WHEN 1 THEN 'unknown' ELSE 'paid' END AS pricing_type, CASE WHEN r % 4 = 0 THEN NULL WHEN r % 113 = 0 THEN CAST(-1 AS DOUBLE) WHEN r % 5 = 0 AND r % 2 = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(r % 40 AS DOUBLE) END AS price_per_kwh,
+        CASE WHEN r % 127 = 0 THEN CAST(-5 AS DOUBLE) ELSE NULL END AS price_per_session, CASE WHEN r % 131 = 0 THEN 'R5' WHEN r % 137 = 0 THEN 'RUPEESANDMORE' ELSE 'INR' END AS currency FROM (SELECT *, CAST(floor(o_totalprice) AS BIGINT) AS r FROM {orders}) x""",
 }
 
 
@@ -88,8 +106,11 @@ def with_star(body: str, **more: str) -> str:
                 if n not in needed:
                     needed.append(n)
 
+    def bare(text: str) -> str:
+        return re.sub(r"\{([a-z]\w*)\}", r"\1", text)
+
     visit(body)
-    ctes = ",\n".join(f"{n} AS ({re.sub(r'[{}]', '', known[n])})" for n in needed)
+    ctes = ",\n".join(f"{n} AS ({bare(known[n])})" for n in needed)
     if not needed:
         return body
     return f"WITH {ctes},\n{body[5:]}" if body.startswith("WITH ") else f"WITH {ctes}\n{body}"
