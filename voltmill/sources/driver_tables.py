@@ -69,6 +69,20 @@ DEFINITIONS: dict[str, str] = {
         CASE WHEN r % 3 = 0 THEN NULL WHEN r % 107 = 0 THEN CAST(0 AS DOUBLE) WHEN r % 37 = 0 THEN CAST(1500 AS DOUBLE) ELSE CAST(400 AS DOUBLE) END AS voltage_v, CASE WHEN r % 3 = 1 THEN NULL WHEN r % 109 = 0 THEN CAST(-2 AS DOUBLE) WHEN r % 29 = 0 THEN CAST(2000 AS DOUBLE) ELSE CAST(32 AS DOUBLE) END AS amperage_a,
         CASE r % 5 WHEN 0 THEN 'free' WHEN 1 THEN 'unknown' ELSE 'paid' END AS pricing_type, CASE WHEN r % 4 = 0 THEN NULL WHEN r % 113 = 0 THEN CAST(-1 AS DOUBLE) WHEN r % 5 = 0 AND r % 2 = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(r % 40 AS DOUBLE) END AS price_per_kwh,
         CASE WHEN r % 127 = 0 THEN CAST(-5 AS DOUBLE) ELSE NULL END AS price_per_session, CASE WHEN r % 131 = 0 THEN 'R5' WHEN r % 137 = 0 THEN 'RUPEESANDMORE' ELSE 'INR' END AS currency FROM (SELECT *, CAST(floor(o_totalprice) AS BIGINT) AS r FROM {orders}) x""",
+    "site": """SELECT c_custkey AS id, concat('src', CAST(c_custkey % 3 AS STRING)) AS source_id, concat('R', CAST(c_custkey AS STRING)) AS source_station_id,
+        concat('src', CAST(c_custkey % 3 AS STRING), ':R', CAST(c_custkey AS STRING)) AS key, b,
+        CASE WHEN c_custkey % 9 = 1 THEN concat('Plaza ', CAST(b % 40 AS STRING), ' EV Charging Station') WHEN c_custkey % 9 = 5 THEN concat('Mall ', CAST(b % 30 AS STRING)) WHEN c_custkey % 9 = 7 THEN concat('Plaza-', CAST(b % 40 AS STRING), ' Hub') ELSE concat('Plaza ', CAST(b % 40 AS STRING), ' Centre') END AS name,
+        CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 13 = 0 THEN 'zeon-power' ELSE concat('tata-', CAST(b % 5 AS STRING)) END AS operator_slug, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE concat('Tata ', CAST(b % 5 AS STRING), CASE WHEN c_custkey % 2 = 0 THEN ' Ltd' ELSE '' END) END AS operator_name,
+        CAST(18.75 AS DOUBLE) + CAST((b * 31) % 700 AS DOUBLE) / 1000 + CAST(c_custkey % 3 AS DOUBLE) * CAST(0.0001 AS DOUBLE) AS latitude, CAST(72.65 AS DOUBLE) + CAST((b * 17) % 500 AS DOUBLE) / 1000 AS longitude,
+        CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 17 = 0 THEN '400999' ELSE concat('4000', CAST(10 + b % 80 AS STRING)) END AS postal_code, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE concat('Zone ', CAST(b % 12 AS STRING), ' East') END AS locality, concat(CAST(b % 90 AS STRING), ' Link Road') AS address_line,
+        CAST(c_custkey % 7 AS DOUBLE) / 10 AS quality, CASE WHEN c_custkey % 40 = 0 THEN 'QUARANTINE' WHEN c_custkey % 51 = 0 THEN 'REJECT' ELSE 'ACCEPT' END AS outcome, CASE WHEN c_custkey % 6 < 3 THEN c_custkey * 10 ELSE NULL END AS recency,
+        CASE WHEN c_custkey % 8 = 0 THEN 'free' WHEN c_custkey % 8 = 3 THEN 'unknown' ELSE 'paid' END AS pricing_type, CASE WHEN c_custkey % 8 IN (0, 3, 4) THEN NULL ELSE CAST(10 + (b + CASE WHEN c_custkey % 8 = 7 THEN 1 ELSE 0 END) % 4 AS DOUBLE) END AS price_per_kwh
+        FROM (SELECT *, c_custkey - c_custkey % 3 AS b FROM {customer}) x""",
+    "site_connector": """SELECT c_custkey AS id, CASE (b + CASE WHEN c_custkey % 11 = 0 THEN 1 ELSE 0 END) % 4 WHEN 0 THEN 'CCS2' WHEN 1 THEN 'Type 2' WHEN 2 THEN 'Other' ELSE 'GB/T' END AS connector_type,
+        CASE WHEN c_custkey % 10 = 0 THEN NULL WHEN c_custkey % 14 = 0 THEN CAST(150 AS DOUBLE) ELSE CAST(30 + b % 3 AS DOUBLE) + CAST(0.5 AS DOUBLE) END AS power_kw, CAST(1 + c_custkey % 3 AS INT) AS quantity FROM (SELECT *, CAST(c_custkey - c_custkey % 3 AS INT) AS b FROM {customer}) x WHERE c_custkey % 19 <> 0
+        UNION ALL SELECT c_custkey, 'CCS2', CAST(60 AS DOUBLE), CAST(2 AS INT) FROM {customer} WHERE (c_custkey - c_custkey % 3) % 5 = 0""",
+    "canon": """SELECT concat('C', CAST(id AS STRING)) AS canon_id, name, latitude, longitude FROM {site} WHERE b % 4 = 0 AND id % 3 = 0 OR id % 29 = 0""",
+    "canon_link": """SELECT concat('C', CAST(id AS STRING)) AS canon_id, source_id, source_station_id FROM {site} WHERE b % 4 = 0 AND id % 3 = 0""",
 }
 
 
