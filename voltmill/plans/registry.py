@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import identity, olap, quality, relational, scalar  # noqa: F401
+from . import explore, identity, olap, quality, relational, scalar  # noqa: F401
 from .core import QUERIES, SQL  # noqa: F401

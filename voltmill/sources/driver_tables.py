@@ -83,6 +83,12 @@ DEFINITIONS: dict[str, str] = {
         UNION ALL SELECT c_custkey, 'CCS2', CAST(60 AS DOUBLE), CAST(2 AS INT) FROM {customer} WHERE (c_custkey - c_custkey % 3) % 5 = 0""",
     "canon": """SELECT concat('C', CAST(id AS STRING)) AS canon_id, name, latitude, longitude FROM {site} WHERE b % 4 = 0 AND id % 3 = 0 OR id % 29 = 0""",
     "canon_link": """SELECT concat('C', CAST(id AS STRING)) AS canon_id, source_id, source_station_id FROM {site} WHERE b % 4 = 0 AND id % 3 = 0""",
+    "listing": """SELECT c_custkey AS id, concat('Station ', CAST(c_custkey AS STRING)) AS name, concat('Operator ', CAST(c_nationkey AS STRING)) AS operator, c_mktsegment AS area, concat(CAST(c_custkey % 90 AS STRING), ' Link Road') AS address,
+        CASE WHEN c_custkey % 37 = 0 THEN CAST(0 AS DOUBLE) WHEN c_custkey % 31 = 0 THEN NULL ELSE CAST(18.75 AS DOUBLE) + CAST((c_custkey * 31) % 700 AS DOUBLE) / 1000 END AS latitude, CASE WHEN c_custkey % 37 = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(72.65 AS DOUBLE) + CAST((c_custkey * 17) % 500 AS DOUBLE) / 1000 END AS longitude,
+        CASE c_custkey % 4 WHEN 0 THEN 'available' WHEN 1 THEN 'busy' WHEN 2 THEN 'broken' ELSE 'unknown' END AS status, c_custkey % 12 = 0 AS is_free, CASE WHEN c_custkey % 12 = 0 THEN CAST(0 AS DOUBLE) WHEN c_custkey % 3 = 0 THEN NULL ELSE CAST(8 + c_custkey % 15 AS DOUBLE) END AS price_per_kwh,
+        CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE CAST(c_custkey % 50 AS DOUBLE) / 10 END AS rating, CASE c_custkey % 5 WHEN 0 THEN true WHEN 1 THEN NULL ELSE false END AS is_24_hours, CASE WHEN c_custkey % 5 = 1 THEN NULL WHEN c_custkey % 2 = 0 THEN '08:00' ELSE '20:30' END AS opening, CASE WHEN c_custkey % 5 = 1 THEN NULL WHEN c_custkey % 2 = 0 THEN '21:00' ELSE '06:00' END AS closing,
+        CASE WHEN c_custkey % 6 = 0 THEN '17:00-19:00' WHEN c_custkey % 6 = 1 THEN '22:00-09:30' ELSE NULL END AS busy_window, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE CAST(c_custkey % 300 AS INT) END AS minutes, CASE WHEN c_custkey % 8 = 0 THEN NULL ELSE CAST(c_custkey % 3 AS INT) END AS available FROM {customer}""",
+    "listing_plug": """SELECT o_custkey AS id, CASE CAST(floor(o_totalprice) AS BIGINT) % 5 WHEN 0 THEN 'CCS2' WHEN 1 THEN 'Type 2' WHEN 2 THEN 'CHAdeMO' WHEN 3 THEN 'Unknown' ELSE 'GB/T' END AS type, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(CAST(floor(o_totalprice) AS BIGINT) % 120 AS DOUBLE) END AS power_kw, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST(1 + o_orderkey % 2 AS INT) END AS quantity FROM {orders} WHERE o_orderstatus = 'P'""",
 }
 
 
