@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 # Words that tell stations apart poorly, and local acronyms.
 STOP_WORDS = ("ev", "charging", "station", "charger", "point", "hub", "charge", "limited", "ltd", "pvt", "private", "the", "and", "at", "in", "near", "opp", "opposite", "behind", "road", "rd", "street", "st", "lane", "nagar", "complex")
@@ -21,7 +22,7 @@ ABBREVIATIONS = {"rd": "Road", "st": "Street", "ave": "Avenue", "bldg": "Buildin
 CAPITALS = ("BKC", "MIDC", "SEZ", "CIDCO", "BEST", "MSRTC", "BMC", "MMRDA", "NH", "SH", "EV", "CPO", "MCA")
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def fold_accents(s: pd.Series) -> pd.Series:
     """NFKD without what ASCII lacks; Spark has no built-in for it."""
     return s.map(lambda x: x, na_action="ignore").str.normalize("NFKD").str.encode("ascii", "ignore").str.decode("ascii")
