@@ -107,7 +107,74 @@ both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a)
 """
 
+_N_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: A word range of blocks of 64 words, one every 32.
+_ALNUM = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_N_WORDS}')"
+
+
+def _license_sql() -> str:
+    from .license_scan import PHRASES, STRIDE, TEMPLATES, THRESHOLD, WINDOW
+
+    values = ", ".join(f"('{label}', '{w}')" for label, t in TEMPLATES.items() for w in sorted(set(t.split())))
+    spans = " UNION ALL ".join(
+        f"SELECT r, '{label}' AS label, i - 1 AS at FROM w WHERE " + " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(p.split())) for p, label in PHRASES.items()
+    )
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_ALNUM} AS ws FROM documents),
+w AS (SELECT r, ws AS w, unnest(range(1, len(ws) + 1)) AS i FROM d),
+places AS ({spans}),
+b AS (SELECT r, unnest(range(0, len(ws), {STRIDE})) AS a, ws FROM d),
+x AS (SELECT DISTINCT r, a, unnest(ws[a + 1:a + {WINDOW}]) AS t FROM b),
+v AS (SELECT * FROM (VALUES {values}) AS t(label, t)),
+n AS (SELECT label, count(*) AS n FROM v GROUP BY 1),
+m AS (SELECT x.r, v.label, count(*)::DOUBLE / any_value(n.n) AS share FROM x JOIN v USING (t) JOIN n USING (label) GROUP BY x.r, x.a, v.label HAVING count(*) >= ceil({THRESHOLD} * any_value(n.n) - 1e-9)),
+a AS (SELECT r, label, share FROM m UNION ALL SELECT r, label, 1.0 FROM places)
+SELECT d.doc_id, len(d.ws) AS n_words, count(DISTINCT (p.at, p.label)) FILTER (WHERE p.at IS NOT NULL) AS n_base, min(p.at) AS first_word, max(p.at) AS last_word, coalesce(string_agg(DISTINCT p.label, ',' ORDER BY p.label), '') AS base_labels,
+  coalesce((SELECT string_agg(DISTINCT a.label, ',' ORDER BY a.label) FROM a WHERE a.r = d.r), '') AS labels, coalesce((SELECT max(share) FROM a WHERE a.r = d.r), 0) AS score
+FROM d LEFT JOIN places p USING (r) GROUP BY d.r, d.doc_id, d.ws
+"""
+
+
+def _rules_sql() -> str:
+    from .quality_rules import COVERAGE, DUP_LINE_CHARS, DUP_LINES, MIN_WORDS
+
+    ctes, columns, bad = [], [], []
+    for n, most in COVERAGE.items():
+        ctes.append(f"""
+g{n} AS (SELECT r, i, row_number() OVER (PARTITION BY r, ws[i:i + {n - 1}] ORDER BY i) AS k FROM w WHERE i <= len(ws) - {n - 1}),
+c{n} AS (SELECT r, sum(length(x)) AS c FROM (SELECT DISTINCT g.r, g.i + o.range AS i FROM g{n} g, range({n}) o WHERE g.k > 1) p JOIN (SELECT r, i, ws[i] AS x FROM w) q USING (r, i) GROUP BY r)""")
+        columns.append(f"coalesce(c{n}.c, 0) / greatest(f.word_chars, 1)::DOUBLE AS cover_{n}")
+        bad.append(f"cover_{n} > {most}")
+    joins = " ".join(f"LEFT JOIN c{n} USING (r)" for n in COVERAGE)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_SPACED}') AS ws FROM documents),
+w AS (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS i FROM d),
+g3 AS (SELECT r, i, count(*) OVER (PARTITION BY r, ws[i:i + 2]) AS k FROM w WHERE i <= len(ws) - 2),
+r3 AS (SELECT r, count(DISTINCT i + o.range) AS n FROM g3, range(3) o WHERE k > 1 GROUP BY r),
+l AS (SELECT r, line, row_number() OVER (PARTITION BY r, line ORDER BY k) AS nth FROM (SELECT r, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS k FROM d) WHERE regexp_matches(line, '{_SPACED}')),
+ln AS (SELECT r, count(*) AS n, count(*) FILTER (WHERE nth > 1) AS dup, sum(length(line)) AS c, sum(length(line)) FILTER (WHERE nth > 1) AS dc FROM l GROUP BY r),{",".join(ctes)},
+f AS (SELECT r, doc_id, len(ws) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols FROM d),
+v AS (SELECT f.doc_id, f.n_words, f.word_chars, f.n_symbols, coalesce(ln.dup, 0) AS n_dup_lines, coalesce(r3.n, 0) AS n_repeat_words, {", ".join(columns)},
+  coalesce(ln.dup, 0) / greatest(coalesce(ln.n, 0), 1)::DOUBLE AS dup_line_share, coalesce(ln.dc, 0) / greatest(coalesce(ln.c, 0), 1)::DOUBLE AS dup_line_char_share
+  FROM f LEFT JOIN r3 USING (r) LEFT JOIN ln USING (r) {joins})
+SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words) AND NOT ({" OR ".join(bad)} OR dup_line_share > {DUP_LINES} OR dup_line_char_share > {DUP_LINE_CHARS}) AS kept FROM v
+"""
+
+
+_ESCAPED = r"regexp_replace({0}, '\\|</?s>|\[/?INST\]', '\\\0', 'g')"
+
 SQL = {
+    "op2_license_scan": _license_sql(),
+    "op5_quality_rules": _rules_sql(),
+    "op8_chat_formatting": f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(concat(role, chr(10), text, chr(10)), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length({_ESCAPED.format("text")}) + length({_ESCAPED.format("role")}) + length('<s>[INST][/INST]</s>')) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id
+""",
     "op1_ngram_jaccard_join": f"""
 WITH RECURSIVE {JACCARD_CTES}
 SELECT n.doc_id, n.n AS n_shingles, min(reach.b) AS component_id FROM n JOIN reach ON reach.a = n.doc_id GROUP BY n.doc_id, n.n
