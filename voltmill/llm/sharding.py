@@ -2,7 +2,7 @@
 
 Documents with equal texts are linked.  Rows start on a shard by keyed hash.  In each round every group of
 linked rows learns which shard most of its rows are on, and its rows elsewhere want to move there; a round's
-moves into a shard are let through as far as its quota and the rows that leave it allow.  Rows of one group on one
+moves into a shard are let through as far as its quota and the rows that leave it allow; in the last rounds what a full shard can't take gathers elsewhere.  Rows of one group on one
 shard are alike, so the state is one count per group and shard: a group of any size is a few rows.  Then
 rows take the shards of their group's counts, surplus rows leave shards over quota, and unlinked rows, which cut no
 edge anywhere, fill every shard to its exact quota: row counts differ by one at most (law `rows`).
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .shared import cut, dense_index, unit
 
-SHARDS, ROUNDS, SEED = 8, 6, 5
+SHARDS, ROUNDS, LATE, SEED = 8, 8, 4, 5
 
 
 def propagate(state: DataFrame, quota: list[int], rounds: int = ROUNDS) -> DataFrame:
@@ -29,15 +29,26 @@ def propagate(state: DataFrame, quota: list[int], rounds: int = ROUNDS) -> DataF
     """
     shards = len(quota)
     for r in range(rounds):
-        want = state.groupBy("g").agg(F.max_by("s", F.struct("n", F.xxhash64("g", "s"))).alias("to"))
-        wish = cut(state.join(want, "g"))
+        best = F.struct("n", F.xxhash64("g", "s"))
+        want = state.groupBy("g").agg(F.max_by("s", best).alias("to"))
+        if r >= rounds - LATE:
+            # What is left of groups that are larger than the room on their shard gathers on the next best one.
+            held = {x["s"]: x["n"] for x in state.groupBy("s").agg(F.sum("n").alias("n")).collect()}
+            full = F.col("s").isin([t for t in range(shards) if held.get(t, 0) >= 0.95 * quota[t]])
+            want = state.groupBy("g").agg(F.max_by("s", best).alias("top"), F.max_by("s", F.when(~full, best)).alias("next"))
+            wish = state.join(want, "g").withColumn("to", F.when(full & (F.col("s") == F.col("top")), F.col("s")).otherwise(F.coalesce("next", "s"))).drop("top", "next")
+        else:
+            wish = state.join(want, "g")
+        wish = cut(wish)
         flow = [[0] * shards for _ in range(shards)]
         for x in wish.groupBy("s", "to").agg(F.sum("n").alias("n")).collect():
             flow[x["s"]][x["to"]] = x["n"]
         here = [sum(row) for row in flow]
         moving = sum(here) - sum(flow[s][s] for s in range(shards))
         if not moving:
-            return state
+            if r >= rounds - LATE:
+                return state
+            continue
         share = [1.0] * shards
         for _ in range(20):  # what a shard lets in depends on what the others let out of it
             for t in range(shards):
