@@ -77,9 +77,18 @@ def token_sort_ratio(a: Column, b: Column) -> Column:
 
 def name_similarity(key_a: Column, key_b: Column) -> Column:
     """Blend of sorted-word edit ratio, Jaccard and overlap; a name inside the other scores 0.85 at least."""
-    ta, tb = tokens(key_a), tokens(key_b)
-    spelled = lambda t, k: F.when(F.size(t) > 0, sorted_words(t)).otherwise(k)
-    blend = 0.35 * edit_ratio(spelled(ta, key_a), spelled(tb, key_b)) + 0.35 * jaccard(ta, tb) + 0.30 * overlap(ta, tb)
+    return blended_similarity(key_a, key_b, tokens(key_a), tokens(key_b), token_text(key_a), token_text(key_b))
+
+
+def token_text(key: Column) -> Column:
+    """The telling words of a key in order, or the key itself where it has none."""
+    t = tokens(key)
+    return F.when(F.size(t) > 0, sorted_words(t)).otherwise(key)
+
+
+def blended_similarity(key_a: Column, key_b: Column, ta: Column, tb: Column, sa: Column, sb: Column) -> Column:
+    """name_similarity where tokens and their texts are at hand."""
+    blend = 0.35 * edit_ratio(sa, sb) + 0.35 * jaccard(ta, tb) + 0.30 * overlap(ta, tb)
     inside = (key_a != "") & (key_b != "") & (key_a.contains(key_b) | key_b.contains(key_a))
     return F.when((key_a == key_b) & (key_a != ""), F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.when(inside, F.greatest(blend, F.lit(0.85))).otherwise(blend)))
 

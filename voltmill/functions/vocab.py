@@ -23,7 +23,6 @@ OPERATORS = {
     "Kazam": ("kazam", ("kazam",)),
     "Lithion Power": ("lithion-power", ("lithion power", "lithion")),
     "Stilt Mobility": ("stilt-mobility", ("stilt mobility", "stilt")),
-    "ChargePlus": ("chargeplus", ("chargeplus", "charge plus")),
 }
 
 # Labels of connector types.
