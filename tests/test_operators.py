@@ -147,3 +147,54 @@ def test_stream_drops_replays_and_future_rows(spark, tmp_path):
     q = ingest.append_batches(ingest.observations(spark, str(src)), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_greedy_thinning_equals_brute_force(spark):
+    import random
+
+    from voltmill.operators import ingestion
+
+    rng = random.Random(4)
+    pts = [(i, 19 + rng.random() / 200, 72.8 + rng.random() / 200) for i in range(120)]
+    df = spark.createDataFrame(pts, "place long, latitude double, longitude double")
+    got = {r.place: r.duplicate_of for r in ingestion.keep_first_apart(df, 60.0, max_lat=60.0).collect()}
+    a, b = df.toDF("a", "la", "lo"), df.toDF("b", "lb", "lc")
+    near = {(r.a, r.b) for r in a.crossJoin(b).where("a < b").where(geo.haversine("la", "lo", "lb", "lc") < 60).collect()}
+    kept = []
+    for i, _, _ in pts:
+        hits = [k for k in kept if (k, i) in near]
+        assert got[i] == (hits[0] if hits else None)
+        if not hits:
+            kept.append(i)
+    assert len(kept) < 110
+
+
+def test_control_functions():
+    from voltmill.operators import control as c
+
+    assert [c.backoff_seconds(i) for i in (1, 2, 3, 20)] == [1.0, 2.0, 4.0, 60.0]
+    assert c.backoff_seconds(1, retry_after=7) == 7.0 and c.backoff_seconds(2, uniform=lambda: 0.0) == 1.6
+    assert [c.classify_failure(e) for e in (TimeoutError(), ValueError(), RuntimeError("HTTP 503"), RuntimeError("?"), RuntimeError("Unauthorized"))] == ["TRANSIENT", "PERMANENT", "TRANSIENT", "UNKNOWN", "PERMANENT"]
+    w = c.FixedWindow(2, 10)
+    assert [w.allow("k", t)[0] for t in (0, 1, 2, 11)] == [True, True, False, True]
+    out = c.run_jobs([("a", lambda: {"skipped": 1}), ("b", lambda: 1 / 0), ("c", dict)])
+    assert [x["state"] for x in out] == ["PARTIAL", "FAILED"]
+
+
+def test_model_registry(tmp_path):
+    import pytest
+
+    from voltmill.operators.control import ModelRegistry, RegistryError
+
+    r = ModelRegistry(str(tmp_path), ["a", "b"])
+    r.save("v1", b"one", beats_baseline=True)
+    r.save("v2", b"two", beats_baseline=False)
+    r.save("v3", b"three", beats_baseline=True, synthetic=True)
+    assert r.active() is None and r.approve("v1", "me")["approved"]
+    for version in ("v2", "v3", "nope", "../x"):
+        with pytest.raises(RegistryError):
+            r.approve(version, "me")
+    r.approve("v2", "me", reason="needed")
+    assert r.active()["version"] == "v2" and r.roll_back("me")["version"] == "v1" and r.active()["version"] == "v1"
+    (tmp_path / "v1.model").write_bytes(b"tampered")
+    assert r.active() is None

@@ -266,3 +266,36 @@ def greedy_capped(scored: DataFrame, per_state: int, per_city: int, total: int)
             yield batch[pd.Series(keep, index=batch.index, dtype=bool)]
 
     return near.coalesce(1).sortWithinPartitions(*by).mapInPandas(scan, near.schema)
+
+
+def snapshot_status(status_id: Column, title: Column, is_operational: Column) -> Column:
+    """Operational state of the offline snapshot: a flag and a text that contradict each other say unknown."""
+    t = F.lower(F.trim(F.coalesce(title, F.lit(""))))
+    no = F.coalesce(~is_operational, F.lit(False))
+    yes = F.coalesce(is_operational, F.lit(False))
+    down = F.coalesce(status_id == 100, F.lit(False)) | no | t.contains("not operational")
+    return (
+        F.when(status_id.isin(50, 75) & yes, "operational").when(down, F.when(t.rlike("closed|permanently"), "permanently_closed").otherwise("temporarily_unavailable")).otherwise("unknown")
+    )
+
+
+def snapshot_connector(type_id: Column, label: Column) -> Column:
+    """Connector type of the offline snapshot, which takes Type 2 for what it doesn't know."""
+    x = connector_by_text(label)
+    ccs = F.coalesce(F.lower(label).rlike("ccs.*combo|combo.*ccs"), F.lit(False))
+    return F.coalesce(mapping(POI_CONNECTOR_IDS)[type_id], F.when(ccs, "CCS2").when(x == "Other", "Type 2").otherwise(x))
+
+
+def snapshot_pricing(raw: Column) -> Column:
+    """Struct of type, per_kwh, per_session and estimate: one of free, per kWh, per session, or an unverified number."""
+    x = F.lower(F.trim(raw))
+    number = r"([0-9]+(?:\.[0-9]+)?)"
+    get = lambda tail: F.regexp_extract(x, number + tail, 1).try_cast("double")
+    kwh, session, any_ = get(r"\s*(?:/|-|\s+per\s+)?\s*(?:kwh|unit)"), get(r"\s*(?:/|-|\s+per\s+)?\s*session"), get("")
+    free = x.contains("free") | x.isin("0", "0.0", "0.00", "no charge")
+    none = F.lit(None).cast("double")
+    out = lambda kind, k, s, e: F.struct(F.lit(kind).alias("type"), k.alias("per_kwh"), s.alias("per_session"), e.alias("estimate"))
+    return (
+        F.when(free, out("free", F.lit(0.0), none, none)).when(kwh.between(1, 100), out("per_kwh", kwh, none, none)).when(session > 0, out("per_session", none, session, none))
+        .when(any_.between(1, 100), out("unknown", none, none, any_)).otherwise(out("unknown", none, none, none))
+    )
