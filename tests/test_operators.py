@@ -198,3 +198,13 @@ def test_model_registry(tmp_path):
     assert r.active()["version"] == "v2" and r.roll_back("me")["version"] == "v1" and r.active()["version"] == "v1"
     (tmp_path / "v1.model").write_bytes(b"tampered")
     assert r.active() is None
+
+
+def test_a_check_that_cannot_run_is_a_warning(spark):
+    from voltmill.operators import quality
+
+    t = spark.createDataFrame([(1, -2.0), (2, None)], "id int, power_kw double")
+    good = quality.in_one_pass(lambda: t, [("R-1", "HIGH", F.col("power_kw") <= 0), ("R-2", "INFO", F.col("power_kw").isNull())])
+    bad = quality.in_one_pass(lambda: t.select("nothing"), [("R-3", "HIGH", F.lit(True))])
+    got = {r.rule: (r.severity, r.offending, r.passed) for r in quality.run_checks(spark, [good, bad]).collect()}
+    assert got == {"R-1": ("HIGH", 1, False), "R-2": ("INFO", 1, True), "R-3": ("WARNING", None, False)}

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Boxes (lat_min, lat_max, lon_min, lon_max), plausible power, placeholder names, vocabulary.
@@ -112,58 +113,77 @@ def quarantine_ledger(validated: DataFrame) -> DataFrame:
     return validated.where("outcome = 'QUARANTINE'").select("source_id", "source_station_id", "name", rules.alias("failed_rules"))
 
 
-Check = tuple[str, str, Callable[[], DataFrame]]
+#: A rule's id and severity, and which of the rows are wrong.
+Rule = tuple[str, str, Column]
+#: One pass: its rules' ids and severities, and a frame of one row with a count for each id.
+Check = tuple[list[tuple[str, str]], Callable[[], DataFrame]]
+
+
+def in_one_pass(frame: Callable[[], DataFrame], rules: list[Rule]) -> Check:
+    """Count the offending rows of several rules in one scan."""
+    return [(r, v) for r, v, _ in rules], lambda: frame().agg(*[F.count_if(F.coalesce(e, F.lit(False))).alias(r) for r, _, e in rules])
 
 
 def warehouse_checks(t: dict[str, DataFrame], as_of: Column) -> list[Check]:
-    """The 24 rules: id, severity, and a one-row frame with the number of offending rows."""
-    n = lambda df: df.agg(F.count("*").alias("offending"))
-    orphans = lambda fact, key, dim: lambda: n(t[fact].join(t[dim].select(key).distinct(), key, "left_anti"))
-    doubled = lambda fact, *key: lambda: n(t[fact].groupBy(*key).agg(F.count("*").alias("c")).where("c > 1"))
-    bad = lambda table, e: lambda: n(t[table].where(e))
-    ratio = reduce(lambda a, b: a | b, [F.coalesce((F.col(f"{x}_ratio") < 0) | (F.col(f"{x}_ratio") > 1), F.lit(False)) for x in ("availability", "busy", "broken")])
-
-    def differ(a: str, b: str, a_where: str = "true", distinct: str | None = None) -> Callable[[], DataFrame]:
+    """The 24 rules: each table is scanned once for its row rules and dimension keys, once for its grain."""
+    c = F.col
+
+    def with_dims(fact: str, *dims: tuple[str, str]) -> Callable[[], DataFrame]:
+        """Facts with a flag for each dimension key that exists."""
+
         def run() -> DataFrame:
-            left = t[a].where(a_where).agg(F.count("*").alias("l"))
-            right = t[b].agg((F.count_distinct(distinct) if distinct else F.count("*")).alias("r"))
-            return left.crossJoin(right).select(F.abs(F.col("l") - F.col("r")).alias("offending"))
+            x = t[fact]
+            for dim, key in dims:
+                x = x.join(t[dim].select(key, F.lit(True).alias(f"has_{dim}")).dropDuplicates([key]), key, "left")
+            return x
 
         return run
 
+    def grain(rule: str, fact: str, *key: str) -> Check:
+        return [(rule, "HIGH")], lambda: t[fact].groupBy(*key).agg(F.count("*").alias("c")).agg(F.count_if(c("c") > 1).alias(rule))
+
+    def differ(rule: str, severity: str, a: str, b: str, eligible: str = "true", distinct: str | None = None) -> Check:
+        def run() -> DataFrame:
+            left = t[a].where(eligible).agg(F.count("*").alias("l"))
+            right = t[b].agg((F.count_distinct(distinct) if distinct else F.count("*")).alias("r"))
+            return left.crossJoin(right).select(F.abs(c("l") - c("r")).alias(rule))
+
+        return [(rule, severity)], run
+
+    lost = lambda dim: c(f"has_{dim}").isNull()
+    ratio = reduce(lambda a, b: a | b, [F.coalesce((c(f"{x}_ratio") < 0) | (c(f"{x}_ratio") > 1), F.lit(False)) for x in ("availability", "busy", "broken")])
     approved = "moderation_status = 'approved' AND moderated_at IS NOT NULL"
     return [
-        ("WH-RI-OBS-STATION", "CRITICAL", orphans("observation", "station_key", "station")), ("WH-RI-OBS-SOURCE", "CRITICAL", orphans("observation", "source_key", "source")),
-        ("WH-RI-OBS-DATE", "CRITICAL", orphans("observation", "date_key", "date")), ("WH-RI-REP-STATION", "CRITICAL", orphans("report", "station_key", "station")),
-        ("WH-RI-REV-STATION", "CRITICAL", orphans("review", "station_key", "station")), ("WH-RI-DAILY-STATION", "CRITICAL", orphans("daily", "station_key", "station")),
-        ("WH-DUP-OBS", "HIGH", doubled("observation", "observation_id")), ("WH-DUP-REP", "HIGH", doubled("report", "report_id")),
-        ("WH-DUP-REV", "HIGH", doubled("review", "review_id")), ("WH-DUP-DAILY", "HIGH", doubled("daily", "station_key", "date_key")),
-        ("WH-AGG-STATUS", "HIGH", bad("daily", "available_count + busy_count + broken_count > observation_count")),
-        ("WH-AGG-EVIDENCE", "HIGH", bad("daily", "observation_count = 0 AND report_count = 0 AND review_count = 0")),
-        ("WH-AGG-RATIO", "HIGH", bad("daily", ratio)), ("WH-AGG-FLAG", "HIGH", bad("daily", "has_evidence IS NOT TRUE")),
-        ("WH-NULL-POWER", "HIGH", bad("connector", "power_kw <= 0")),
-        ("WH-NULL-AVAIL", "HIGH", bad("observation", "available_connectors IS NOT NULL AND (total_connectors = 0 OR available_connectors > total_connectors)")),
-        ("WH-NULL-PROV", "INFO", bad("observation", "source_payload_hash IS NULL")),
-        ("WH-TS-FUTURE", "HIGH", bad("observation", F.col("observed_at") > as_of + F.expr("INTERVAL 1 HOUR"))), ("WH-TS-CAUSAL", "CRITICAL", bad("observation", "received_at < observed_at")),
-        ("WH-REC-OBS", "CRITICAL", differ("oltp_observation", "observation")), ("WH-REC-REP", "CRITICAL", differ("oltp_report", "report", approved)),
-        ("WH-REC-REV", "CRITICAL", differ("oltp_review", "review", approved)), ("WH-REC-STATION", "HIGH", differ("oltp_station", "station", distinct="station_key")),
-        ("WH-REC-CONN", "HIGH", differ("oltp_connector", "connector")),
+        in_one_pass(with_dims("observation", ("station", "station_key"), ("source", "source_key"), ("date", "date_key")), [
+            ("WH-RI-OBS-STATION", "CRITICAL", lost("station")), ("WH-RI-OBS-SOURCE", "CRITICAL", lost("source")), ("WH-RI-OBS-DATE", "CRITICAL", lost("date")),
+            ("WH-NULL-AVAIL", "HIGH", c("available_connectors").isNotNull() & ((c("total_connectors") == 0) | (c("available_connectors") > c("total_connectors")))),
+            ("WH-NULL-PROV", "INFO", c("source_payload_hash").isNull()),
+            ("WH-TS-FUTURE", "HIGH", c("observed_at") > as_of + F.expr("INTERVAL 1 HOUR")), ("WH-TS-CAUSAL", "CRITICAL", c("received_at") < c("observed_at")),
+        ]),
+        in_one_pass(with_dims("report", ("station", "station_key")), [("WH-RI-REP-STATION", "CRITICAL", lost("station"))]),
+        in_one_pass(with_dims("review", ("station", "station_key")), [("WH-RI-REV-STATION", "CRITICAL", lost("station"))]),
+        in_one_pass(with_dims("daily", ("station", "station_key")), [
+            ("WH-RI-DAILY-STATION", "CRITICAL", lost("station")), ("WH-AGG-STATUS", "HIGH", c("available_count") + c("busy_count") + c("broken_count") > c("observation_count")),
+            ("WH-AGG-EVIDENCE", "HIGH", (c("observation_count") == 0) & (c("report_count") == 0) & (c("review_count") == 0)),
+            ("WH-AGG-RATIO", "HIGH", ratio), ("WH-AGG-FLAG", "HIGH", ~F.coalesce(c("has_evidence"), F.lit(False))),
+        ]),
+        in_one_pass(lambda: t["connector"], [("WH-NULL-POWER", "HIGH", c("power_kw") <= 0)]),
+        grain("WH-DUP-OBS", "observation", "observation_id"), grain("WH-DUP-REP", "report", "report_id"), grain("WH-DUP-REV", "review", "review_id"), grain("WH-DUP-DAILY", "daily", "station_key", "date_key"),
+        differ("WH-REC-OBS", "CRITICAL", "oltp_observation", "observation"), differ("WH-REC-REP", "CRITICAL", "oltp_report", "report", approved), differ("WH-REC-REV", "CRITICAL", "oltp_review", "review", approved),
+        differ("WH-REC-STATION", "HIGH", "oltp_station", "station", distinct="station_key"), differ("WH-REC-CONN", "HIGH", "oltp_connector", "connector"),
     ]
 
 
-def run_checks(checks: list[Check]) -> DataFrame:
-    """One row per rule: rule, severity, offending, passed; informing rules never fail.  A rule that can't be planned becomes a warning."""
-    rows = []
-    for rule, severity, build in checks:
+def run_checks(spark: SparkSession, checks: list[Check]) -> DataFrame:
+    """One row per rule: rule, severity, offending, passed; informing rules never fail.  A pass that can't be planned makes its rules warnings."""
+    frames, failed = [], []
+    for rules, build in checks:
         try:
-            frame = build()
-        except Exception:  # the run goes on without this rule
-            rows.append((rule, None, severity))
+            one = build()
+        except AnalysisException:  # the run goes on without these rules
+            failed += [(r, "WARNING", None) for r, _ in rules]
             continue
-        rows.append((rule, frame.select(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.col("offending").cast("long").alias("offending")), severity))
-    frames = [f for _, f, _ in rows if f is not None]
-    out = reduce(DataFrame.union, frames)
-    failed = [(r, "WARNING", None) for r, f, _ in rows if f is None]
-    if failed:
-        out = out.union(out.sparkSession.createDataFrame(failed, "rule string, severity string, offending long"))
+        rows = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(v).alias("severity"), F.col(f"`{r}`").cast("long").alias("offending")) for r, v in rules])
+        frames.append(one.select(F.inline(rows)))
+    out = reduce(DataFrame.union, frames, spark.createDataFrame(failed, "rule string, severity string, offending long"))
     return out.withColumn("passed", F.when(F.col("severity") == "INFO", True).when(F.col("severity") == "WARNING", False).otherwise(F.col("offending") == 0))

@@ -20,7 +20,7 @@ def checks(s: Star) -> DataFrame:
         "date": warehouse.calendar(s.spark), "daily": warehouse.daily_evidence(s.fact_observation, s.fact_report, s.fact_review),
         "oltp_observation": s.events, "oltp_report": s.user_report, "oltp_review": s.review, "oltp_station": s.supplier, "oltp_connector": s.part,
     }
-    return quality.run_checks(quality.warehouse_checks(tables, F.lit(AS_OF).cast("timestamp_ntz")))
+    return quality.run_checks(s.spark, quality.warehouse_checks(tables, F.lit(AS_OF).cast("timestamp_ntz")))
 
 
 _N = "(SELECT count(*) FROM {0})"
