@@ -106,9 +106,9 @@ def _(s: Star) -> DataFrame:
     return geo.nearest_other(points(s), max_lat=60.0).where("distance >= 3500").select(F.col("id_a").alias("id"), F.round(F.col("distance") / 1000, 6).alias("gap_km"))
 
 
-@query("ord_04_most_isolated", "SELECT id, round(distance, 3) AS distance FROM nn ORDER BY distance DESC, id LIMIT 25", pts=POINTS, nn=NEAREST)
+@query("ord_04_most_isolated", "SELECT id, round(distance, 3) AS distance FROM nn ORDER BY round(distance, 3) DESC, id LIMIT 25", pts=POINTS, nn=NEAREST)
 def _(s: Star) -> DataFrame:
-    return geo.nearest_other(points(s), max_lat=60.0).orderBy(F.desc("distance"), "id_a").limit(25).select(F.col("id_a").alias("id"), F.round("distance", 3).alias("distance"))
+    return geo.nearest_other(points(s), max_lat=60.0).orderBy(F.round("distance", 3).desc(), "id_a").limit(25).select(F.col("id_a").alias("id"), F.round("distance", 3).alias("distance"))
 
 
 DB = {

@@ -21,9 +21,9 @@ def _(s: Star) -> DataFrame:
 
 
 @query("ml_08_iqr_anomalies", """WITH q AS (SELECT station_key, list(value ORDER BY value) AS v, count(*) AS n FROM fact_observation GROUP BY 1 HAVING count(*) >= 10), f AS (SELECT station_key, v[n // 4 + 1] AS q1, v[(3 * n) // 4 + 1] AS q3 FROM q)
-SELECT o.observation_id, round(CASE WHEN q3 = q1 THEN 0 WHEN value < q1 THEN (q1 - 1.5 * (q3 - q1) - value) / (q3 - q1) ELSE (value - q3 - 1.5 * (q3 - q1)) / (q3 - q1) END, 9) AS score FROM fact_observation o JOIN f USING (station_key) WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1)""")
+SELECT o.observation_id, CASE WHEN q3 = q1 THEN 0 WHEN value < q1 THEN ((q1 - 1.5::DOUBLE * (q3 - q1)) - value) / (q3 - q1) ELSE (value - (q3 + 1.5::DOUBLE * (q3 - q1))) / (q3 - q1) END AS score FROM fact_observation o JOIN f USING (station_key) WHERE value < q1 - 1.5::DOUBLE * (q3 - q1) OR value > q3 + 1.5::DOUBLE * (q3 - q1)""")
 def _(s: Star) -> DataFrame:
-    return learning.iqr_anomalies(s.fact_observation.select("station_key", "observation_id", "value"), ["station_key"], "value").select("observation_id", F.round("score", 9).alias("score"))
+    return learning.iqr_anomalies(s.fact_observation.select("station_key", "observation_id", "value"), ["station_key"], "value").select("observation_id", "score")
 
 
 @query("ml_06_gap_distance_outliers", """WITH v AS (SELECT s_suppkey AS id, s_acctbal AS x FROM supplier), q AS (SELECT list(x ORDER BY x) AS l, count(*) AS n FROM v), f AS (SELECT l[n // 4 + 1] AS q1, l[(3 * n) // 4 + 1] AS q3 FROM q) SELECT id FROM v, f WHERE x < q1 - 0.4 * (q3 - q1) OR x > q3 + 0.4 * (q3 - q1)""")

@@ -22,13 +22,19 @@ def dates(s: Star) -> DataFrame:
     return F.broadcast(warehouse.calendar(s.spark))
 
 
+def _percent(ratio: str, divide: str) -> str:
+    """Mean of a ratio kept to four places, in percent to two, half up: whole numbers all the way, so neither the
+    order of rows nor a binary fraction matters."""
+    units = f"CAST(CAST({ratio} AS DECIMAL(5,4)) * 10000 AS BIGINT)"
+    return f"CAST(((2 * sum({units}) + count({ratio})) {divide} nullif(2 * count({ratio}), 0)) AS DOUBLE) / 100"
+
+
 def percent(ratio: str) -> Column:
-    """Mean of a ratio kept to four places, in percent: exact decimal sums, so the order of rows doesn't matter."""
-    return F.round(F.sum(F.col(ratio).cast("decimal(5,4)")).cast("double") / F.count(ratio) * 100, 2)
+    return F.expr(_percent(ratio, "div"))
 
 
 def percent_sql(ratio: str) -> str:
-    return f"round(CAST(sum(CAST({ratio} AS DECIMAL(5,4))) AS DOUBLE) / nullif(count({ratio}), 0) * 100, 2)"
+    return _percent(ratio, "//")
 
 
 @query("qry_01_stations_by_operator", "SELECT operator_name, count(*) AS station_count FROM dim_station JOIN dim_operator USING (operator_key) WHERE is_current GROUP BY 1")
@@ -110,7 +116,7 @@ _UTIL = f"count(DISTINCT f.station_key) AS active_stations, CAST(sum(f.observati
 @query("olap_1a_rollup_year_month", f"""SELECT CASE WHEN grouping(d.year) = 1 THEN 'ALL YEARS' ELSE CAST(d.year AS VARCHAR) END AS year, CASE WHEN grouping(d.month) = 1 THEN 'ANNUAL TOTAL' ELSE d.month_name END AS month_name, {_UTIL}
 FROM fact_daily f JOIN dim_date d USING (date_key) GROUP BY ROLLUP (d.year, (d.month, d.month_name))""", **CTES)
 def _(s: Star) -> DataFrame:
-    util = "count(DISTINCT station_key) AS active_stations, sum(observation_count) AS total_ticks, " + ", ".join(f"round(CAST(sum(CAST({r} AS DECIMAL(5,4))) AS DOUBLE) / nullif(count({r}), 0) * 100, 2) AS {n}" for r, n in (("busy_ratio", "utilization_pct"), ("availability_ratio", "uptime_pct")))
+    util = "count(DISTINCT station_key) AS active_stations, sum(observation_count) AS total_ticks, " + ", ".join(f"{_percent(r, 'div')} AS {n}" for r, n in (("busy_ratio", "utilization_pct"), ("availability_ratio", "uptime_pct")))
     return s.spark.sql(
         f"""SELECT IF(grouping(year) = 1, 'ALL YEARS', CAST(year AS STRING)) AS year, IF(grouping(month) = 1, 'ANNUAL TOTAL', month_name) AS month_name, {util}
         FROM {{f}} GROUP BY ROLLUP (year, (month, month_name))""",
