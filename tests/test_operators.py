@@ -208,3 +208,16 @@ def test_a_check_that_cannot_run_is_a_warning(spark):
     bad = quality.in_one_pass(lambda: t.select("nothing"), [("R-3", "HIGH", F.lit(True))])
     got = {r.rule: (r.severity, r.offending, r.passed) for r in quality.run_checks(spark, [good, bad]).collect()}
     assert got == {"R-1": ("HIGH", 1, False), "R-2": ("INFO", 1, True), "R-3": ("WARNING", None, False)}
+
+
+def test_quarter_hour_counts_of_a_stream(spark, tmp_path):
+    from voltmill.streaming import ingest
+
+    src = tmp_path / "in"
+    src.mkdir()
+    row = {"observation_id": 1, "station_key": 1, "observed_at": "2024-01-01T10:01:00Z", "received_at": "2024-01-01T10:01:05Z", "availability_status": "busy", "source_payload_hash": "h"}
+    rows = [row, row | {"observed_at": "2024-01-01T10:14:59Z", "received_at": "2024-01-01T10:15:00Z"}, row | {"observed_at": "2024-01-01T10:15:00Z", "received_at": "2024-01-01T10:15:00Z"}]
+    (src / "a.json").write_text("\n".join(json.dumps(r) for r in rows))
+    q = ingest.slot_counts(ingest.observations(spark, str(src))).writeStream.outputMode("complete").format("memory").queryName("slots").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted((r.slot.start.minute, r.n) for r in spark.table("slots").collect()) == [(0, 2), (15, 1)]
