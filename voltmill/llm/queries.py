@@ -25,7 +25,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import line_dedup
 
-    return line_dedup.report(table(spark, sf_dir, "documents"))
+    return line_dedup.report(table(spark, sf_dir, "documents")).withColumn("dropped", F.array_join("dropped", ","))
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,11 +117,11 @@ def _license_sql() -> str:
 
     values = ", ".join(f"('{label}', '{w}')" for label, t in TEMPLATES.items() for w in sorted(set(t.split())))
     spans = " UNION ALL ".join(
-        f"SELECT r, '{label}' AS label, i - 1 AS at FROM w WHERE " + " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(p.split())) for p, label in PHRASES.items()
+        f"SELECT r, '{label}' AS label, i - 1 AS at FROM w WHERE " + " AND ".join(f"x{k} = '{x}'" for k, x in enumerate(p.split())) for p, label in PHRASES.items()
     )
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_ALNUM} AS ws FROM documents),
-w AS (SELECT r, ws AS w, unnest(range(1, len(ws) + 1)) AS i FROM d),
+w AS (SELECT r, i, x AS x0, lead(x, 1) OVER q AS x1, lead(x, 2) OVER q AS x2 FROM (SELECT r, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM d) WINDOW q AS (PARTITION BY r ORDER BY i)),
 places AS ({spans}),
 b AS (SELECT r, unnest(range(0, len(ws), {STRIDE})) AS a, ws FROM d),
 x AS (SELECT DISTINCT r, a, unnest(ws[a + 1:a + {WINDOW}]) AS t FROM b),
@@ -138,18 +138,23 @@ FROM d LEFT JOIN places p USING (r) GROUP BY d.r, d.doc_id, d.ws
 def _rules_sql() -> str:
     from .quality_rules import COVERAGE, DUP_LINE_CHARS, DUP_LINES, MIN_WORDS
 
+    def grams(n: int, k: str) -> str:
+        """Windows of n words, which hold no spaces, with a number k."""
+        words = ", ".join(["x", *(f"lead(x, {j}) OVER q" for j in range(1, n))])
+        return f"SELECT r, i, {k} AS k FROM (SELECT r, i, concat_ws(' ', {words}) AS gram, lead(x, {n - 1}) OVER q AS last FROM w WINDOW q AS (PARTITION BY r ORDER BY i)) WHERE last IS NOT NULL"
+
     ctes, columns, bad = [], [], []
     for n, most in COVERAGE.items():
         ctes.append(f"""
-g{n} AS (SELECT r, i, row_number() OVER (PARTITION BY r, ws[i:i + {n - 1}] ORDER BY i) AS k FROM w WHERE i <= len(ws) - {n - 1}),
-c{n} AS (SELECT r, sum(length(x)) AS c FROM (SELECT DISTINCT g.r, g.i + o.range AS i FROM g{n} g, range({n}) o WHERE g.k > 1) p JOIN (SELECT r, i, ws[i] AS x FROM w) q USING (r, i) GROUP BY r)""")
+g{n} AS ({grams(n, "row_number() OVER (PARTITION BY r, gram ORDER BY i)")}),
+c{n} AS (SELECT r, sum(length(x)) AS c FROM (SELECT DISTINCT g.r, g.i + o.range AS i FROM g{n} g, range({n}) o WHERE g.k > 1) p JOIN w USING (r, i) GROUP BY r)""")
         columns.append(f"coalesce(c{n}.c, 0) / greatest(f.word_chars, 1)::DOUBLE AS cover_{n}")
         bad.append(f"cover_{n} > {most}")
     joins = " ".join(f"LEFT JOIN c{n} USING (r)" for n in COVERAGE)
     return f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_SPACED}') AS ws FROM documents),
-w AS (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS i FROM d),
-g3 AS (SELECT r, i, count(*) OVER (PARTITION BY r, ws[i:i + 2]) AS k FROM w WHERE i <= len(ws) - 2),
+w AS (SELECT r, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM d),
+g3 AS ({grams(3, "count(*) OVER (PARTITION BY r, gram)")}),
 r3 AS (SELECT r, count(DISTINCT i + o.range) AS n FROM g3, range(3) o WHERE k > 1 GROUP BY r),
 l AS (SELECT r, line, row_number() OVER (PARTITION BY r, line ORDER BY k) AS nth FROM (SELECT r, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS k FROM d) WHERE regexp_matches(line, '{_SPACED}')),
 ln AS (SELECT r, count(*) AS n, count(*) FILTER (WHERE nth > 1) AS dup, sum(length(line)) AS c, sum(length(line)) FILTER (WHERE nth > 1) AS dc FROM l GROUP BY r),{",".join(ctes)},
@@ -164,8 +169,25 @@ SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_f
 
 _ESCAPED = r"regexp_replace({0}, '\\|</?s>|\[/?INST\]', '\\\0', 'g')"
 
+#: Lines an edit apart agree in a half, so only lines that share one are compared.
+_LINES_SQL = """
+WITH RECURSIVE d AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, k - 1 AS line_no, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM d) WHERE length(trim(line, ' ')) > 0),
+u AS (SELECT line, min((doc_id, line_no)) AS first, length(line) AS n FROM l GROUP BY line),
+k AS (SELECT line, first, n, unnest([concat('p', left(line, n // 2)), concat('p', left(line, (n - 1) // 2)), concat('s', right(line, n - n // 2)), concat('s', right(line, (n - 1) - (n - 1) // 2))]) AS half FROM u WHERE n >= 16),
+c AS (SELECT DISTINCT a.line AS x, b.line AS y FROM k a JOIN k b ON a.half = b.half AND b.first < a.first AND abs(a.n - b.n) <= 1),
+-- Length of the common beginning, then the rests must be equal after one code point of the longer or of both.
+e AS (SELECT x, y, least(length(x), length(y)) AS m, 0 AS lo, least(length(x), length(y)) AS hi FROM c
+  UNION ALL SELECT x, y, m, CASE WHEN left(x, (lo + hi + 1) // 2) = left(y, (lo + hi + 1) // 2) THEN (lo + hi + 1) // 2 ELSE lo END, CASE WHEN left(x, (lo + hi + 1) // 2) = left(y, (lo + hi + 1) // 2) THEN hi ELSE (lo + hi + 1) // 2 - 1 END FROM e WHERE lo < hi),
+near AS (SELECT DISTINCT x AS line FROM e WHERE lo = hi AND CASE WHEN length(x) = length(y) THEN substr(x, lo + 2) = substr(y, lo + 2) WHEN length(x) > length(y) THEN substr(x, lo + 2) = substr(y, lo + 1) ELSE substr(x, lo + 1) = substr(y, lo + 2) END),
+g AS (SELECT doc_id, list_sort(list(DISTINCT line_no)) AS gone FROM l JOIN u USING (line) WHERE (doc_id, line_no) > first OR line IN (SELECT line FROM near) GROUP BY doc_id)
+SELECT documents.doc_id, CAST(coalesce(len(list_filter(string_split(text, chr(10)), lambda t: length(trim(t, ' ')) > 0)), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_dropped, coalesce(array_to_string(gone, ','), '') AS dropped
+FROM documents LEFT JOIN g USING (doc_id)
+"""
+
 SQL = {
     "op2_license_scan": _license_sql(),
+    "op3_line_dedup": _LINES_SQL,
     "op5_quality_rules": _rules_sql(),
     "op8_chat_formatting": f"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
