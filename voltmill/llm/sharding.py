@@ -17,12 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import cut, dense_index, unit
+from .shared import cut, dense_index, files_for, unit
 
 SHARDS, ROUNDS, LATE, SEED = 8, 8, 4, 5
 
 
-def propagate(state: DataFrame, quota: list[int], rounds: int = ROUNDS) -> DataFrame:
+def propagate(state: DataFrame, quota: list[int], files: int, rounds: int = ROUNDS) -> DataFrame:
     """Move the counts n of groups g between shards s, towards each group's largest count.
 
     Only 8 x 8 sums of a round come to the driver.
@@ -39,7 +39,7 @@ def propagate(state: DataFrame, quota: list[int], rounds: int = ROUNDS) -> DataF
             wish = state.join(want, "g").withColumn("to", F.when(full & (F.col("s") == F.col("top")), F.col("s")).otherwise(F.coalesce("next", "s"))).drop("top", "next")
         else:
             wish = state.join(want, "g")
-        wish = cut(wish)
+        wish = cut(wish, files)
         flow = [[0] * shards for _ in range(shards)]
         for x in wish.groupBy("s", "to").agg(F.sum("n").alias("n")).collect():
             flow[x["s"]][x["to"]] = x["n"]
@@ -60,16 +60,16 @@ def propagate(state: DataFrame, quota: list[int], rounds: int = ROUNDS) -> DataF
         part = F.when(F.col("n") * let >= 64, F.floor(F.col("n") * let)).when(unit(F.lit(SEED + r), "g", "s") < let, F.col("n")).otherwise(0)
         moved = wish.withColumn("go", F.when(F.col("s") == F.col("to"), F.lit(0)).otherwise(part).cast("long"))
         halves = F.array(F.struct(F.col("s").alias("s"), (F.col("n") - F.col("go")).alias("n")), F.struct(F.col("to").alias("s"), F.col("go").alias("n")))
-        state = cut(moved.select("g", F.inline(halves)).where("n > 0").groupBy("g", "s").agg(F.sum("n").alias("n")))
+        state = moved.select("g", F.inline(halves)).where("n > 0").groupBy("g", "s").agg(F.sum("n").alias("n"))
     return state
 
 
-def group_rows(rows: DataFrame, state: DataFrame) -> DataFrame:
+def group_rows(rows: DataFrame, state: DataFrame, files: int) -> DataFrame:
     """Give the rows of each group the shards of its counts, in order of a keyed hash."""
     numbered = _index_in_group(rows)
     before = W.partitionBy("g").orderBy("s").rowsBetween(W.unboundedPreceding, -1)
     spans = state.withColumn("lo", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    spans = spans.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("lo", "s"))).alias("spans"))  # SHARDS at most
+    spans = cut(spans.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("lo", "s"))).alias("spans")), files)  # SHARDS at most
     last = F.element_at(F.filter("spans", lambda x: x["lo"] <= F.col("i")), -1)["s"]
     return numbered.join(spans, "g").withColumn("shard", last).drop("spans", "i")
 
@@ -95,15 +95,16 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     )
     rows = cut(rows)
     total = rows.count()
+    files = files_for(total)
     quota = [total // shards + (s < total % shards) for s in range(shards)]
-    linked_groups = rows.groupBy("g").agg(F.count("*").alias("of")).where("of > 1").select("g")
+    linked_groups = cut(rows.groupBy("g").agg(F.count("*").alias("of")).where("of > 1").select("g"), files)  # cut, so that a join with a large group can be split
     start = F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "size"), F.lit(shards)).cast("int")
-    linked = cut(rows.join(linked_groups, "g"))
+    linked = cut(rows.join(linked_groups, "g"), files)
     state = linked.groupBy("g", start.alias("s")).agg(F.count("*").alias("n"))
-    placed = group_rows(linked, propagate(cut(state), quota))
+    placed = group_rows(linked, propagate(cut(state, files), quota, files), files)
 
     # Surplus rows of a shard are those with the last numbers.
-    numbered = cut(dense_index(placed, ["shard"], [F.col("g"), F.col("doc_id")], "k"))
+    numbered = cut(dense_index(placed, ["shard"], [F.col("g"), F.col("doc_id")], "k"), files)
     limit = F.element_at(F.array(*[F.lit(q) for q in quota]), F.col("shard") + 1)
     stay = numbered.where(F.col("k") < limit).drop("k")
     held = [0] * shards
@@ -115,7 +116,7 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     for s in range(shards):
         shard = F.when((F.col("k") >= lo) & (F.col("k") < lo + quota[s] - held[s]), F.lit(s)).otherwise(shard)
         lo += quota[s] - held[s]
-    every = cut(stay.unionByName(filled.withColumn("shard", shard).drop("k")))
+    every = cut(stay.unionByName(filled.withColumn("shard", shard).drop("k")), files)
     out = dense_index(every, ["shard"], [F.col("g"), F.col("doc_id")], "slot")
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
 

@@ -15,8 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the cluster's shared checkpoint folder and go on from there."""
+def files_for(rows: int, each: int = 50_000) -> int:
+    """Files for a table of short rows, so that a small one isn't strewn over as many files as there are partitions."""
+    return max(1, -(-rows // each))
+
+
+def cut(df: DataFrame, files: int | None = None) -> DataFrame:
+    """Write df to the cluster's shared checkpoint folder, in at most so many files, and go on from there."""
+    if files is not None:
+        df = df.coalesce(files)
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -34,7 +41,7 @@ def unit(*cols: Column | str) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 52)) / F.lit(float(1 << 52))
 
 
-def dense_index(df: DataFrame, within: list[str], order: list[Column], name: str, rows_per_bucket: int = 20_000) -> DataFrame:
+def dense_index(df: DataFrame, within: list[str], order: list[Column], name: str, rows_per_bucket: int = 2_500) -> DataFrame:
     """Number the rows from 0 without gaps in each group of the columns within.
 
     Rows are dealt by hash into buckets, numbered there, and shifted by the rows of earlier buckets,
