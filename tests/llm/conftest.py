@@ -14,7 +14,7 @@ def docs(spark):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     from pyspark.sql import functions as F
 
-    return spark.createDataFrame(rows, schema).withColumn("kept", F.lit("mine")).withColumn("n", F.lit(1)).withColumn("class", F.lit(2))
+    return spark.createDataFrame(rows, schema).withColumn("kept", F.lit("mine")).withColumn("n", F.lit(1)).withColumn("class", F.lit(2)).withColumns({c: F.lit(3) for c in ("rows", "copies", "bucket", "digest", "mark", "top", "shard", "size", "line", "ids", "label", "g")})
 
 
 @pytest.fixture(scope="session")

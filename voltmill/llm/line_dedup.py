@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, files_for
 
 MIN_CHARS, BLOCKS = 16, 16
 
@@ -61,9 +61,9 @@ def _block_keys() -> Column:
     return F.concat(of(n), of(n - 1))
 
 
-def _shared(rows: DataFrame, key: str, what: str) -> DataFrame:
-    """Keys that two or more different values of what have."""
-    return rows.groupBy(key).agg(F.min(what).alias("lo"), F.max(what).alias("hi")).where("lo < hi").select(key)
+def _shared(rows: DataFrame, key: str, what: str, files: int) -> DataFrame:
+    """Keys that two or more different values of what have; cut, so that joins with them can be split where a key is common."""
+    return cut(rows.groupBy(key).agg(F.min(what).alias("lo"), F.max(what).alias("hi")).where("lo < hi").select(key), files)
 
 
 def _variants() -> Column:
@@ -83,23 +83,23 @@ def _variants() -> Column:
     return F.when(F.col("m") == F.col("n"), same).otherwise(longer)
 
 
-def near_lines(docs: DataFrame, first: DataFrame) -> DataFrame:
+def near_lines(docs: DataFrame, first: DataFrame, files: int) -> DataFrame:
     """(id, keep): lines with an earlier one an edit away, and the earliest such place.  first has id and place."""
     lines = split_lines(docs).where(F.length("line") >= MIN_CHARS)
     keys = lines.select(F.xxhash64("line").alias("h"), F.explode(_half_keys()).alias("k"))
-    live = keys.join(_shared(keys, "k", "h"), "k", "left_semi").select("h").distinct()
+    live = keys.join(_shared(keys, "k", "h", files), "k", "left_semi").select("h").distinct()
     texts = lines.select("line", F.xxhash64("line").alias("h")).join(live.hint("shuffle_hash"), "h", "left_semi").select("line").distinct()
     texts = cut(texts.select(_id(F.col("line")).alias("id"), "line", F.length("line").alias("n")).join(first, "id"))
     blocks = cut(texts.select("id", F.inline(_block_keys())))
-    some = blocks.join(_shared(blocks, "key", "id"), "key", "left_semi")
+    some = blocks.join(_shared(blocks, "key", "id", files), "key", "left_semi")
     emitted = some.join(texts, "id").select("id", "place", F.inline(_variants()))
-    emitted = cut(emitted.distinct())
+    emitted = cut(emitted.distinct(), files)
     me = F.struct("place", "id")
-    least = emitted.groupBy("v").agg(
+    least = cut(emitted.groupBy("v").agg(
         F.min(F.when(F.col("kind") == "same", me)).alias("same"),
         F.min(F.when(F.col("kind") == "short", me)).alias("short"),
         F.min(F.when(F.col("kind") == "long", me)).alias("long"),
-    )
+    ), files)
     found = F.when(F.col("kind") == "same", F.col("same")).when(F.col("kind") == "short", F.col("long")).otherwise(F.col("short"))
     earlier = emitted.join(least, "v").withColumn("keep", found).where(F.col("keep.place") < F.col("place"))
     earlier = earlier.groupBy("id").agg(F.min("keep").alias("keep"))
@@ -114,9 +114,10 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     place = F.struct("doc_id", "line_no").alias("place")
     every = cut(split_lines(docs).select(place, _id(F.col("line")).alias("id")))
-    first = cut(every.groupBy("id").agg(F.min("place").alias("place"), F.count("*").alias("n")))
-    near = near_lines(docs, first.select("id", "place"))
-    marks = first.join(near, "id", "left").where("n > 1 OR keep IS NOT NULL").select("id", F.col("place").alias("own"), "keep")
+    files = files_for(every.count())
+    first = cut(every.groupBy("id").agg(F.min("place").alias("place"), F.count("*").alias("n")), files)
+    near = near_lines(docs, first.select("id", "place"), files)
+    marks = cut(first.join(near, "id", "left").where("n > 1 OR keep IS NOT NULL").select("id", F.col("place").alias("own"), "keep"), files)  # cut, so that the join with a very common line can be split
     hit = every.join(marks, "id").where(F.col("keep").isNotNull() | (F.col("place") > F.col("own")))
     keep = F.when(F.col("place") > F.col("own"), F.struct(F.col("own").alias("p"), F.lit(0).alias("d"))).otherwise(F.struct(F.col("keep").alias("p"), F.lit(1).alias("d")))
     out = hit.select("place.*", keep.alias("k")).distinct()
