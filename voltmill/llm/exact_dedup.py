@@ -12,16 +12,13 @@ being smallest; of repeated rows (same id, same text) one stays; an empty table
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import mix64
-from .shared import cut
+from .shared import cut, files_for
 
 #: Distinct digests of a bucket, about; one filter of 9/8 bytes a digest covers it.
 BUCKET_ROWS = 1 << 18
@@ -139,12 +136,13 @@ def duplicate_groups(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", digest(F.col("text")).alias("digest"), (F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0).alias("old"))
     total = rows.count()
     buckets = max(1, -(-total // BUCKET_ROWS))
-    snapshot = cut(grouped(rows.where("old"), buckets))
-    batch = cut(grouped(rows.where(~F.col("old")), buckets))
+    files = files_for(total)
+    snapshot = cut(grouped(rows.where("old"), buckets), files)
+    batch = cut(grouped(rows.where(~F.col("old")), buckets), files)
     seen = screen(batch, snapshot_filters(snapshot))
     both = seen.select("digest").join(snapshot.select("digest"), "digest", "left_semi")
     within = snapshot.where("n > 1").select("digest").union(batch.where("n > 1").select("digest"))
-    again = cut(both.union(within).distinct())
+    again = cut(both.union(within).distinct(), files)
     # Byte check: texts of these digests only, combined on each side of the exchange.
     texts = docs.select("doc_id", text.alias("text")).withColumn("digest", digest(F.col("text")))
     same = texts.join(again.hint("shuffle_hash"), "digest", "left_semi").groupBy("text").agg(F.max("doc_id").alias("top"), F.count("*").alias("n"))
@@ -180,5 +178,6 @@ def keep_rows(docs: DataFrame) -> DataFrame:
     joined = tagged.join(g, ["__digest", "__mark"], "left").where(F.col("__n").isNull() | F.col("__top").eqNullSafe(F.col("doc_id")))
     single = joined.where(F.col("__n").isNull())
     # Of each group the top row is left, and more than one only where that row itself is repeated.
-    several = joined.where(F.col("__n").isNotNull()).dropDuplicates(["__digest", "__mark"])
+    # By another key than the join's, so that the join with a large group can be split.
+    several = joined.where(F.col("__n").isNotNull()).withColumn("__key", F.hex("__digest")).dropDuplicates(["__key"]).drop("__key")
     return single.unionByName(several).select(*[F.col(f"`{c}`") for c in cols])
