@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import WORD, cut, unit
+from .shared import WORD, cut, files_for, unit
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Copies of a document, and so of a source's words, at most.
@@ -99,6 +99,7 @@ def _fold(items: Column) -> Column:
 def copies(rows: DataFrame, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """Targets of sources, and (doc_id, source, size, rows, copies): copies that rows of equal id, source and size get together."""
     targets = cut(source_targets(rows))
+    files = files_for(rows.count())
     entry = rows.where("size > 0").groupBy("source", "doc_id", "size").agg(F.count("*").alias("m"))
     t = targets.select(F.col("source").alias("__s"), "source_size", "target", "n")
     entry = entry.join(t, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
@@ -106,7 +107,7 @@ def copies(rows: DataFrame, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     whole = F.floor(each * F.col("m"))
     key = F.xxhash64(F.lit(seed), "source", "doc_id", "size")
     groups = F.ceil(F.col("n") / F.lit(FAN_IN))
-    entry = cut(entry.select("source", "doc_id", "size", "m", whole.cast("long").alias("whole"), (each * F.col("m") - whole).alias("f"), F.pmod(key, groups).alias("b"), key.alias("key")))
+    entry = cut(entry.select("source", "doc_id", "size", "m", whole.cast("long").alias("whole"), (each * F.col("m") - whole).alias("f"), F.pmod(key, groups).alias("b"), key.alias("key")), files)
     largest = targets.agg(F.max("n")).first()[0] or 0
     level, n, settled = 0, -(-largest // FAN_IN), []
     open_rows = entry.where("f > 0").select("source", F.col("doc_id").alias("id"), "size", "m", "f", "b", "key")
@@ -116,7 +117,7 @@ def copies(rows: DataFrame, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
         item = F.struct((-F.col("size")).alias("order"), "key", F.struct("id", "size", "m", "f", u.alias("u"), "b").alias("x"))
         listed = F.transform(F.array_sort(F.collect_list(item)), lambda e: e["x"])
         folded = open_rows.groupBy("source", "b").agg(listed.alias("items")).select("source", "b", _fold(F.col("items")).alias("r"))
-        folded = cut(folded)
+        folded = cut(folded, files)
         done = folded.select("source", F.inline("r.done")).select("source", "id", "size", "m", "up")
         settled.append(done)
         rest = folded.where("r.open IS NOT NULL").select("source", F.col("b").alias("g"), "r.open.*").drop("b")
@@ -153,11 +154,11 @@ def repeat_rows(docs: DataFrame) -> DataFrame:
     tagged = docs.withColumn("__size", word_count(F.col("text")))
     rows = cut(tagged.select("doc_id", "source", F.col("__size").alias("size")))
     _, taken = copies(rows)
-    some = taken.where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__s"), F.col("size").alias("__z"), "rows", F.col("copies").alias("__copies"))
+    some = taken.where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__s"), F.col("size").alias("__z"), F.col("rows").alias("__rows"), F.col("copies").alias("__copies"))
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__z"))
     joined = tagged.join(some, same)
     nth = F.row_number().over(W.partitionBy("__id", "__s", "__z").orderBy(F.xxhash64("text")))
-    lone = joined.where("rows = 1").withColumn("__k", F.col("__copies"))
-    several = joined.where("rows > 1").withColumn("__nth", nth).withColumn("__k", F.floor(F.col("__copies") / F.col("rows")) + F.when(F.col("__nth") <= F.col("__copies") % F.col("rows"), 1).otherwise(0)).drop("__nth")
+    lone = joined.where("__rows = 1").withColumn("__k", F.col("__copies"))
+    several = joined.where("__rows > 1").withColumn("__nth", nth).withColumn("__k", F.floor(F.col("__copies") / F.col("__rows")) + F.when(F.col("__nth") <= F.col("__copies") % F.col("__rows"), 1).otherwise(0)).drop("__nth")
     out = lone.unionByName(several).where("__k > 0")
     return out.withColumn("__x", F.explode(F.sequence(F.lit(1), F.col("__k")))).select(*[F.col(f"`{c}`") for c in cols])
