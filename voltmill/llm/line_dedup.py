@@ -87,7 +87,7 @@ def near_lines(docs: DataFrame, first: DataFrame, files: int) -> DataFrame:
     """(id, keep): lines with an earlier one an edit away, and the earliest such place.  first has id and place."""
     lines = split_lines(docs).where(F.length("line") >= MIN_CHARS)
     keys = lines.select(F.xxhash64("line").alias("h"), F.explode(_half_keys()).alias("k"))
-    live = keys.join(_shared(keys, "k", "h", files), "k", "left_semi").select("h").distinct()
+    live = cut(keys.join(_shared(keys, "k", "h", files), "k", "left_semi").select("h").distinct(), files)
     texts = lines.select("line", F.xxhash64("line").alias("h")).join(live.hint("shuffle_hash"), "h", "left_semi").select("line").distinct()
     texts = cut(texts.select(_id(F.col("line")).alias("id"), "line", F.length("line").alias("n")).join(first, "id"))
     blocks = cut(texts.select("id", F.inline(_block_keys())))
