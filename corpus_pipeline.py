@@ -1,7 +1,7 @@
 """A training-data pipeline over documents: rules, exact dedup, near dedup, mixing, encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of
-documents.  Rows that a stage drops are gone for the next one.
+documents, mixing with the number of each copy beside them.  Rows that a stage drops are gone for the next one.
 """
 
 from __future__ import annotations
@@ -30,13 +30,13 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as its source's target weight takes it."""
-    return mixing.repeat_rows(docs)
+    """Each document as many times as its source's target weight takes it; copy numbers its rows."""
+    return mixing.repeat_rows(docs, copy="copy")
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of each document that is left."""
-    return piece_codec.encode_documents(docs, keep=("doc_id", "lang", "source"))
+    """Piece ids of each document that is left; each copy has its own merge-dropout."""
+    return piece_codec.encode_documents(docs, keep=("doc_id", "lang", "source"), copy="copy")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -264,6 +264,14 @@ def test_mix_on_edge_rows(docs, empty):
     assert sum(len((r.text or "").split()) for r in out.collect()) == sum(r.taken for r in mixing.mix(docs).collect())
 
 
+def test_copies_are_numbered(spark):
+    rows = [(i // 2 if i < 10 else i, "w " * 5 + str(i), "ab"[i % 7 == 0]) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.repeat_rows(df, copy="copy").collect()
+    assert len({(r.doc_id, r.source, r.copy) for r in out}) == len(out) > len({r.doc_id for r in out})
+    assert Counter((r.doc_id, r.text) for r in out) == Counter((r.doc_id, r.text) for r in mixing.repeat_rows(df).collect())
+
+
 # 10: sharding
 
 

@@ -223,6 +223,36 @@ def test_dropout_is_keyed(pieces):
     assert len(one) > len(piece_codec.encode(pieces, [text], [7], 0.0)[0])
 
 
+def test_each_occurrence_draws_its_own_skips(pieces):
+    """Every unit equals an agenda of its own key; merges are skipped with chance 0.1; frequent words vary."""
+    word, n = " international", 4000
+    points = np.array([ord(c) for c in word] * n, np.int64)
+    fresh = np.zeros(len(points), bool)
+    fresh[0] = True
+    place = np.arange(len(points)).astype(np.uint64) + np.uint64(99)
+    ids, at = shared = piece_codec.encode_chunk(pieces, points, fresh, place, 0.1, 5)
+    bounds = np.searchsorted(at, np.arange(n + 1) * len(word))
+    assert len({tuple(ids[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)}) > 20
+    keys = []
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(piece_codec, "_skips_any", lambda log, which, k, key, dropout: keys.append(key) or np.ones(len(which), bool))
+        alone = piece_codec.encode_chunk(pieces, points, fresh, place, 0.1, 5)
+    assert all(np.array_equal(a, b) for a, b in zip(alone, shared, strict=True))
+    assert len(np.unique(keys[0])) == n
+    drawn = [piece_codec.skipped(keys[0], *[np.full(n, x) for x in (k - 1, k, k + 1)], 0.1).mean() for k in range(1, 13)]
+    assert all(0.08 < x < 0.12 for x in drawn) and 0.095 < np.mean(drawn) < 0.105
+
+
+def test_copies_draw_their_own_skips(spark, pieces):
+    text = "international organisation " * 20
+    ids, bounds = piece_codec.encode(pieces, [text] * 3, [7] * 3, copies=[1, 2, 2])
+    a, b, c = (ids[x:y].tolist() for x, y in zip(bounds[:-1], bounds[1:], strict=True))
+    assert a != b and b == c
+    rows = spark.createDataFrame([(7, text, 1), (7, text, 2)], "doc_id long, text string, copy int")
+    got = piece_codec.encode_documents(rows, copy="copy").collect()
+    assert all(r.lossless for r in got) and {tuple(r.ids) for r in got} == {tuple(a), tuple(b)}
+
+
 def test_long_text_in_segments(pieces, monkeypatch):
     monkeypatch.setattr(piece_codec, "CHUNK_CHARS", 50)
     text = "some words  here and there " * 40 + "x" * 700

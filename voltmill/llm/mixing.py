@@ -148,8 +148,11 @@ def mix(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", F.col("taken").cast("long").alias("taken"))
 
 
-def repeat_rows(docs: DataFrame) -> DataFrame:
-    """The mix itself: each row as many times as it is taken, with all columns; rows taken 0 times are left out."""
+def repeat_rows(docs: DataFrame, copy: str | None = None) -> DataFrame:
+    """The mix itself: each row as many times as it is taken, with all columns; rows taken 0 times are left out.
+
+    Where named, column copy is added: a number from 1 that differs among the rows of one id, source and size.
+    """
     cols = docs.columns
     tagged = docs.withColumn("__size", word_count(F.col("text")))
     rows = cut(tagged.select("doc_id", "source", F.col("__size").alias("size")))
@@ -158,7 +161,8 @@ def repeat_rows(docs: DataFrame) -> DataFrame:
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__z"))
     joined = tagged.join(some, same)
     nth = F.row_number().over(W.partitionBy("__id", "__s", "__z").orderBy(F.xxhash64("text")))
-    lone = joined.where("__rows = 1").withColumn("__k", F.col("__copies"))
-    several = joined.where("__rows > 1").withColumn("__nth", nth).withColumn("__k", F.floor(F.col("__copies") / F.col("__rows")) + F.when(F.col("__nth") <= F.col("__copies") % F.col("__rows"), 1).otherwise(0)).drop("__nth")
+    lone = joined.where("__rows = 1").withColumn("__k", F.col("__copies")).withColumn("__nth", F.lit(1))
+    several = joined.where("__rows > 1").withColumn("__nth", nth).withColumn("__k", F.floor(F.col("__copies") / F.col("__rows")) + F.when(F.col("__nth") <= F.col("__copies") % F.col("__rows"), 1).otherwise(0))
     out = lone.unionByName(several).where("__k > 0")
-    return out.withColumn("__x", F.explode(F.sequence(F.lit(1), F.col("__k")))).select(*[F.col(f"`{c}`") for c in cols])
+    number = [] if copy is None else [((F.col("__nth") - 1) * MOST + F.col("__x")).cast("int").alias(copy)]
+    return out.withColumn("__x", F.explode(F.sequence(F.lit(1), F.col("__k")))).select(*[F.col(f"`{c}`") for c in cols], *number)

@@ -2,16 +2,17 @@
 
 A text is cut into units, each a run of spaces with what follows it; no piece crosses a unit.  In each unit
 the agenda repeatedly takes the candidate merge of the best score (the leftmost of equals) and skips it for
-good where a keyed hash of seed, unit, variant and the merge's span says so.  The hash doesn't depend on
-when the agenda gets to a candidate, so it is taken when the candidate is made.  All units of a chunk run
-in step, in numpy; equal units of equal variant are encoded once.  The variant is a keyed hash of document and place,
-one of VARIANTS, so equal words are segmented in various ways.
+good where a keyed hash of seed, document, copy, place, unit and the merge's span says so, so every occurrence
+of a unit draws its own skips.  The hash doesn't depend on when the agenda gets to a candidate, so it is taken
+when the candidate is made.  All units of a chunk run in step, in numpy.  Equal units are merged once without
+skips; an occurrence that skips none of the merges made there has the same pieces, as a skipped candidate that
+is never the best changes nothing.  The other occurrences run on their own.
 
 Characters without a piece become byte pieces; so does U+2581 itself, which else would decode as a space.
 Decoding therefore gives every text back.  With dropout 0 ids equal those of the sentencepiece library.
 
-Defined results: null is encoded like the empty text, to no ids; repeated rows and equal ids of documents
-give equal ids; texts of any length are read whole, in segments that end before a space; other columns
+Defined results: null is encoded like the empty text, to no ids; repeated rows of equal copy number give equal
+ids; texts of any length are read whole, in segments that end before a space; other columns
 pass through where asked for.
 """
 
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .kernels import mix64
 
-DROPOUT, SEED, VARIANTS = 0.1, 1234, 4
+DROPOUT, SEED = 0.1, 1234
 CHUNK_CHARS = 1 << 19
 LONG_UNIT = 256
 _SPACE = 0x20
@@ -133,8 +134,11 @@ def skipped(key: np.ndarray, start: np.ndarray, mid: np.ndarray, end: np.ndarray
         return (mix64(key ^ x) >> np.uint64(11)).astype(np.float64) < dropout * float(1 << 53)
 
 
-def run_agendas(model: Pieces, ids: np.ndarray, begin: np.ndarray, key: np.ndarray, dropout: float) -> tuple[np.ndarray, np.ndarray]:
-    """Merge the symbols of each unit; begin has n + 1 bounds.  Returns ids in place of first symbols, and which stay."""
+def run_agendas(model: Pieces, ids: np.ndarray, begin: np.ndarray, key: np.ndarray, dropout: float, log: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Merge the symbols of each unit; begin has n + 1 bounds.  Returns ids in place of first symbols, and which stay.
+
+    The merges made in units of up to LONG_UNIT symbols are added to log as arrays (unit, start, mid, end).
+    """
     t = model.tables()
     rank, total = t["rank"], len(ids)
     stay, final = np.ones(total, bool), ids.astype(np.int32).copy()
@@ -189,6 +193,8 @@ def run_agendas(model: Pieces, ids: np.ndarray, begin: np.ndarray, key: np.ndarr
                 break
             i = (best[on] & 0xFFFFFFFF).astype(np.int64)
             j = after[i]
+            if log is not None:
+                log.append((units[owner[i]], pos[i], pos[j], stop[j]))
             sym[i], stop[i], live[j], code[j] = made[i], stop[j], False, _NEVER
             after[i] = after[j]
             near = after[i]
@@ -242,6 +248,22 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
+def _skips_any(log: list[tuple[np.ndarray, ...]], which: np.ndarray, n: int, key: np.ndarray, dropout: float) -> np.ndarray:
+    """Whether each occurrence, of unit which and with its own key, skips any of the merges that log has of its unit."""
+    if not log:
+        return np.zeros(len(which), bool)
+    unit, *spans = (np.concatenate(x) for x in zip(*log, strict=True))
+    order = np.argsort(unit, kind="stable")
+    spans = [x[order] for x in spans]
+    count = np.bincount(unit, minlength=n)
+    times = count[which]
+    at = np.repeat(np.cumsum(count)[which] - np.cumsum(times), times) + np.arange(times.sum())
+    occurrence = np.repeat(np.arange(len(which)), times)
+    out = np.zeros(len(which), bool)
+    out[occurrence[skipped(key[occurrence], *[x[at] for x in spans], dropout)]] = True
+    return out
+
+
 def encode_chunk(model: Pieces, points: np.ndarray, fresh: np.ndarray, place: np.ndarray, dropout: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids of a run of code points, and the first point of each id.  fresh marks where a text or segment begins."""
     t = model.tables()
@@ -258,9 +280,8 @@ def encode_chunk(model: Pieces, points: np.ndarray, fresh: np.ndarray, place: np
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(mix64(points.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
         word = mix64((total[begin[1:]] - total[start]) * down[start] + size.astype(np.uint64))
-        variant = mix64(place[start]) % np.uint64(VARIANTS) if dropout > 0 else np.zeros(len(start), np.uint64)
-        key = mix64(word ^ mix64(variant + np.uint64(seed * VARIANTS & (1 << 63) - 1)))
-    _, first, which = np.unique(key, return_index=True, return_inverse=True)
+        key = mix64(word ^ mix64(mix64(place[start]) + np.uint64(seed & (1 << 63) - 1)))
+    _, first, which = np.unique(word, return_index=True, return_inverse=True)
     # A unit that only shares the hash of the first of its kind is kept apart.
     rep = first[which]
     differs = size != size[rep]
@@ -274,10 +295,22 @@ def encode_chunk(model: Pieces, points: np.ndarray, fresh: np.ndarray, place: np
         lone = np.flatnonzero(differs)
         which[lone] = len(first) + np.arange(len(lone))
         first = np.append(first, lone)
+
+    def run(units: np.ndarray, dropout: float, log: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        bounds = np.concatenate(([0], np.cumsum(size[units])))
+        src = np.repeat(start[units] - bounds[:-1], size[units]) + np.arange(bounds[-1])
+        return src, *run_agendas(model, sym[src], bounds, key[units], dropout, log)
+
+    if dropout <= 0:
+        src, final, stay = run(first, 0.0)
+    else:
+        log: list[tuple[np.ndarray, ...]] = []
+        src, final, stay = run(first, 0.0, log)
+        own = np.flatnonzero(_skips_any(log, which, len(first), key, dropout) | (size > LONG_UNIT))
+        which[own] = len(first) + np.arange(len(own))
+        first = np.append(first, own)
+        src, final, stay = (np.concatenate(x) for x in zip((src, final, stay), run(own, dropout), strict=True))
     width = size[first]
-    u_begin = np.concatenate(([0], np.cumsum(width)))
-    src = np.repeat(start[first] - u_begin[:-1], width) + np.arange(u_begin[-1])
-    final, stay = run_agendas(model, sym[src], u_begin, key[first], dropout)
     # Units of one point without a piece become the bytes of its UTF-8 form.
     unit_of = np.repeat(np.arange(len(first)), width)[stay]
     ids, at_point = final[stay], (src[stay] - start[first][unit_of])
@@ -313,8 +346,8 @@ def segments(text: str) -> Iterator[str]:
     yield text[a:]
 
 
-def encode(model: Pieces, texts: list[str | None], names: list[int | None], dropout: float = DROPOUT, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts one after the other, and n + 1 bounds."""
+def encode(model: Pieces, texts: list[str | None], names: list[int | None], dropout: float = DROPOUT, seed: int = SEED, copies: list[int | None] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts one after the other, and n + 1 bounds.  Texts of equal name draw other skips where copies differ."""
     out: list[np.ndarray] = []
     counts = np.zeros(len(texts), np.int64)
     held: list[tuple[int, int, str]] = []
@@ -327,7 +360,10 @@ def encode(model: Pieces, texts: list[str | None], names: list[int | None], drop
         fresh = np.zeros(len(points), bool)
         fresh[begin] = True
         with np.errstate(over="ignore"):
-            own = mix64(np.array([(names[i] or 0) & (1 << 64) - 1 for i, _, _ in held], np.uint64)) + np.array([o for _, o, _ in held], np.uint64)
+            own = mix64(np.array([(names[i] or 0) & (1 << 64) - 1 for i, _, _ in held], np.uint64))
+            if copies is not None:
+                own = mix64(own + np.array([(copies[i] or 0) & (1 << 64) - 1 for i, _, _ in held], np.uint64))
+            own += np.array([o for _, o, _ in held], np.uint64)
             place = np.repeat(own, size) + (np.arange(len(points)) - np.repeat(begin, size)).astype(np.uint64)
         ids, at = encode_chunk(model, points, fresh, place, dropout, seed)
         counts_here = np.diff(np.append(np.searchsorted(at, begin), len(at)))
@@ -366,12 +402,15 @@ def decode(model: Pieces, ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     return out
 
 
-def encode_documents(docs: DataFrame, model_path: str | None = None, keep: tuple[str, ...] = ("doc_id",), dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
-    """Columns keep, ids, n_ids and lossless (decoding the ids gives the text back)."""
+def encode_documents(docs: DataFrame, model_path: str | None = None, keep: tuple[str, ...] = ("doc_id",), dropout: float = DROPOUT, seed: int = SEED, copy: str | None = None) -> DataFrame:
+    """Columns keep, ids, n_ids and lossless (decoding the ids gives the text back).
+
+    Column copy numbers the rows that stand for one document, so that each draws its own skips.
+    """
     loaded = Pieces.load(model_path or default_model())
     shipped = docs.sparkSession.sparkContext.broadcast((loaded.pieces, loaded.scores, loaded.byte_ids))
     kept = [c for c in keep if c not in ("ids", "n_ids", "lossless")]
-    source = docs.select(*kept, F.col("doc_id").cast("long").alias("__name"), F.col("text").cast("string").alias("__text"))
+    source = docs.select(*kept, F.col("doc_id").cast("long").alias("__name"), F.col("text").cast("string").alias("__text"), (F.lit(0) if copy is None else F.col(copy)).cast("long").alias("__copy"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Pieces(*shipped.value)
@@ -379,7 +418,7 @@ def encode_documents(docs: DataFrame, model_path: str | None = None, keep: tuple
             for a in range(0, whole.num_rows, 1000):
                 batch = whole.slice(a, 1000)
                 texts = batch.column(len(kept) + 1).to_pylist()
-                ids, bounds = encode(model, texts, batch.column(len(kept)).to_pylist(), dropout, seed)
+                ids, bounds = encode(model, texts, batch.column(len(kept)).to_pylist(), dropout, seed, None if copy is None else batch.column(len(kept) + 2).to_pylist())
                 same = [x == (y or "").encode("utf-8", "surrogatepass") for x, y in zip(decode(model, ids, bounds), texts, strict=True)]
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(kept))] + [lists, pa.array(np.diff(bounds)), pa.array(same)], [*kept, "ids", "n_ids", "lossless"])
