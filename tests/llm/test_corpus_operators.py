@@ -77,6 +77,21 @@ def test_components_on_edge_rows(docs, empty):
     assert kept.columns == docs.columns
 
 
+def test_keep_rows_goes_by_id_and_class(spark):
+    """Linked and unlinked rows of null ids, one id on several texts, and repeated rows."""
+    text = lambda name, *last: " ".join([f"{name}{i}" for i in range(40)] + list(last))
+    rows = [
+        (None, text("a")), (1, text("a", "x")), (None, text("b")), (None, text("b", "y")), (None, text("c")), (None, None), (None, ""),
+        (5, text("d")), (5, text("e")), (3, text("d", "z")), (7, text("f")), (7, text("f")), (7, text("F")), (8, text("f", "q")),
+        (9, text("g")), (9, text("g", "r")), (9, text("h")), (2, text("i")), (2, text("j")), (4, text("i", "s")), (4, None), (4, None),
+    ]
+    got = Counter(ngram_join.keep_rows(spark.createDataFrame(rows, SCHEMA)).collect())
+    heads = Counter((r.doc_id, (r.text or "-")[0].lower()) for r in got.elements())
+    want = [(1, "a"), (None, "b"), (None, "c"), (None, "-"), (None, "-"), (5, "e"), (3, "d"), (7, "f"), (9, "g"), (9, "h"), (2, "i"), (2, "j"), (4, "-"), (4, "-")]
+    assert heads == Counter(want)
+    assert all(n <= Counter(rows)[tuple(r)] for r, n in got.items())
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_unit_links_every_pair(seed):
     """A hundred sets of mixed sizes: the trees find the components of all pairs."""

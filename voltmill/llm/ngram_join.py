@@ -27,7 +27,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from . import kernels as K
 from .shared import cut, parts
@@ -585,9 +587,31 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return linked.union(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
+@F.arrow_udf(LongType())
+def _class_of(text: pa.Array) -> pa.Array:
+    """The class of each text's set, as link_documents names it."""
+    return pa.array([set_class(s) if len(s) else 0 for s in shingle_sets(text)], pa.int64())
+
+
 def keep_rows(docs: DataFrame) -> DataFrame:
-    """One document of each component, that with the least id, with all columns; texts without words all stay."""
-    out = jaccard_components(docs)
-    cols = docs.columns
-    gone = out.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti").select(*[F.col(f"`{c}`") for c in cols])
+    """One row of each component, one of those with the least id, with all columns; texts without words all stay.
+
+    Rows go by id and class, so a row that only shares its id, or null, with a linked one stays.  A component
+    of null ids only keeps one of them.
+    """
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    table, reach = link_documents(docs)
+    rows = table.where("n > 0").join(reach, table["class"] == reach["node"], "left").select("doc_id", "class", F.coalesce("root", "class").alias("root"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "class")
+    best = rows.groupBy("root").agg(F.min(place).alias("best"), F.count("*").alias("m")).where("m > 1")
+    linked = rows.join(best, "root").groupBy(F.col("doc_id").alias("__id"), F.col("class").alias("__c")).agg(F.max(place == F.col("best")).alias("first"), F.count("*").alias("times"))
+    linked = cut(linked.where("NOT first OR times > 1"), max(1, parts(docs) // 8))
+    named = docs.withColumn("__class", _class_of(F.col("text").cast("string")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__class") == F.col("__c"))
+    out = named.join(linked.select("__id", "__c").hint("shuffle_hash"), same, "left_anti").select(*cols)
+    several = linked.where("first").select("__id", "__c")
+    if several.isEmpty():
+        return out
+    nth = F.row_number().over(W.partitionBy("__id", "__c").orderBy("text"))
+    one = named.join(several.hint("shuffle_hash"), same).withColumn("__nth", nth).where("__nth = 1")
+    return out.union(one.select(*cols))
