@@ -124,6 +124,18 @@ def test_template_blocks_equal_brute_force(spark):
     assert got == want and len(want) > 10
 
 
+@pytest.mark.parametrize("n", [33, 34, 64, 65, 90])
+def test_long_templates_and_phrases_wherever_they_stand(spark, n):
+    """Beside a short template, whose blocks stay as they are."""
+    t, short = [f"t{i}" for i in range(n)], "this is a short notice"
+    rows = [(k, " ".join(["foo"] * k + t + ["bar"] * 20)) for k in range(0, 2 * n, 7)] + [(-1, " ".join(t[: n // 2])), (-2, "this is " + "foo " * 70 + "a short notice")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = by_id(license_scan.scan(df, {"long": " ".join(t), "short": short}, {" ".join(t): "phrase"}))
+    for k, _ in rows:
+        r = got[k]
+        assert (r.labels, r.score, r.first_word, r.n_base) == (("long,phrase", 1.0, k, 1) if k >= 0 else ("", 0.0, None, 0))
+
+
 # 4: quality classifier
 
 

@@ -1,7 +1,8 @@
 """License scans (2): exact set-similarity join of text blocks with license templates.
 
 A block is a window of WINDOW words, a new one every STRIDE words, so any span of STRIDE + 1 words lies in
-one.  A template is a set of words, a phrase a template that must be contained in full.  Words are ordered
+one.  A template or phrase of more words has blocks of its own: as far apart as it has words less one, and
+twice as long.  A template is a set of words, a phrase a template that must be contained in full.  Words are ordered
 by their count over all documents, rare ones first; a block that contains at least the share `threshold` of
 a template has one of the template's first s - o + 1 words (prefix filter), at least o words (length filter),
 and enough words of the template from its first common one on (positional filter).  Blocks that pass are
@@ -56,15 +57,18 @@ class Plan:
         self.order = np.argsort(hashes)
         self.hashes = hashes[self.order]
         self.rows = []
-        self.by_prefix: dict[int, list[int]] = {}
+        #: Of each stride: the templates that have a word in their prefix, and whether a word is in any.
+        self.by_prefix: dict[int, dict[int, list[int]]] = {}
         for k, (label, ws, share, whole) in enumerate(rows):
             tokens = sorted({self.rank[w] for w in ws})
             need = max(1, int(np.ceil(share * len(tokens) - 1e-9)))
             self.rows.append((label, tokens, need, [self.rank[w] for w in ws] if whole else None))
+            of_stride = self.by_prefix.setdefault(max(STRIDE, len(ws) - 1), {})
             for r in tokens[: len(tokens) - need + 1]:
-                self.by_prefix.setdefault(r, []).append(k)
-        self.is_prefix = np.zeros(len(words) + 1, bool)
-        self.is_prefix[list(self.by_prefix)] = True
+                of_stride.setdefault(r, []).append(k)
+        self.is_prefix = {stride: np.zeros(len(words) + 1, bool) for stride in self.by_prefix}
+        for stride, on in self.is_prefix.items():
+            on[list(self.by_prefix[stride])] = True
 
     def ranks(self, words: np.ndarray) -> np.ndarray:
         """The rank of each word hash, or -1."""
@@ -73,28 +77,29 @@ class Plan:
 
     def matches(self, ranks: np.ndarray, first_word: np.ndarray) -> Iterator[tuple[int, int, int, int, float, list[int]]]:
         """(text, template, block start, block end, containment, places of a phrase) in words of the text."""
-        hit = np.flatnonzero(self.is_prefix[ranks])
-        text = np.searchsorted(first_word, hit, side="right") - 1
-        block = (hit - first_word[text]) // STRIDE
-        pairs = np.unique(np.stack((np.concatenate((text, text)), np.concatenate((block, block - 1)))), axis=1)
-        for d, k in pairs[:, pairs[1] >= 0].T.tolist():
-            a = first_word[d] + k * STRIDE
-            b = min(a + WINDOW, first_word[d + 1])
-            here = ranks[a:b]
-            tokens = np.unique(here[here >= 0]).tolist()
-            own = set(tokens)
-            for t in sorted({t for r in tokens for t in self.by_prefix.get(r, ())}):
-                label, wanted, need, phrase = self.rows[t]
-                if len(tokens) < need:
-                    continue
-                first = next(i for i, r in enumerate(wanted) if r in own)
-                if len(wanted) - first < need or sum(r >= wanted[first] for r in tokens) < need:
-                    continue
-                overlap = sum(r in own for r in wanted)
-                if overlap >= need:
-                    places = [] if phrase is None else [i for i in range(len(here) - len(phrase) + 1) if here[i : i + len(phrase)].tolist() == phrase]
-                    if phrase is None or places:
-                        yield d, t, k * STRIDE, b - first_word[d], overlap / len(wanted), [k * STRIDE + i for i in places]
+        for stride, by_prefix in self.by_prefix.items():
+            hit = np.flatnonzero(self.is_prefix[stride][ranks])
+            text = np.searchsorted(first_word, hit, side="right") - 1
+            block = (hit - first_word[text]) // stride
+            pairs = np.unique(np.stack((np.concatenate((text, text)), np.concatenate((block, block - 1)))), axis=1)
+            for d, k in pairs[:, pairs[1] >= 0].T.tolist():
+                a = first_word[d] + k * stride
+                b = min(a + (WINDOW if stride == STRIDE else 2 * stride), first_word[d + 1])
+                here = ranks[a:b]
+                tokens = np.unique(here[here >= 0]).tolist()
+                own = set(tokens)
+                for t in sorted({t for r in tokens for t in by_prefix.get(r, ())}):
+                    label, wanted, need, phrase = self.rows[t]
+                    if len(tokens) < need:
+                        continue
+                    first = next(i for i, r in enumerate(wanted) if r in own)
+                    if len(wanted) - first < need or sum(r >= wanted[first] for r in tokens) < need:
+                        continue
+                    overlap = sum(r in own for r in wanted)
+                    if overlap >= need:
+                        places = [] if phrase is None else [i for i in range(len(here) - len(phrase) + 1) if here[i : i + len(phrase)].tolist() == phrase]
+                        if phrase is None or places:
+                            yield d, t, k * stride, b - first_word[d], overlap / len(wanted), [k * stride + i for i in places]
 
 
 def _chunks(texts, plan: Plan) -> Iterator[tuple[K.Chunk, np.ndarray, np.ndarray]]:
