@@ -77,6 +77,20 @@ def test_components_on_edge_rows(docs, empty):
     assert kept.columns == docs.columns
 
 
+def test_memberships_of_frequent_shingles_go_to_many_parts():
+    """Also where a batch has few; equal ones meet, and none is lost."""
+    seen, rng = [], random.Random(2)
+    rows = sorted({(rng.randrange(-9, 9), rng.randrange(-(1 << 63), 1 << 63), rng.randrange(1, 99)) for _ in range(3000)})
+    for some in (rows, rows[::2]):
+        part, keys, *packed = ngram_join._dealt(some, 5)
+        assert keys.null_count == len(part) and len(set(part.to_pylist())) == len(part) == 32 and max(part.to_pylist()) == -1
+        cols = [[ngram_join.unpack(x, kind).tolist() for x in p.to_pylist()] for p, kind in zip(packed, (np.int64, np.int64, np.uint32), strict=True)]
+        seen.append({(p, *r) for p, *c in zip(part.to_pylist(), *cols, strict=True) for r in zip(*c, strict=True)})
+        assert sorted(r[1:] for r in seen[-1]) == some
+    assert seen[1] <= seen[0]
+    assert max(Counter(r[0] for r in seen[0]).values()) < len(rows) / 8
+
+
 def test_keep_rows_goes_by_id_and_class(spark):
     """Linked and unlinked rows of null ids, one id on several texts, and repeated rows."""
     text = lambda name, *last: " ".join([f"{name}{i}" for i in range(40)] + list(last))

@@ -181,6 +181,20 @@ def documents_and_leaders(docs: DataFrame, heavy, bits: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, class long, n int, key long, map binary")
 
 
+def _dealt(rows: list[tuple[int, int, int]], bits: int) -> list[pa.Array]:
+    """Memberships (bucket, class, n) as columns part, no keys, and packed ones.
+
+    Parts are below 0 and dealt by class, as many as those of the other shingles, so that no one gathers all;
+    equal memberships meet in one part.
+    """
+    b, c, n = (np.array([r[k] for r in rows], kind) for k, kind in ((0, np.int64), (1, np.int64), (2, np.uint32)))
+    salt = -1 - _split(K.mix64(c.view(np.uint64)), bits)[0]
+    order = np.argsort(salt, kind="stable")
+    runs = list(_slices(salt[order]))
+    packed = [pa.array([pack(x[order[i:j]]) for _, i, j in runs], pa.binary()) for x in (b, c, n)]
+    return [pa.array([p for p, _, _ in runs], pa.int32()), pa.nulls(len(runs), pa.binary()), *packed]
+
+
 def members(texts: DataFrame, heavy, leaders, bits: int) -> DataFrame:
     """Distinct (bucket, class, n): every set of a list of sets that share a prefix shingle, in the bucket of its least set."""
 
@@ -220,10 +234,7 @@ def members(texts: DataFrame, heavy, leaders, bits: int) -> DataFrame:
             if keys:
                 yield flush(keys, at, cls, sizes)
             if own:  # of heavy shingles the bucket is known here
-                rows = sorted(own)
-                full = [pa.array([-1 - (i & 0x3FF) for i in range(0, len(rows), 4096)], pa.int32()), pa.array([None] * -(-len(rows) // 4096), pa.binary())]
-                cols = [np.array([r[k] for r in rows], kind) for k, kind in ((0, np.int64), (1, np.int64), (2, np.uint32))]
-                yield pa.RecordBatch.from_arrays(full + [pa.array([pack(x[i : i + 4096]) for i in range(0, len(rows), 4096)], pa.binary()) for x in cols], names)
+                yield pa.RecordBatch.from_arrays(_dealt(sorted(own), bits), names)
 
     def gather(t: pa.Table) -> pa.Table:
         rows = t.to_pylist()
