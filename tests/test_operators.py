@@ -1,7 +1,10 @@
 """Operators on small inputs with known results."""
 
 import json
+import math
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from voltmill.functions import measures, station, text
@@ -53,17 +56,119 @@ def test_components_of_a_chain_and_a_star(spark):
 
 
 def test_grid_join_equals_all_pairs(spark):
-    import random
-
     rng = random.Random(1)
     pts = [(i, 19 + rng.random() / 50, 72.8 + rng.random() / 50) for i in range(80)]
     df = spark.createDataFrame(pts, "id int, latitude double, longitude double")
-    got = {(r.id_a, r.id_b) for r in geo.pairs_within(df, df, 300.0, max_lat=60.0).collect()}
+    got = {(r.id_a, r.id_b) for r in geo.pairs_within(df, df, 300.0).collect()}
     a, b = df.toDF("a", "la", "lo"), df.toDF("b", "lb", "lc")
     want = {(r.a, r.b) for r in a.crossJoin(b).where(geo.haversine("la", "lo", "lb", "lc") <= 300).collect()}
     assert got == want and len(want) > 80
 
 
+def _distance(a, b):
+    p, q, dl = math.radians(a[1]), math.radians(b[1]), math.radians(b[2] - a[2])
+    h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(dl / 2) ** 2
+    return 2 * geo.RADIUS_M * math.atan2(math.sqrt(min(1, h)), math.sqrt(max(0, 1 - h)))
+
+
+@pytest.mark.parametrize("place,radius", [((70, 20), 3000.0), ((19, 180), 200.0), ((-70, -179.99), 3000.0), ((89.995, 0), 3000.0), ((-89.99, 90), 200.0)])
+def test_pairs_and_neighbours_anywhere(spark, place, radius):
+    """At high latitudes, over the 180th meridian and around the poles."""
+    rng = random.Random(radius)
+    lat, lon = place
+    reach = radius / 30_000
+    pts = []
+    for i in range(60):
+        y = max(-90.0, min(90.0, lat + rng.uniform(-1, 1) * reach))
+        x = lon + rng.uniform(-1, 1) * min(180.0, reach / max(1e-3, math.cos(math.radians(y))))
+        pts.append((i, y, (x + 180) % 360 - 180))
+    df = spark.createDataFrame(pts, "id int, latitude double, longitude double")
+    got = {(r.id_a, r.id_b) for r in geo.pairs_within(df, df, radius).collect()}
+    near = {(a[0], b[0]) for a in pts for b in pts if _distance(a, b) <= radius}
+    assert got == near and len(near) > 60
+    best = {r.id_a: r for r in geo.nearest_other(df, start_m=radius / 4).collect()}
+    for a in pts:
+        want = min(_distance(a, b) for b in pts if b[0] != a[0])
+        assert abs(best[a[0]].distance - want) < 1e-3
+    here = geo.nearby(df.withColumnRenamed("id", "station_id"), lat, lon, radius, 100).collect()
+    assert {r.station_id for r in here} == {p[0] for p in pts if _distance((0, lat, lon), p) <= radius}
+
+
+def test_far_points_and_points_without_coordinates(spark):
+    df = spark.createDataFrame([(1, 10.0, 10.0), (2, -10.0, -170.0), (3, None, 5.0)], "id int, latitude double, longitude double")
+    got = {r.id_a: (r.neighbour, r.distance) for r in geo.nearest_other(df).collect()}
+    assert got[1][0] == 2 and got[2][0] == 1 and abs(got[1][1] - math.pi * geo.RADIUS_M) < 1 and got[3] == (None, None)
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_split_of_many_wide_rows(spark, adaptive):
+    """Rows in equal rows out and the cuts are exact, whatever adaptive execution makes of the ranges."""
+    n = 400_000
+    was = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        spark.conf.set("spark.sql.shuffle.partitions", "32")
+        x = spark.range(0, n, 1, 16).select((F.col("id") * 7919 % n).alias("t"), F.sha2(F.col("id").cast("string"), 512).alias("a"), F.repeat(F.md5(F.col("id").cast("string")), 4).alias("b"))
+        got = relational.chronological_split(x, [F.col("t")], (0.6, 0.2, 0.2), ("train", "valid", "test"))
+        rows = {r.split: (r.n, r.lo, r.hi) for r in got.groupBy("split").agg(F.count("*").alias("n"), F.min("t").alias("lo"), F.max("t").alias("hi")).collect()}
+        assert rows == {"train": (240_000, 0, 239_999), "valid": (80_000, 240_000, 319_999), "test": (80_000, 320_000, 399_999)}
+        assert relational.numbered(x, [F.col("t").desc()], "i").where("i <> 399999 - t").count() == 0
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
+def test_split_of_nothing(spark):
+    assert relational.chronological_split(spark.range(0), [F.col("id")], (0.8, 0.2), ("a", "b")).count() == 0
+
+
+def test_equal_events_load_as_often_as_they_come(spark):
+    """Two versions that start together, a gap, and a date outside the calendar."""
+    t = "timestamp_ntz"
+    events = spark.createDataFrame([(1, "2024-01-05"), (1, "2024-01-05"), (1, "2024-02-01"), (1, "2023-12-31"), (2, "2024-01-05"), (1, "2030-01-01")], "k int, d string").select("k", F.col("d").cast(t).alias("at"))
+    versions = spark.createDataFrame([(1, 10, "2024-01-01", "2024-01-01"), (1, 11, "2024-01-01", "2024-01-10"), (1, 12, "2024-01-03", "2024-01-04"), (1, 13, "2024-01-31", None)], "k int, version_key int, a string, b string")
+    versions = versions.select("k", "version_key", F.col("a").cast(t).alias("effective_from"), F.col("b").cast(t).alias("effective_to"))
+    loaded, rejected = warehouse.load_facts(events, versions, warehouse.calendar(spark, "2024-01-01", "2024-12-31"), "k", "at")
+    assert sorted((r.k, str(r.at)[:10], r.version_key) for r in loaded.collect()) == [(1, "2024-01-05", 11), (1, "2024-01-05", 11), (1, "2024-02-01", 13)]
+    assert sorted((r.k, str(r.at)[:10], r.reason) for r in rejected.collect()) == [(1, "2023-12-31", "date outside calendar"), (1, "2030-01-01", "date outside calendar"), (2, "2024-01-05", "no version at event time")]
+
+
+def test_spans_in_days_over_a_month_end(spark):
+    x = spark.createDataFrame([(1, "2024-01-31 00:00:00"), (1, "2024-02-01 12:00:00"), (2, "2024-01-31 00:00:00")], "k int, t string").select("k", F.col("t").cast("timestamp").alias("observed_at"))
+    got = {r.k: (r.days, r.span_days) for r in learning.history_summary(x, "k").collect()}
+    assert got == {1: (2, 1.5), 2: (1, 0.0)}
+
+
+def test_upsert_takes_one_of_equal_new_keys(spark):
+    t, new = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), spark.createDataFrame([(2, "c"), (2, "c"), (3, "d")], "k int, v string")
+    assert sorted(tuple(r) for r in relational.upsert(t, new, ["k"]).collect()) == [(1, "a"), (2, "c"), (3, "d")]
+
+
+def test_sudden_changes_need_a_run_of_ten(spark):
+    states = "a" * 10 + "b" + "a" * 9 + "b" * 11 + "a"
+    df = spark.createDataFrame([(1, i, s) for i, s in enumerate(states)], "k int, t int, s string")
+    got = [(r.idx, r.from_state, r.to_state, r.stable_run) for r in relational.state_changes(df, ["k"], [F.col("t")], "s").orderBy("idx").collect()]
+    assert got == [(10, "a", "b", 10), (31, "b", "a", 11)]
+
+
+def test_checkpoints_need_a_shared_folder_on_a_cluster():
+    """A session that isn't local and has no spark.checkpoint.dir gets an error, not a folder of the driver."""
+    from unittest.mock import MagicMock
+
+    from voltmill.session import shared_folder
+
+    s = MagicMock()
+    scala = s.sparkContext._jsc.sc.return_value
+    scala.getCheckpointDir.return_value.isDefined.return_value = False
+    scala.isLocal.return_value = False
+    s.conf.get.return_value = None
+    with pytest.raises(RuntimeError):
+        shared_folder(s)
+    s.conf.get.return_value = "hdfs:///shared"
+    shared_folder(s)
+    s.sparkContext.setCheckpointDir.assert_called_once_with("hdfs:///shared")
+
+
 def test_missing_coordinates_are_not_near(spark):
     df = spark.createDataFrame([(1, None, 72.0), (2, float("nan"), 72.0), (3, 19.0, 72.0)], "id int, a double, b double")
     got = {r.id: r.d for r in df.select("id", geo.haversine(19.0, 72.0, "a", "b").alias("d")).collect()}
@@ -97,8 +202,6 @@ def test_estimates_and_hours(spark):
 
 
 def test_greedy_caps_are_exact(spark):
-    import random
-
     rng = random.Random(2)
     rows = [(i, float(rng.randint(0, 50)), f"s{rng.randint(0, 3)}", f"c{rng.randint(0, 9)}") for i in range(300)]
     got = {r.id for r in mappings.greedy_capped(spark.createDataFrame(rows, "id int, score double, state string, city string"), 30, 6, 70).collect()}
@@ -123,12 +226,20 @@ def test_readers_and_sinks(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "out")).count() == 1
 
 
-def test_paged_source(spark, tmp_path):
-    spark.dataSource.register(readers.PagedLocations)
+def test_landed_pages(spark, tmp_path):
+    from py4j.protocol import Py4JJavaError
+    from pyspark.errors import PySparkException
+
     for i in range(3):
         (tmp_path / f"page_{i * 2}.json").write_text(json.dumps([{"id": i * 2 + k, "last_updated": f"2024-01-0{i + 1}"} for k in range(2)]))
-    df = spark.read.format("paged_locations").option("path", str(tmp_path)).option("limit", 2).option("pages", 4).option("date_from", "2024-01-02").load()
-    assert df.count() == 4
+    (tmp_path / "page_6.json").write_text('[{"id": 9}]')
+    rows = readers.read_landed_pages(spark, str(tmp_path), "2024-01-02").collect()
+    assert sorted((r.offset, json.loads(r.payload)["id"]) for r in rows) == [(2, 2), (2, 3), (4, 4), (4, 5), (6, 9)]
+    with pytest.raises((PySparkException, Py4JJavaError)):
+        readers.read_landed_pages(spark, str(tmp_path / "nothing")).collect()
+    (tmp_path / "page_8.json").write_text("[{")
+    with pytest.raises((PySparkException, Py4JJavaError)):
+        readers.read_landed_pages(spark, str(tmp_path)).collect()
 
 
 def test_run_record_hides_secrets(spark):
@@ -150,14 +261,12 @@ def test_stream_drops_replays_and_future_rows(spark, tmp_path):
 
 
 def test_greedy_thinning_equals_brute_force(spark):
-    import random
-
     from voltmill.operators import ingestion
 
     rng = random.Random(4)
     pts = [(i, 19 + rng.random() / 200, 72.8 + rng.random() / 200) for i in range(120)]
     df = spark.createDataFrame(pts, "place long, latitude double, longitude double")
-    got = {r.place: r.duplicate_of for r in ingestion.keep_first_apart(df, 60.0, max_lat=60.0).collect()}
+    got = {r.place: r.duplicate_of for r in ingestion.keep_first_apart(df, 60.0).collect()}
     a, b = df.toDF("a", "la", "lo"), df.toDF("b", "lb", "lc")
     near = {(r.a, r.b) for r in a.crossJoin(b).where("a < b").where(geo.haversine("la", "lo", "lb", "lc") < 60).collect()}
     kept = []
@@ -175,6 +284,7 @@ def test_control_functions():
     assert [c.backoff_seconds(i) for i in (1, 2, 3, 20)] == [1.0, 2.0, 4.0, 60.0]
     assert c.backoff_seconds(1, retry_after=7) == 7.0 and c.backoff_seconds(2, uniform=lambda: 0.0) == 1.6
     assert [c.classify_failure(e) for e in (TimeoutError(), ValueError(), RuntimeError("HTTP 503"), RuntimeError("?"), RuntimeError("Unauthorized"))] == ["TRANSIENT", "PERMANENT", "TRANSIENT", "UNKNOWN", "PERMANENT"]
+    assert [c.classify_failure(RuntimeError(m)) for m in ("HTTP 404", "got a 429", "status 400 from x", "connection closed", "missing API key")] == ["PERMANENT", "TRANSIENT", "PERMANENT", "TRANSIENT", "PERMANENT"] and c.classify_failure(None) == "UNKNOWN"
     w = c.FixedWindow(2, 10)
     assert [w.allow("k", t)[0] for t in (0, 1, 2, 11)] == [True, True, False, True]
     out = c.run_jobs([("a", lambda: {"skipped": 1}), ("b", lambda: 1 / 0), ("c", dict)])
@@ -182,8 +292,6 @@ def test_control_functions():
 
 
 def test_model_registry(tmp_path):
-    import pytest
-
     from voltmill.operators.control import ModelRegistry, RegistryError
 
     r = ModelRegistry(str(tmp_path), ["a", "b"])
@@ -206,8 +314,9 @@ def test_a_check_that_cannot_run_is_a_warning(spark):
     t = spark.createDataFrame([(1, -2.0), (2, None)], "id int, power_kw double")
     good = quality.in_one_pass(lambda: t, [("R-1", "HIGH", F.col("power_kw") <= 0), ("R-2", "INFO", F.col("power_kw").isNull())])
     bad = quality.in_one_pass(lambda: t.select("nothing"), [("R-3", "HIGH", F.lit(True))])
-    got = {r.rule: (r.severity, r.offending, r.passed) for r in quality.run_checks(spark, [good, bad]).collect()}
-    assert got == {"R-1": ("HIGH", 1, False), "R-2": ("INFO", 1, True), "R-3": ("WARNING", None, False)}
+    late = quality.in_one_pass(lambda: t, [("R-4", "HIGH", F.col("power_kw") <= 0), ("R-5", "HIGH", F.concat(F.lit("x"), F.col("id").cast("string")).cast("int") > 0)])
+    got = {r.rule: (r.severity, r.offending, r.passed) for r in quality.run_checks(spark, [good, bad, late]).collect()}
+    assert got == {"R-1": ("HIGH", 1, False), "R-2": ("INFO", 1, True), "R-3": ("WARNING", None, False), "R-4": ("HIGH", 1, False), "R-5": ("WARNING", None, False)}
 
 
 def test_quarter_hour_counts_of_a_stream(spark, tmp_path):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .freshness import bucket
@@ -91,3 +93,36 @@ def charging_minutes(usable_kwh: Column, max_ac: Column, max_dc: Column, connect
 
 def freshness_bucket(minutes: Column) -> Column:
     return bucket(minutes)
+
+
+#: Fixed value: the form of a station's id.
+UUID = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
+
+
+def by_id(stations: DataFrame, id_col: str, wanted: str, form: str = UUID) -> DataFrame:
+    """The station of an id; an id that hasn't the form finds nothing and is never put to the source."""
+    if not re.fullmatch(form, wanted or ""):
+        return stations.limit(0)
+    return stations.where(F.col(id_col) == F.lit(wanted))
+
+
+def distance_label(km: Column) -> Column:
+    """Metres below one kilometre, one decimal below ten (none where it is 0), whole kilometres from there on."""
+    whole = lambda x: F.floor(x + 0.5).cast("long").cast("string")
+    short = F.regexp_replace(F.format_string("%.1f", km), r"\.0$", "")
+    return F.when(km < 1, F.concat(whole(km * 1000), F.lit(" m"))).when(km < 10, F.concat(short, F.lit(" km"))).when(km.isNotNull(), F.concat(whole(km), F.lit(" km")))
+
+
+def predict_input_error(hour: Column, weekday: Column, weekend: Column, month: Column, connectors: Column, cutoff: Column) -> Column:
+    """Why a request for a prediction is refused, or null: time features out of range or missing, a negative count, a cut-off that is no time."""
+    inside = lambda c, lo, hi: F.coalesce(c.between(lo, hi), F.lit(False))
+    times = inside(hour, 0, 23) & inside(weekday, 0, 6) & F.coalesce(weekend.isin(0, 1), F.lit(False)) & inside(month, 1, 12)
+    number = F.coalesce(connectors >= 0, F.lit(True)) & ~F.coalesce(F.isnan(connectors), F.lit(False))
+    bad_time = (F.length(F.coalesce(cutoff, F.lit(""))) > 0) & cutoff.try_cast("timestamp").isNull()
+    return F.when(~times | ~number, "FEATURE_SCHEMA_MISMATCH").when(bad_time, "STALE_FEATURES")
+
+
+def predict_result_error(success: Column, probability: Column, version: Column) -> Column:
+    """MODEL_ARTIFACT_INVALID unless a prediction succeeded with a probability of 0 to 1 and names its model."""
+    sound = F.coalesce(success, F.lit(False)) & F.coalesce(probability.between(0.0, 1.0) & ~F.isnan(probability), F.lit(False)) & (F.length(F.coalesce(version, F.lit(""))) > 0)
+    return F.when(~sound, "MODEL_ARTIFACT_INVALID")

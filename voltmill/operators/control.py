@@ -5,26 +5,37 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-# HTTP states worth another try.
+# HTTP states worth another try, states that a message may name, and words of refusals and lost connections.
 RETRYABLE = (429, 500, 502, 503, 504)
+NAMED_TRANSIENT, NAMED_PERMANENT = (500, 502, 503, 504), (400, 401, 403, 404)
+REFUSED = ("unauthorized", "authentication failed", "forbidden", "invalid api key", "missing api key")
+DISCONNECTED = ("could not connect", "connection closed")
 
 
-def classify_failure(error: BaseException) -> str:
-    """TRANSIENT, PERMANENT or UNKNOWN by type, HTTP state and message."""
+def classify_failure(error: BaseException | None) -> str:
+    """TRANSIENT, PERMANENT or UNKNOWN: by type, then the HTTP state the error carries, then the one its message names."""
+    if error is None:
+        return "UNKNOWN"
     name, text = type(error).__name__.lower(), str(error).lower()
-    status = getattr(getattr(error, "response", None), "status_code", None) or getattr(error, "status_code", None)
-    denied = ("credential" in name) or any(w in text for w in ("unauthorized", "authentication failed", "forbidden", "invalid api key"))
-    if denied or isinstance(error, (PermissionError, ValueError, KeyError, TypeError)):
+    if "candidatelookuperror" in name:
+        return "TRANSIENT"
+    if "credential" in name or isinstance(error, (PermissionError, ValueError, KeyError, TypeError)) or any(w in text for w in REFUSED):
         return "PERMANENT"
-    if status is not None:
-        return "TRANSIENT" if status in RETRYABLE or status >= 500 else "PERMANENT" if status >= 400 else "UNKNOWN"
-    if "rate limit" in text or any(f"{w} {c}" in text for w in ("http", "status") for c in RETRYABLE):
+    status = getattr(getattr(error, "response", None), "status_code", None) or getattr(error, "status_code", None)
+    if status is not None and status >= 400:
+        return "TRANSIENT" if status in RETRYABLE or status >= 500 else "PERMANENT"
+    named = {int(c) for c in re.findall(r"(?:http|status) (\d{3})", text)}
+    if "429" in text or "rate limit" in text or named & set(NAMED_TRANSIENT):
         return "TRANSIENT"
-    if isinstance(error, (TimeoutError, ConnectionError)) or "timeout" in name or "operationalerror" in name or "could not connect" in text:
+    if named & set(NAMED_PERMANENT):
+        return "PERMANENT"
+    lost = isinstance(error, (TimeoutError, ConnectionError)) or any(w in name for w in ("timeout", "connectionerror", "connectionreset", "operationalerror"))
+    if lost or any(w in text for w in DISCONNECTED):
         return "TRANSIENT"
     return "PERMANENT" if "integrityerror" in name or "programmingerror" in name else "UNKNOWN"
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .graph import checkpointed
+from .relational import numbered
+
 #: Earth radii of the distance variants.
 RADIUS_M, RADIUS_KM, RADIUS_KM_EXACT = 6371000.0, 6371.0, 6371.0088
 
@@ -33,46 +35,68 @@ def nearby(stations: DataFrame, lat: float, lon: float, radius_m: float, most: i
         return stations.withColumn("distance_meters", F.lit(None).cast("long")).limit(0)
     radius_m = min(radius_m, 200_000.0)
     dlat = math.degrees(radius_m / RADIUS_M) * 1.0001
-    dlon = dlat / max(0.01, math.cos(math.radians(min(89.0, abs(lat) + dlat))))
-    boxed = stations.where(F.col("latitude").between(lat - dlat, lat + dlat) & F.col("longitude").between(lon - dlon, lon + dlon))
-    d = boxed.withColumn("d", haversine("latitude", "longitude", lat, lon)).where(F.col("d") <= radius_m)
+    box = F.col("latitude").between(lat - dlat, lat + dlat)
+    dlon = _lon_reach(radius_m, abs(lat) + dlat)
+    if dlon < 180:  # a box over the 180th meridian has a part on its other side
+        x = F.col("longitude")
+        box &= x.between(lon - dlon, lon + dlon) | (x >= lon - dlon + 360) | (x <= lon + dlon - 360)
+    d = stations.where(box).withColumn("d", haversine("latitude", "longitude", lat, lon)).where(F.col("d") <= radius_m)
     return d.withColumn("distance_meters", F.round("d").cast("long")).drop("d").orderBy("distance_meters", "station_id").limit(min(max(most, 1), 100))
 
 
-def pairs_within(left: DataFrame, right: DataFrame, radius_m: float, id_col: str = "id", lat: str = "latitude", lon: str = "longitude", max_lat: float = 85.0) -> DataFrame:
+def _lon_reach(radius_m: float, max_lat: float) -> float:
+    """The most degrees of longitude between two points within a radius whose |latitude| is at most max_lat."""
+    half = math.sin(min(math.pi / 2, radius_m / (2 * RADIUS_M)))
+    if max_lat >= 90 or half >= math.cos(math.radians(max_lat)):
+        return 180.0
+    return math.degrees(2 * math.asin(half / math.cos(math.radians(max_lat)))) * 1.0001
+
+
+def _cells(band: Column, dlat: float, radius_m: float) -> Column:
+    """Number of equal cells around a latitude band: each as wide as the radius reaches from that band, one near a pole."""
+    edge = F.radians(F.least(F.lit(90.0), F.greatest(F.abs((band - 1) * dlat), F.abs((band + 2) * dlat))))
+    sine = F.lit(math.sin(min(math.pi / 2, radius_m / (2 * RADIUS_M)))) / F.greatest(F.cos(edge), F.lit(1e-12))
+    reach = F.degrees(2 * F.asin(F.least(F.lit(1.0), sine))) * 1.0001
+    return F.greatest(F.lit(1), F.floor(F.lit(360.0) / reach))
+
+
+def pairs_within(left: DataFrame, right: DataFrame, radius_m: float, id_col: str = "id", lat: str = "latitude", lon: str = "longitude") -> DataFrame:
     """Pairs (id_a, id_b, distance) within a radius: an equi-join on grid cells, then the exact distance.
 
-    Cells are at least as wide as the radius at the given latitude, and only the right side goes to its nine
-    neighbouring cells; a pair meets in exactly one cell, so nothing has to be made distinct.
+    Latitude bands are as high as the radius; each band's circle is cut into as many cells as its latitude allows,
+    so cells wrap at the 180th meridian and one cell lies around a pole.  Only the right side goes to its neighbouring
+    cells in three bands; a pair meets in exactly one cell, so nothing has to be made distinct.
     """
     dlat = math.degrees(radius_m / RADIUS_M) * 1.001
-    dlon = dlat / math.cos(math.radians(max_lat))
-    y = lambda c: F.floor(F.col(c) / dlat)
-    x = lambda c: F.floor(F.col(c) / dlon)
-    a = left.select(F.col(id_col).alias("id_a"), F.col(lat).alias("lat_a"), F.col(lon).alias("lon_a"), y(lat).alias("cy"), x(lon).alias("cx"))
-    offsets = F.array(*[F.struct(F.lit(i).alias("dy"), F.lit(j).alias("dx")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    b = right.select(F.col(id_col).alias("id_b"), F.col(lat).alias("lat_b"), F.col(lon).alias("lon_b"), y(lat).alias("cy"), x(lon).alias("cx"), F.explode(offsets).alias("o"))
-    b = b.select("id_b", "lat_b", "lon_b", (F.col("cy") + F.col("o.dy")).alias("cy"), (F.col("cx") + F.col("o.dx")).alias("cx"))
+    known = F.col(lat).isNotNull() & F.col(lon).isNotNull() & ~F.isnan(lat) & ~F.isnan(lon)
+
+    def side(df: DataFrame, s: str) -> DataFrame:
+        return df.where(known).select(F.col(id_col).alias(f"id_{s}"), F.col(lat).alias(f"lat_{s}"), F.col(lon).alias(f"lon_{s}"), F.floor(F.col(lat) / dlat).alias("cy"), F.pmod(F.col(lon) + 180, F.lit(360.0)).alias("turn"))
+
+    at = F.floor(F.col("turn") * F.col("n") / 360)  # turn < 360, so at < n but for rounding, which pmod mends
+    a = side(left, "a").withColumn("n", _cells(F.col("cy"), dlat, radius_m)).withColumn("cx", F.pmod(at, F.col("n"))).drop("n", "turn")
+    b = side(right, "b").withColumn("cy", F.explode(F.array(*[F.col("cy") + i for i in (-1, 0, 1)]))).withColumn("n", _cells(F.col("cy"), dlat, radius_m))
+    around = F.array_distinct(F.array(*[F.pmod(at + i, F.col("n")) for i in (-1, 0, 1)]))
+    b = b.withColumn("cx", F.explode(around)).drop("n", "turn")
     return a.join(b, ["cy", "cx"]).withColumn("distance", haversine("lat_a", "lon_a", "lat_b", "lon_b")).where(F.col("distance") <= radius_m).select("id_a", "id_b", "distance")
 
 
-def nearest_other(points: DataFrame, id_col: str = "id", start_m: float = 1000.0, max_lat: float = 85.0) -> DataFrame:
-    """Each point's nearest other point (ties: least id); a lone point has null.
+def nearest_other(points: DataFrame, id_col: str = "id", start_m: float = 1000.0) -> DataFrame:
+    """Each point's nearest other point (ties: least id); a lone point, or one without coordinates, has null.
 
     Points are matched within a radius that grows fourfold for those that found none, so most points are
     compared with few others; a pass only carries the points that are still open.
     """
-    done = points.select(F.col(id_col).alias("id_a"), F.lit(None).cast(points.schema[id_col].dataType).alias("neighbour"), F.lit(None).cast("double").alias("distance")).limit(0)
-    left, radius = points, start_m
-    if points.limit(2).count() < 2:
-        return points.select(F.col(id_col).alias("id_a"), F.lit(None).cast(points.schema[id_col].dataType).alias("neighbour"), F.lit(None).cast("double").alias("distance"))
+    none = [F.lit(None).cast(points.schema[id_col].dataType).alias("neighbour"), F.lit(None).cast("double").alias("distance")]
+    done, left, radius = points.select(F.col(id_col).alias("id_a"), *none).limit(0), points, start_m
     while True:
-        found = pairs_within(left, points, radius, id_col, max_lat=max_lat).where("id_a <> id_b")
-        best = found.groupBy("id_a").agg(F.min(F.struct("distance", "id_b")).alias("m")).select("id_a", F.col("m.id_b").alias("neighbour"), F.col("m.distance").alias("distance"))
+        found = pairs_within(left, points, radius, id_col).where("id_a <> id_b")
+        best = found.groupBy("id_a").agg(F.min(F.struct("distance", "id_b")).alias("m"))
+        best = checkpointed(best.select("id_a", F.col("m.id_b").alias("neighbour"), F.col("m.distance").alias("distance")))
         done = done.unionByName(best)
         left = left.join(best.select(F.col("id_a").alias(id_col)), id_col, "left_anti")
         if radius > 2.1e7 or left.isEmpty():
-            return done
+            return done.unionByName(left.select(F.col(id_col).alias("id_a"), *none))
         radius *= 4
 
 
@@ -88,13 +112,13 @@ def grid_occupancy(points: DataFrame, box: tuple[float, float, float, float], ce
     return spine.join(F.broadcast(counts), ["cell_row", "cell_col"], "left").select("cell_row", "cell_col", F.coalesce("n", F.lit(0)).cast("long").alias("points"))
 
 
-def dbscan(points: DataFrame, eps_m: float, min_points: int, components, id_col: str = "id", max_lat: float = 85.0) -> DataFrame:
+def dbscan(points: DataFrame, eps_m: float, min_points: int, components, id_col: str = "id") -> DataFrame:
     """Density clusters (id, cluster, is_core): cluster is the least core id of the cluster, -1 for noise.
 
     Neighbours come from a grid join, core points from their counts (a point counts itself), clusters from
     components(links) over core neighbours; a border point joins its least neighbouring core cluster.
     """
-    near = pairs_within(points, points, eps_m, id_col, max_lat=max_lat)
+    near = pairs_within(points, points, eps_m, id_col)
     core = near.groupBy("id_a").agg(F.count("*").alias("n")).where(F.col("n") >= min_points).select(F.col("id_a").alias("core"))
     links = near.join(core.withColumnRenamed("core", "id_a"), "id_a", "left_semi").join(core.withColumnRenamed("core", "id_b"), "id_b", "left_semi")
     labels = components(links.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
@@ -114,7 +138,5 @@ def cluster_profile(points: DataFrame, clusters: DataFrame, id_col: str = "id",
 
 def rank_nearest(points: DataFrame, lat: float, lon: float, id_col: str) -> DataFrame:
     """Rank 1.. by distance and id; rows without coordinates have no rank."""
-    d = haversine("latitude", "longitude", lat, lon)
-    ranked = points.withColumn("distance", d)
-    w = W.orderBy(F.col("distance").asc_nulls_last(), id_col)
-    return ranked.withColumn("rank", F.when(F.col("distance").isNotNull(), F.row_number().over(w)))
+    ranked = numbered(points.withColumn("distance", haversine("latitude", "longitude", lat, lon)), [F.col("distance").asc_nulls_last(), F.col(id_col)], "rank")
+    return ranked.withColumn("rank", F.when(F.col("distance").isNotNull(), F.col("rank") + 1))

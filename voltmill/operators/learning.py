@@ -33,10 +33,18 @@ def zscore_anomalies(df: DataFrame, keys: list[str], value: str, threshold: floa
 
 
 def index_quartiles(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Quartiles by position, sorted[n div 4] and sorted[3n div 4], and n: ranks in a window, so a group may be of any size."""
-    w = W.partitionBy(*keys).orderBy(value)
-    every = W.partitionBy(*keys)
-    r = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"), (F.row_number().over(w) - 1).alias("__i"), F.count("*").over(every).alias("n"))
+    """Quartiles by position, sorted[n div 4] and sorted[3n div 4], and n; without keys one row of the whole set.
+
+    Keys rank their groups in a window; a whole set is ranked in ranges, so no task holds all of it.
+    """
+    from .relational import numbered
+
+    known = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"))
+    if keys:
+        r = known.withColumn("__i", F.row_number().over(W.partitionBy(*keys).orderBy("__v")) - 1).withColumn("n", F.count("*").over(W.partitionBy(*keys)))
+    else:
+        r = numbered(known, [F.col("__v")], "__i")
+        r = r.crossJoin(F.broadcast(r.agg(F.count("*").alias("n"))))
     at = lambda k: F.max(F.when(F.col("__i") == F.floor(F.col("n") * k / 4), F.col("__v")))
     return r.groupBy(*keys).agg(F.max("n").alias("n"), at(1).alias("q1"), at(3).alias("q3"))
 
@@ -45,12 +53,38 @@ def iqr_anomalies(df: DataFrame, keys: list[str], value: str, k: float = 1.5) ->
     """Rows outside the fences with how many interquartile ranges they are beyond."""
     q = index_quartiles(df, keys, value).where(f"n >= {MIN_REFERENCE}").withColumn("iqr", F.col("q3") - F.col("q1"))
     q = q.withColumn("lo", F.col("q1") - k * F.col("iqr")).withColumn("hi", F.col("q3") + k * F.col("iqr"))
-    x = df.join(q, keys)
+    x = df.join(q, keys) if keys else df.crossJoin(F.broadcast(q))
     v = F.col(value)
     beyond = F.when(v < F.col("lo"), F.col("lo") - v).otherwise(v - F.col("hi"))
     return x.where((v < F.col("lo")) | (v > F.col("hi"))).withColumn("score", F.coalesce(F.try_divide(beyond, F.col("iqr")), F.lit(0.0))).drop("n", "q1", "q3", "iqr", "lo", "hi")
 
 
+def spatial_mining(points: DataFrame, eps_m: float = 2000.0, min_points: int = 3, gap_m: float = 5000.0, k: float = 1.5, id_col: str = "id") -> dict[str, DataFrame]:
+    """Density clusters, their profiles, isolated places, and outliers among the isolated ones' distances (km).
+
+    summary is one row: stations, clustered, noise, clusters, gaps.
+    """
+    from . import geo
+    from .graph import connected_components
+
+    found = geo.dbscan(points, eps_m, min_points, connected_components, id_col)
+    near = geo.nearest_other(points, id_col).where(F.col("distance") >= gap_m)
+    gaps = near.select(F.col("id_a").alias("id"), "neighbour", (F.col("distance") / 1000).alias("km"))
+    noise = F.col("cluster") == -1
+    counts = found.agg(F.count("*").alias("stations"), F.count_if(~noise).alias("clustered"), F.count_if(noise).alias("noise"), F.count_distinct(F.when(~noise, F.col("cluster"))).alias("clusters"))
+    return {
+        "clusters": found, "profiles": geo.cluster_profile(points, found, id_col), "gaps": gaps, "outliers": iqr_anomalies(gaps, [], "km", k),
+        "summary": counts.crossJoin(gaps.agg(F.count("*").alias("gaps"))),
+    }
+
+
+def history_summary(observations: DataFrame, key: str, at: str = "observed_at") -> DataFrame:
+    """Per key: days with evidence, median number of events of such a day, and the span from first to last in days."""
+    per = observations.groupBy(key, F.to_date(at).alias("day")).agg(F.count("*").alias("n"), F.min(at).alias("first"), F.max(at).alias("last"))
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    return per.groupBy(key).agg(F.median("n").alias("median_daily"), F.count("*").alias("days"), ((micros(F.max("last")) - micros(F.min("first"))) / 86.4e9).alias("span_days"))
+
+
 def maturity_evidence(observations: DataFrame, as_of: Column) -> DataFrame:
     """One row of evidence over real observations, each (station, time) once.
 

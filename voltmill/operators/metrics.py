@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .relational import numbered
+
 
 def per_label(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     """precision, recall and F1 of each label that was seen or predicted, from one count per pair of labels."""
@@ -35,9 +36,10 @@ def regression(df: DataFrame, actual: str, predicted: str) -> DataFrame:
 
 def mase(series: DataFrame, order: str, value: str, season: int, training: Column) -> DataFrame:
     """Error of the seasonal-naive forecast after the training rows over that within them; null without a scale."""
-    naive = F.lag(value, season).over(W.orderBy(order))
-    e = series.withColumn("e", F.abs(F.col(value) - naive)).withColumn("train", training)
-    return e.agg((F.avg(F.when(~F.col("train"), F.col("e"))) / F.nullif(F.avg(F.when(F.col("train"), F.col("e"))), F.lit(0.0))).alias("mase"))
+    x = numbered(series.select(order, value, training.alias("__train")), [F.col(order)], "__i")
+    past = x.select((F.col("__i") + season).alias("__i"), F.col(value).alias("__naive"))
+    e = x.join(past, "__i", "left").withColumn("e", F.abs(F.col(value) - F.col("__naive")))
+    return e.agg((F.avg(F.when(~F.col("__train"), F.col("e"))) / F.nullif(F.avg(F.when(F.col("__train"), F.col("e"))), F.lit(0.0))).alias("mase"))
 
 
 def against_baseline(model: Column, baseline: Column, higher_is_better: bool = False) -> Column:

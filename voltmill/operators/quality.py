@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -175,15 +176,30 @@ def warehouse_checks(t: dict[str, DataFrame], as_of: Column) -> list[Check]:
 
 
 def run_checks(spark: SparkSession, checks: list[Check]) -> DataFrame:
-    """One row per rule: rule, severity, offending, passed; informing rules never fail.  A pass that can't be planned makes its rules warnings."""
-    frames, failed = [], []
-    for rules, build in checks:
+    """One row per rule: rule, severity, offending, passed; informing rules never fail.
+
+    All passes run as one job.  Where that fails, in planning or at run time, each pass runs alone, and a pass of
+    several rules that fails rule by rule, so that only the rules that can't run become warnings.
+    """
+    schema = "rule string, severity string, offending long"
+
+    def rows_of(some: list[Check]) -> list[tuple]:
+        frames = []
+        for rules, build in some:
+            rows = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(v).alias("severity"), F.col(f"`{r}`").cast("long").alias("offending")) for r, v in rules])
+            frames.append(build().select(F.inline(rows)))
+        return [tuple(x) for x in reduce(DataFrame.union, frames).collect()] if frames else []  # a row a rule
+
+    def attempt(some: list[Check]) -> list[tuple]:
         try:
-            one = build()
-        except AnalysisException:  # the run goes on without these rules
-            failed += [(r, "WARNING", None) for r, _ in rules]
-            continue
-        rows = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(v).alias("severity"), F.col(f"`{r}`").cast("long").alias("offending")) for r, v in rules])
-        frames.append(one.select(F.inline(rows)))
-    out = reduce(DataFrame.union, frames, spark.createDataFrame(failed, "rule string, severity string, offending long"))
+            return rows_of(some)
+        except (PySparkException, Py4JJavaError):  # an error of analysis, or of a cast or an overflow at run time
+            if len(some) > 1:
+                return [x for one in some for x in attempt([one])]
+            rules, build = some[0]
+            if len(rules) > 1:
+                return [x for r in rules for x in attempt([([r], build)])]
+            return [(rules[0][0], "WARNING", None)]
+
+    out = spark.createDataFrame(attempt(checks), schema)
     return out.withColumn("passed", F.when(F.col("severity") == "INFO", True).when(F.col("severity") == "WARNING", False).otherwise(F.col("offending") == 0))

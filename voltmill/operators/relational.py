@@ -8,6 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .graph import checkpointed
+
+
+#: Fixed value: equal states before a change that counts as sudden.
+STABLE_RUN = 10
+
 
 def latest_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in the given order; order must be total for a defined result."""
@@ -46,8 +52,17 @@ def append_absent(target: DataFrame, new: DataFrame, keys: list[str]) -> DataFra
 
 
 def upsert(target: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Replace rows of equal key by the new ones and add the rest."""
-    return target.join(new.select(*keys), keys, "left_anti").unionByName(new)
+    """Replace rows of equal key by the new ones and add the rest; of new rows of equal key one is taken."""
+    return target.join(new.select(*keys), keys, "left_anti").unionByName(new.dropDuplicates(keys))
+
+
+def state_changes(df: DataFrame, keys: list[str], order: list[Column], state: str, stable: int = STABLE_RUN) -> DataFrame:
+    """Changes of state after a run of at least `stable` equal states: keys, idx (place of the change, from 0), from_state, to_state, stable_run."""
+    n = F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1
+    per = islands(df, keys, order, state).withColumn("__i", n).groupBy(*keys, "run").agg(F.count("*").alias("len"), F.first(state).alias("st"), F.min("__i").alias("idx"))
+    w = W.partitionBy(*keys).orderBy("run")
+    found = per.select(*keys, F.col("idx").cast("long").alias("idx"), F.lag("st").over(w).alias("from_state"), F.col("st").alias("to_state"), F.lag("len").over(w).alias("stable_run"))
+    return found.where(F.col("stable_run") >= stable)
 
 
 def islands(df: DataFrame, keys: list[str], order: list[Column], state: str) -> DataFrame:
@@ -58,31 +73,37 @@ def islands(df: DataFrame, keys: list[str], order: list[Column], state: str) ->
     return out.withColumn("in_run", F.row_number().over(W.partitionBy(*keys, "run").orderBy(*order)))
 
 
-def chronological_split(df: DataFrame, order: list[Column], shares: tuple[float, ...], names: tuple[str, ...]) -> DataFrame:
-    """Cut an ordered set at floor(n * cumulative share).
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Number the rows from 0 in the given order, which must be total for a defined result.
 
-    Positions come from range-partitioned counts rather than one global window, so no task holds all rows.
+    The rows are sorted in ranges and cut once together with their range and place in it, so that counting and
+    numbering read the same ranges; each range is then shifted by the rows of earlier ones.  No task holds all rows.
     """
-    keyed = df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
-    counts = keyed.groupBy("__p").agg(F.count("*").alias("__n"))
-    before = W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)
+    ranged = checkpointed(df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()))
+    counts = ranged.groupBy(F.shiftright("__at", 33).alias("__p")).agg(F.count("*").alias("__n"))
+    before = W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)  # one row a range
     shift = counts.select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    total = df.agg(F.count("*").alias("__total"))
-    at = F.row_number().over(W.partitionBy("__p").orderBy(*order)) - 1 + F.col("__before")
-    placed = keyed.join(F.broadcast(shift), "__p").crossJoin(F.broadcast(total)).withColumn("__i", at)
-    cuts, label, total_share = [], F.lit(names[-1]), 0.0
+    placed = ranged.join(F.broadcast(shift), F.shiftright("__at", 33) == F.col("__p"))
+    return placed.withColumn(name, F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))).drop("__p", "__before", "__at")
+
+
+def chronological_split(df: DataFrame, order: list[Column], shares: tuple[float, ...], names: tuple[str, ...]) -> DataFrame:
+    """Cut an ordered set at floor(n * cumulative share)."""
+    placed = numbered(df, order, "__i")
+    total = placed.agg(F.count("*").alias("__total"))
+    label, total_share, cuts = F.lit(names[-1]), 0.0, []
     for s, n in zip(shares[:-1], names[:-1], strict=False):
         total_share += s
         cuts.append((F.floor(F.col("__total") * F.lit(round(total_share, 6))), n))
     for limit, n in reversed(cuts):
         label = F.when(F.col("__i") < limit, F.lit(n)).otherwise(label)
-    return placed.withColumn("split", label).drop("__p", "__before", "__total", "__i")
+    return placed.crossJoin(F.broadcast(total)).withColumn("split", label).drop("__total", "__i")
 
 
 def first_seen_keys(df: DataFrame, value: str, order: Column, name: str) -> DataFrame:
-    """Surrogate keys from 1 in order of first appearance; one row per distinct value."""
+    """Surrogate keys from 1 in order of first appearance, then of value; one row per distinct value."""
     first = df.groupBy(value).agg(F.min(order).alias("__first"))
-    return first.select(value, F.row_number().over(W.orderBy("__first")).alias(name))
+    return numbered(first, [F.col("__first"), F.col(value)], "__i").select(value, (F.col("__i") + 1).alias(name))
 
 
 def one_row(*frames: DataFrame) -> DataFrame:

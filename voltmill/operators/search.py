@@ -5,12 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voltmill.functions import station
 
 from . import geo
+from .relational import numbered
 
 
 @dataclass(frozen=True)
@@ -83,8 +83,12 @@ def order_by(kind: str, here: tuple[float, float] | None = None) -> list[Column]
     return [*by, F.col("id").asc()]
 
 
+#: Columns of what each criterion adds to a score.
+CONTRIBUTIONS = ("connector_points", "power_points", "price_points", "availability_points", "proximity_points")
+
+
 def recommend_scores(stations: DataFrame, here: tuple[float, float] | None) -> DataFrame:
-    """Eligibility, additive score, rank and price state of every station (first of equal ids).
+    """Eligibility, contributions, their sum, rank and reason of exclusion of every station.
 
     Two points each for a known connector type and a known power, one for a verified price, two for
     availability that is fresh and counted, and 2 - d/5 within 5 km.
@@ -92,29 +96,35 @@ def recommend_scores(stations: DataFrame, here: tuple[float, float] | None) -> D
     known_type = F.exists("types", lambda t: t != "Unknown")
     known_power = F.size(F.filter("powers", lambda p: p.isNotNull())) > 0
     priced = F.col("price_per_kwh").isNotNull() | F.coalesce("is_free", F.lit(False))
-    valid = geo.valid_coordinate(F.col("latitude"), F.col("longitude"))
-    eligible = valid & (F.coalesce(F.col("status") != "broken", F.lit(True))) & (known_type | known_power | priced)
+    valid, broken = geo.valid_coordinate(F.col("latitude"), F.col("longitude")), F.coalesce(F.col("status") == "broken", F.lit(False))
+    eligible = valid & ~broken & (known_type | known_power | priced)
+    excluded = F.when(~valid, "coordinates").when(broken, "broken").when(~eligible, "no evidence")
     fresh = ~F.coalesce(F.col("minutes") > 120, F.lit(False))
     here_now = eligible & (F.col("status") == "available") & (F.coalesce("available", F.lit(0)) > 0) & fresh
     d = geo.haversine(here[0], here[1], "latitude", "longitude", geo.RADIUS_KM) if here else F.lit(None).cast("double")
-    b = lambda e, w: F.when(e, F.lit(w)).otherwise(F.lit(0.0))
-    near = F.when(d <= 5, F.greatest(F.lit(0.0), 2 - d / 5)).otherwise(0.0)
-    x = stations.withColumns({"eligible": eligible, "distance_km": d, "available_now": here_now})
-    x = x.withColumn("score", F.when(eligible, b(known_type, 2.0) + b(known_power, 2.0) + b(priced, 1.0) + b(here_now, 2.0) + near).otherwise(0.0))
-    w = W.partitionBy("eligible").orderBy(F.round("score", 9).desc(), F.round("distance_km", 9).asc_nulls_last(), "id")
-    return x.withColumn("rank", F.when(F.col("eligible"), F.row_number().over(w)))
+    b = lambda e, w: F.when(eligible & e, F.lit(w)).otherwise(F.lit(0.0))
+    near = F.when(eligible & (d <= 5), F.greatest(F.lit(0.0), 2 - d / 5)).otherwise(0.0)
+    x = stations.withColumns({"eligible": eligible, "excluded": excluded, "distance_km": d, "available_now": here_now})
+    x = x.withColumns(dict(zip(CONTRIBUTIONS, (b(known_type, 2.0), b(known_power, 2.0), b(priced, 1.0), b(here_now, 2.0), near), strict=True)))
+    x = x.withColumn("score", sum((F.col(c) for c in CONTRIBUTIONS[1:]), F.col(CONTRIBUTIONS[0])))
+    ranked = numbered(x, [F.col("eligible").desc(), F.round("score", 9).desc(), F.round("distance_km", 9).asc_nulls_last(), F.col("id")], "rank")
+    return ranked.withColumn("rank", F.when(F.col("eligible"), F.col("rank") + 1))
 
 
-def top_recommendations(scored: DataFrame, count: int, wanted: tuple[str, ...] = ()) -> DataFrame:
-    """The best one to three with the reasons that their data give."""
-    top = scored.where("eligible").orderBy(F.round("score", 9).desc(), F.round("distance_km", 9).asc_nulls_last(), "id").limit(min(3, max(1, count)))
+def reasons(wanted: tuple[str, ...] = ()) -> Column:
+    """What a scored station's data say for it, in order."""
     want = F.arrays_overlap("types", F.array(*[F.lit(t) for t in wanted])) if wanted else F.lit(False)
-    reasons = F.array(
+    return F.array_compact(F.array(
         F.when(want, "matchConnector"), F.when(F.size(F.filter("powers", lambda p: p.isNotNull())) > 0, "knownPower"),
         F.when(F.col("price_per_kwh").isNotNull() | F.coalesce("is_free", F.lit(False)), "priceAvailable"), F.when(F.col("distance_km") <= 5, "nearby"),
         F.when(F.col("available_now"), "availableNow").when(F.col("status") == "unknown", "availabilityUnknown"),
-    )
-    return top.withColumn("reasons", F.array_compact(reasons))
+    ))
+
+
+def top_recommendations(scored: DataFrame, count: int, wanted: tuple[str, ...] = ()) -> DataFrame:
+    """The best one to three with the reasons that their data give."""
+    top = scored.where("eligible").orderBy(F.round("score", 9).desc(), F.round("distance_km", 9).asc_nulls_last(), "id").limit(min(3, max(1, count)))
+    return top.withColumn("reasons", reasons(wanted))
 
 
 def additive_scores(stations: DataFrame, here: tuple[float, float] | None, connector: str | None, fast_only: bool, max_km: float | None) -> DataFrame:

@@ -102,17 +102,31 @@ def scd2_sync(current: DataFrame, incoming: DataFrame, key: str, tracked: list[s
     return current.where("NOT is_current").select(*cols).unionByName(kept).unionByName(closed).unionByName(opened)
 
 
+def disjoint_periods(versions: DataFrame, key: str) -> DataFrame:
+    """Periods (key, effective_from, effective_to, version_key) that don't overlap: at each time the version that began last, by key of equal ones.
+
+    A key has few versions, so they meet each other here and not at each of its many events.
+    """
+    v = versions.select(key, "version_key", "effective_from", "effective_to").where("effective_to IS NULL OR effective_to > effective_from")
+    edges = v.select(key, F.col("effective_from").alias("t")).union(v.where("effective_to IS NOT NULL").select(key, "effective_to")).distinct()
+    spans = edges.withColumn("until", F.lead("t").over(W.partitionBy(key).orderBy("t")))
+    over = spans.join(v, key).where("effective_from <= t AND (effective_to IS NULL OR effective_to > t)")
+    top = F.max_by("version_key", F.struct("effective_from", "version_key"))
+    return over.groupBy(key, F.col("t").alias("effective_from"), F.col("until").alias("effective_to")).agg(top.alias("version_key"))
+
+
 def load_facts(events: DataFrame, versions: DataFrame, dates: DataFrame, key: str, at: str) -> tuple[DataFrame, DataFrame]:
-    """Facts with their point-in-time version, and rejected events with a reason (date outside the calendar, no version then)."""
-    from .relational import latest_by, valid_at
+    """Facts with their point-in-time version, and rejected events with a reason (date outside the calendar, no version then).
+
+    Each event meets at most one period, so equal events load as often as they come.
+    """
+    from .relational import valid_at
 
     date_key, _ = utc_keys(F.col(at))
-    dated = events.withColumn("date_key", date_key).join(F.broadcast(dates.select("date_key", F.lit(True).alias("__known"))), "date_key", "left")
-    joined = valid_at(dated, versions, key, at)
-    ids = [c for c in events.columns]
-    best = latest_by(joined, ids, [F.col("effective_from").desc_nulls_last(), F.col("version_key").desc_nulls_last()])
+    dated = events.withColumn("date_key", date_key).join(dates.select("date_key", F.lit(True).alias("__known")), "date_key", "left")
+    joined = valid_at(dated, disjoint_periods(versions, key), key, at)
     reason = F.when(F.col("__known").isNull(), "date outside calendar").when(F.col("version_key").isNull(), "no version at event time")
-    out = best.withColumn("reason", reason).drop("__known", "effective_from")
+    out = joined.withColumn("reason", reason).drop("__known", "effective_from")
     return out.where("reason IS NULL").drop("reason"), out.where("reason IS NOT NULL")
 
 

@@ -66,9 +66,27 @@ def _(s: Star) -> DataFrame:
     return search.recommend_scores(listing(s), HERE).select("id", "eligible", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("ml_18_top_three", "SELECT id FROM sc2 WHERE eligible ORDER BY round(score, 9) DESC, round(d, 9) NULLS LAST, id LIMIT 3", **L, sc=SCORE, sc2=SCORE2)
+_REASONS = """concat_ws(',', CASE WHEN list_has_any(types, ['CCS2']) THEN 'matchConnector' END, CASE WHEN nkw > 0 THEN 'knownPower' END, CASE WHEN price_per_kwh IS NOT NULL OR is_free THEN 'priceAvailable' END,
+CASE WHEN d <= 5 THEN 'nearby' END, CASE WHEN now_ok THEN 'availableNow' WHEN status = 'unknown' THEN 'availabilityUnknown' END)"""
+_PARTS = """CASE WHEN eligible AND coalesce(known, 0) > 0 THEN 2.0 ELSE 0.0 END AS connector_points, CASE WHEN eligible AND coalesce(nkw, 0) > 0 THEN 2.0 ELSE 0.0 END AS power_points, CASE WHEN eligible AND (price_per_kwh IS NOT NULL OR is_free) THEN 1.0 ELSE 0.0 END AS price_points,
+CASE WHEN eligible AND now_ok THEN 2.0 ELSE 0.0 END AS availability_points, round(CASE WHEN eligible AND d <= 5 THEN greatest(0, 2 - d / 5) ELSE 0 END, 6)::DOUBLE AS proximity_points"""
+
+
+@query("ml_18_contributions", f"""SELECT id, {_PARTS}, CASE WHEN eligible THEN NULL WHEN latitude IS NULL OR (latitude = 0 AND longitude = 0) THEN 'coordinates' WHEN status = 'broken' THEN 'broken' ELSE 'no evidence' END AS excluded FROM sc""", **L, sc=SCORE)
+def _(s: Star) -> DataFrame:
+    x = search.recommend_scores(listing(s), HERE)
+    return x.select("id", "excluded", *[F.round(c, 6).alias(c) for c in search.CONTRIBUTIONS])
+
+
+@query("ml_18_top_three", f"SELECT id, {_REASONS} AS reasons FROM sc JOIN (SELECT id, score FROM sc2) USING (id) WHERE eligible ORDER BY round(score, 9) DESC, round(d, 9) NULLS LAST, id LIMIT 3", **L, sc=SCORE, sc2=SCORE2)
 def _(s: Star) -> DataFrame:
-    return search.top_recommendations(search.recommend_scores(listing(s), HERE), 5, ("CCS2",)).select("id")
+    return search.top_recommendations(search.recommend_scores(listing(s), HERE), 5, ("CCS2",)).select("id", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("ml_18_reasons_of_all", f"SELECT id, {_REASONS} AS reasons FROM sc WHERE eligible", **L, sc=SCORE)
+def _(s: Star) -> DataFrame:
+    x = search.recommend_scores(listing(s), HERE).where("eligible")
+    return x.select("id", F.array_join(search.reasons(("CCS2",)), ",").alias("reasons"))
 
 
 @query("ml_17_additive_recommender", "SELECT id, round(CAST(CASE WHEN d IS NULL THEN 0 ELSE greatest(0, 10 - d) END + CASE WHEN n = 0 THEN 0 WHEN list_contains(types, 'CCS2') THEN 5 ELSE -5 END + CASE WHEN nkw > 0 AND kw >= 50 THEN 3 WHEN nkw > 0 THEN -3 ELSE 0 END AS DOUBLE), 6) AS score FROM lst WHERE d IS NULL OR d <= 30", **L)
@@ -85,12 +103,17 @@ def points(s: Star) -> DataFrame:
     return s.supplier.select(F.col("s_suppkey").alias("id"), (18.9 + y).alias("latitude"), (72.8 + x).alias("longitude"))
 
 
-for _r in (1000, 2000, 5000):
+_AT_SITE = "(SELECT id, latitude, longitude FROM site)"
+
+for _r in (15, 40, 50, 1000, 2000, 5000):
+    # Short radii over sites, which lie a few metres apart, the others over scattered points.
+    _sites = _r <= 1000
+    _from = f"{_AT_SITE} a JOIN {_AT_SITE} b" if _sites else "pts a JOIN pts b"
 
-    @query(f"join_06_pairs_within_{_r}_m", f"SELECT a.id AS id_a, b.id AS id_b, round({PD}, 3) AS distance FROM pts a JOIN pts b ON a.id < b.id WHERE {PD} <= {_r}", pts=POINTS)
-    def _(s: Star, r=_r) -> DataFrame:
-        p = points(s)
-        return geo.pairs_within(p, p, float(r), max_lat=60.0).where("id_a < id_b").select("id_a", "id_b", F.round("distance", 3).alias("distance"))
+    @query(f"join_06_pairs_within_{_r}_m", f"SELECT a.id AS id_a, b.id AS id_b, round({PD}, 3) AS distance FROM {_from} ON a.id < b.id WHERE {PD} <= {_r}", pts=POINTS)
+    def _(s: Star, r=_r, sites=_sites) -> DataFrame:
+        p = s.site.select("id", "latitude", "longitude") if sites else points(s)
+        return geo.pairs_within(p, p, float(r)).where("id_a < id_b").select("id_a", "id_b", F.round("distance", 3).alias("distance"))
 
 
 NEAREST = f"SELECT id, arg_min(o, (dd, o)) AS neighbour, min(dd) AS distance FROM (SELECT a.id, b.id AS o, {PD} AS dd FROM pts a JOIN pts b ON a.id <> b.id) GROUP BY 1"
@@ -98,22 +121,23 @@ NEAREST = f"SELECT id, arg_min(o, (dd, o)) AS neighbour, min(dd) AS distance FRO
 
 @query("join_07_nearest_neighbour", "SELECT id, neighbour, round(distance, 3) AS distance FROM nn", pts=POINTS, nn=NEAREST)
 def _(s: Star) -> DataFrame:
-    return geo.nearest_other(points(s), max_lat=60.0).select(F.col("id_a").alias("id"), "neighbour", F.round("distance", 3).alias("distance"))
+    return geo.nearest_other(points(s)).select(F.col("id_a").alias("id"), "neighbour", F.round("distance", 3).alias("distance"))
 
 
 @query("ml_05_coverage_gaps", "SELECT id, round(distance / 1000, 6) AS gap_km FROM nn WHERE distance >= 3500", pts=POINTS, nn=NEAREST)
 def _(s: Star) -> DataFrame:
-    return geo.nearest_other(points(s), max_lat=60.0).where("distance >= 3500").select(F.col("id_a").alias("id"), F.round(F.col("distance") / 1000, 6).alias("gap_km"))
+    return geo.nearest_other(points(s)).where("distance >= 3500").select(F.col("id_a").alias("id"), F.round(F.col("distance") / 1000, 6).alias("gap_km"))
 
 
 @query("ord_04_most_isolated", "SELECT id, round(distance, 3) AS distance FROM nn ORDER BY round(distance, 3) DESC, id LIMIT 25", pts=POINTS, nn=NEAREST)
 def _(s: Star) -> DataFrame:
-    return geo.nearest_other(points(s), max_lat=60.0).orderBy(F.round("distance", 3).desc(), "id_a").limit(25).select(F.col("id_a").alias("id"), F.round("distance", 3).alias("distance"))
+    return geo.nearest_other(points(s)).orderBy(F.round("distance", 3).desc(), "id_a").limit(25).select(F.col("id_a").alias("id"), F.round("distance", 3).alias("distance"))
 
 
+EPS = 3500
 DB = {
     "pts": POINTS,
-    "near": f"SELECT a.id, b.id AS o FROM pts a JOIN pts b ON {PD} <= 5000",
+    "near": f"SELECT a.id, b.id AS o FROM pts a JOIN pts b ON {PD} <= {EPS}",
     "core": "SELECT id FROM near GROUP BY 1 HAVING count(*) >= 3",
     "edge": "SELECT n.id, n.o FROM near n JOIN core a ON a.id = n.id JOIN core b ON b.id = n.o",
     "lab": "SELECT id, min(o) AS cluster FROM reach GROUP BY 1",
@@ -124,14 +148,14 @@ SELECT p.id, coalesce(l.cluster, b.c, -1) AS cluster, l.id IS NOT NULL AS is_cor
 
 @query("ml_04_dbscan", _DB_SQL)
 def _(s: Star) -> DataFrame:
-    return geo.dbscan(points(s), 5000.0, 3, connected_components, max_lat=60.0)
+    return geo.dbscan(points(s), float(EPS), 3, connected_components)
 
 
-@query("ml_04_dbscan_profile", _DB_SQL.replace("SELECT p.id, coalesce(l.cluster, b.c, -1) AS cluster, l.id IS NOT NULL AS is_core FROM pts p", "SELECT coalesce(l.cluster, b.c) AS cluster, count(*) AS size, min(p.latitude) AS lat_min, max(p.latitude) AS lat_max, min(p.longitude) AS lon_min, max(p.longitude) AS lon_max, round(avg(p.latitude), 9) AS lat_c FROM pts p") + " WHERE coalesce(l.cluster, b.c) IS NOT NULL GROUP BY 1")
+@query("ml_04_dbscan_profile", _DB_SQL.replace("SELECT p.id, coalesce(l.cluster, b.c, -1) AS cluster, l.id IS NOT NULL AS is_core FROM pts p", "SELECT coalesce(l.cluster, b.c) AS cluster, count(*) AS size, min(p.latitude) AS lat_min, max(p.latitude) AS lat_max, min(p.longitude) AS lon_min, max(p.longitude) AS lon_max, round(avg(p.latitude), 9) AS lat_c, round(avg(p.longitude), 9) AS lon_c FROM pts p") + " WHERE coalesce(l.cluster, b.c) IS NOT NULL GROUP BY 1")
 def _(s: Star) -> DataFrame:
     p = points(s)
-    c = geo.cluster_profile(p, geo.dbscan(p, 5000.0, 3, connected_components, max_lat=60.0))
-    return c.select("cluster", "size", "lat_min", "lat_max", "lon_min", "lon_max", F.round("lat_c", 9).alias("lat_c"))
+    c = geo.cluster_profile(p, geo.dbscan(p, float(EPS), 3, connected_components))
+    return c.select("cluster", "size", "lat_min", "lat_max", "lon_min", "lon_max", F.round("lat_c", 9).alias("lat_c"), F.round("lon_c", 9).alias("lon_c"))
 
 
 @query("flt_10_valid_coordinates", "SELECT id, latitude IS NOT NULL AND longitude IS NOT NULL AND latitude BETWEEN -90 AND 90 AND NOT (latitude = 0 AND longitude = 0) AS valid FROM listing")

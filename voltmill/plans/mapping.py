@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voltmill.operators import relational
+from voltmill.functions import station
+from voltmill.operators import geo, relational
 from voltmill.sources import mappings as M
 from voltmill.sources.driver_tables import Star
 
@@ -149,9 +150,24 @@ def _(s: Star) -> DataFrame:
     return s.orders.withColumn("date_key", key).join(F.broadcast(d), "date_key", "left_semi").agg(F.count("*").alias("inside"))
 
 
-@query("ext_27_station_by_id", "SELECT station_id, printf('%.1f km', latitude) AS label FROM dim_station WHERE station_id = 'ST-7'")
+_KM = "2 * 6371 * asin(sqrt(least(1, pow(sin(radians(latitude - 19.0) / 2), 2) + cos(radians(19.0)) * cos(radians(latitude)) * pow(sin(radians(longitude - 72.9) / 2), 2))))"
+_LABEL = f"CASE WHEN {_KM} < 1 THEN concat(CAST(floor({_KM} * 1000 + 0.5) AS BIGINT), ' m') WHEN {_KM} < 10 THEN concat(regexp_replace(printf('%.1f', {_KM}), '\\.0$', ''), ' km') ELSE concat(CAST(floor({_KM} + 0.5) AS BIGINT), ' km') END"
+
+
+def _away(s: Star):
+    return geo.haversine(19.0, 72.9, "latitude", "longitude", geo.RADIUS_KM)
+
+
+@query("ext_27_distance_labels", f"SELECT station_id, {_LABEL} AS label FROM dim_station")
 def _(s: Star) -> DataFrame:
-    return s.dim_station.where("station_id = 'ST-7'").select("station_id", F.concat(F.format_number("latitude", 1), F.lit(" km")).alias("label"))
+    return s.dim_station.select("station_id", station.distance_label(_away(s)).alias("label"))
+
+
+@query("ext_27_station_by_id", f"SELECT station_id, {_LABEL} AS label FROM dim_station WHERE station_id = 'ST-7'")
+def _(s: Star) -> DataFrame:
+    one = station.by_id(s.dim_station, "station_id", "ST-7", "ST-[0-9]+")
+    refused = station.by_id(s.dim_station, "station_id", "ST-7' OR 1=1", "ST-[0-9]+")
+    return one.union(refused).select("station_id", station.distance_label(_away(s)).alias("label"))
 
 
 @query("ext_29_newest_reviews", "SELECT review_id, station_key FROM (SELECT *, row_number() OVER (PARTITION BY station_key ORDER BY created_at DESC, review_id DESC) AS rn FROM review WHERE moderation_status = 'approved') WHERE rn <= 50")
@@ -162,12 +178,28 @@ def _(s: Star) -> DataFrame:
     return s.review.where("moderation_status = 'approved'").withColumn("rn", rn).where("rn <= 50").select("review_id", "station_key")
 
 
-@query("ext_32_output_ranges", "SELECT observation_id FROM fact_observation WHERE NOT (value BETWEEN 0 AND 100)")
+@query("ext_32_input_ranges", """SELECT observation_id, CASE WHEN NOT (available_connectors * 8 <= 23 AND total_connectors BETWEEN 0 AND 6 AND coalesce(source_key, 9) IN (0, 1) AND connector_key BETWEEN 1 AND 12) OR connector_key IS NULL OR value < 10 THEN 'FEATURE_SCHEMA_MISMATCH'
+WHEN queue_level = 'unknown' THEN 'STALE_FEATURES' END AS refused FROM fact_observation""")
+def _(s: Star) -> DataFrame:
+    c = F.col
+    cutoff = F.when(c("queue_level") == "unknown", "not a time").when(c("queue_level") == "none", "").when(c("queue_level") == "short", "2024-01-05T10:00:00Z")
+    refused = station.predict_input_error(c("available_connectors") * 8, c("total_connectors"), c("source_key"), c("connector_key"), c("value") - 10, cutoff)
+    return s.fact_observation.select("observation_id", refused.alias("refused"))
+
+
+@query("ext_32_output_ranges", "SELECT observation_id, CASE WHEN availability_status = 'unknown' OR value / 400 > 1 OR source_payload_hash IS NULL THEN 'MODEL_ARTIFACT_INVALID' END AS refused FROM fact_observation")
 def _(s: Star) -> DataFrame:
-    return s.fact_observation.where(~F.col("value").between(0, 100)).select("observation_id")
+    refused = station.predict_result_error(F.col("availability_status") != "unknown", F.col("value") / 400, F.col("source_payload_hash"))
+    return s.fact_observation.select("observation_id", refused.alias("refused"))
 
 
-@query("ext_35_greedy_capped_selection")
+@query("ext_35_greedy_capped_selection", """WITH RECURSIVE x AS (SELECT c_custkey AS id, CAST(c_nationkey % 5 AS VARCHAR) AS state, CAST(c_nationkey AS VARCHAR) AS city, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS i FROM customer),
+scan(i, id, state, city, ok, states, cities, n) AS (
+  SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), '', '', false, MAP {'': 0}, MAP {'': 0}, 0
+  UNION ALL SELECT i, id, state, city, take, CASE WHEN take THEN map_from_entries(list_append(list_filter(map_entries(states), lambda e: e.key <> state), {'key': state, 'value': in_state + 1})) ELSE states END,
+    CASE WHEN take THEN map_from_entries(list_append(list_filter(map_entries(cities), lambda e: e.key <> city), {'key': city, 'value': in_city + 1})) ELSE cities END, n + CAST(take AS INT)
+  FROM (SELECT *, n < 550 AND in_state < 120 AND in_city < 40 AS take FROM (SELECT x.*, states, cities, n, coalesce(states[x.state], 0) AS in_state, coalesce(cities[x.city], 0) AS in_city FROM scan JOIN x ON x.i = scan.i + 1)))
+SELECT id, state, city FROM scan WHERE ok""")
 def _(s: Star) -> DataFrame:
     x = s.customer.select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("score"), (F.col("c_nationkey") % 5).cast("string").alias("state"), F.col("c_nationkey").cast("string").alias("city"))
     return M.greedy_capped(x, 120, 40, 550).select("id", "state", "city")

@@ -9,6 +9,7 @@ from voltmill.operators import learning, metrics, warehouse
 from voltmill.sources.driver_tables import Star
 
 from .core import query
+from .explore import _DB_SQL, EPS, NEAREST, POINTS, points
 from .star_sql import CTES
 
 AS_OF = "2024-01-31 00:00:00"
@@ -26,10 +27,18 @@ def _(s: Star) -> DataFrame:
     return learning.iqr_anomalies(s.fact_observation.select("station_key", "observation_id", "value"), ["station_key"], "value").select("observation_id", "score")
 
 
-@query("ml_06_gap_distance_outliers", """WITH v AS (SELECT s_suppkey AS id, s_acctbal AS x FROM supplier), q AS (SELECT list(x ORDER BY x) AS l, count(*) AS n FROM v), f AS (SELECT l[n // 4 + 1] AS q1, l[(3 * n) // 4 + 1] AS q3 FROM q) SELECT id FROM v, f WHERE x < q1 - 0.4 * (q3 - q1) OR x > q3 + 0.4 * (q3 - q1)""")
+_GAPS = "g AS (SELECT id, distance / 1000 AS km FROM nn WHERE distance >= 1500), q AS (SELECT list(km ORDER BY km) AS l, count(*) AS n FROM g), f AS (SELECT l[n // 4 + 1] AS q1, l[(3 * n) // 4 + 1] AS q3, n FROM q)"
+
+
+@query("ml_06_gap_distance_outliers", f"WITH {_GAPS} SELECT id, round(km, 6) AS gap_km, round(CASE WHEN km > q3 THEN km - (q3 + 0.2::DOUBLE * (q3 - q1)) ELSE q1 - 0.2::DOUBLE * (q3 - q1) - km END / (q3 - q1), 4) AS score FROM g, f WHERE n >= 10 AND (km > q3 + 0.2::DOUBLE * (q3 - q1) OR km < q1 - 0.2::DOUBLE * (q3 - q1))", pts=POINTS, nn=NEAREST)
+def _(s: Star) -> DataFrame:
+    out = learning.spatial_mining(points(s), eps_m=2000.0, min_points=3, gap_m=1500.0, k=0.2)["outliers"]
+    return out.select("id", F.round("km", 6).alias("gap_km"), F.round("score", 4).alias("score"))
+
+
+@query("ml_06_spatial_summary", _DB_SQL.replace("SELECT p.id, coalesce(l.cluster, b.c, -1) AS cluster, l.id IS NOT NULL AS is_core FROM pts p", "SELECT count(*) AS stations, count(coalesce(l.cluster, b.c)) AS clustered, count(*) - count(coalesce(l.cluster, b.c)) AS noise, count(DISTINCT coalesce(l.cluster, b.c)) AS clusters, (SELECT count(*) FROM nn WHERE distance >= 1500) AS gaps FROM pts p").replace(", near AS", f", nn AS ({NEAREST}), near AS", 1))
 def _(s: Star) -> DataFrame:
-    v = s.supplier.select(F.lit(1).alias("g"), F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("x"))
-    return learning.iqr_anomalies(v, ["g"], "x", 0.4).select("id")
+    return learning.spatial_mining(points(s), eps_m=float(EPS), min_points=3, gap_m=1500.0, k=0.2)["summary"]
 
 
 EVID = f"""SELECT CAST(sum(n) AS BIGINT) AS observations, count(*) AS stations, min(n) AS per_station_min, max(n) AS per_station_max, median(n) AS per_station_median, (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(max(l))) / 3.6e9 AS age_hours, (SELECT count(DISTINCT CAST(observed_at AS DATE)) FROM fact_observation WHERE NOT is_simulated) AS days
@@ -177,13 +186,18 @@ UNION ALL SELECT 'provenance', CASE WHEN source_payload_hash IS NULL THEN 'missi
 def _(s: Star) -> DataFrame:
     from functools import reduce
 
-    named = s.fact_observation.join(F.broadcast(s.dim_source), "source_key", "left")
+    named = s.fact_observation.join(s.dim_source, "source_key", "left")
     hashed = F.when(F.col("source_payload_hash").isNull(), "missing").otherwise("present")
     parts = [("connectors", s.dim_connector, F.col("connector_type")), ("pricing", s.dim_connector, F.col("pricing_type")), ("status", s.dim_station, F.col("operational_status")), ("sources", named, F.coalesce("name", F.lit("none"))), ("provenance", s.fact_observation, hashed), ("queue", s.fact_observation, F.col("queue_level")), ("simulated", s.fact_observation, F.col("is_simulated").cast("string"))]
     return reduce(DataFrame.union, [df.groupBy(item.alias("item")).agg(F.count("*").alias("n")).select(F.lit(name).alias("section"), "item", "n") for name, df, item in parts])
 
 
-@query("ext_22_dataset_summary", "SELECT station_key, round(median(observation_count), 6) AS median_daily, count(*) AS days, max(date_key) - min(date_key) AS span FROM fact_daily GROUP BY 1", **CTES)
+@query("ext_22_dataset_summary", "SELECT station_key, round(median(n), 6) AS median_daily, count(*) AS days, round(date_diff('second', min(first), max(last)) / 86400.0::DOUBLE, 9) AS span_days FROM (SELECT o_custkey AS station_key, CAST(o_orderdate AS DATE) AS day, count(*) AS n, min(o_orderdate) AS first, max(o_orderdate) AS last FROM orders GROUP BY 1, 2) GROUP BY 1")
+def _(s: Star) -> DataFrame:
+    x = learning.history_summary(s.orders.select(F.col("o_custkey").alias("station_key"), F.col("o_orderdate").alias("observed_at")), "station_key")
+    return x.select("station_key", F.round("median_daily", 6).alias("median_daily"), "days", F.round("span_days", 9).alias("span_days"))
+
+
+@query("ext_22_observed_span", "SELECT station_key, round((epoch_us(max(observed_at)) - epoch_us(min(observed_at))) / 86.4e9, 6) AS span_days, count(DISTINCT CAST(observed_at AS DATE)) AS days FROM fact_observation GROUP BY 1")
 def _(s: Star) -> DataFrame:
-    d = warehouse.daily_evidence(s.fact_observation, s.fact_report, s.fact_review)
-    return d.groupBy("station_key").agg(F.round(F.median("observation_count"), 6).alias("median_daily"), F.count("*").alias("days"), (F.max("date_key") - F.min("date_key")).alias("span"))
+    return learning.history_summary(s.fact_observation, "station_key").select("station_key", "days", F.round("span_days", 6).alias("span_days"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voltmill.operators import geo, relational, warehouse
@@ -40,12 +41,12 @@ def percent_sql(ratio: str) -> str:
 @query("qry_01_stations_by_operator", "SELECT operator_name, count(*) AS station_count FROM dim_station JOIN dim_operator USING (operator_key) WHERE is_current GROUP BY 1")
 def _(s: Star) -> DataFrame:
     per = s.dim_station.where("is_current").groupBy("operator_key").agg(F.count("*").alias("station_count"))
-    return per.join(F.broadcast(s.dim_operator), "operator_key").groupBy("operator_name").agg(F.sum("station_count").alias("station_count")).orderBy(F.desc("station_count"), "operator_name")
+    return per.join(s.dim_operator, "operator_key").groupBy("operator_name").agg(F.sum("station_count").alias("station_count")).orderBy(F.desc("station_count"), "operator_name")
 
 
 @query("qry_02_stations_by_city", "SELECT city, state, count(*) AS station_count FROM dim_station JOIN dim_location USING (location_key) WHERE is_current GROUP BY 1, 2")
 def _(s: Star) -> DataFrame:
-    return s.dim_station.where("is_current").join(F.broadcast(s.dim_location), "location_key").groupBy("city", "state").agg(F.count("*").alias("station_count")).orderBy(F.desc("station_count"), "city", "state")
+    return s.dim_station.where("is_current").join(s.dim_location, "location_key").groupBy("city", "state").agg(F.count("*").alias("station_count")).orderBy(F.desc("station_count"), "city", "state")
 
 
 @query("qry_03_connector_mix", "SELECT connector_type, count(*) AS groups, CAST(sum(quantity) AS BIGINT) AS units, count(*) FILTER (WHERE power_kw IS NULL) AS unknown_power_groups FROM dim_connector GROUP BY 1")
@@ -72,7 +73,7 @@ def _(s: Star) -> DataFrame:
 FROM fact_daily f JOIN dim_date d USING (date_key) JOIN dim_station s USING (station_key) WHERE s.station_id = '{STATION}' AND s.is_current""", **CTES)
 def _(s: Star) -> DataFrame:
     one = s.dim_station.where((F.col("station_id") == STATION) & F.col("is_current")).select("station_key")
-    facts = [x.join(F.broadcast(one), "station_key", "left_semi") for x in (s.fact_observation, s.fact_report, s.fact_review)]
+    facts = [x.join(one, "station_key", "left_semi") for x in (s.fact_observation, s.fact_report, s.fact_review)]
     d = warehouse.daily_evidence(*facts).join(dates(s), "date_key")
     return d.select(F.date_format("full_date", "yyyy-MM-dd").alias("full_date"), "observation_count", "available_count", "busy_count", "broken_count", F.round("availability_ratio", 6).alias("availability_ratio"), "report_count", "review_count", F.round("avg_rating", 6).alias("avg_rating"), "maturity").orderBy("full_date")
 
@@ -87,7 +88,7 @@ def _(s: Star) -> DataFrame:
 @query("qry_07_busy_slots_by_city", f"""SELECT t.slot_15min, count(*) AS busy_obs FROM fact_observation o JOIN dim_station USING (station_key) JOIN dim_location l USING (location_key) JOIN dim_time t USING (time_key)
 WHERE l.city = '{CITY}' AND o.availability_status = 'busy' GROUP BY 1""", **CTES)
 def _(s: Star) -> DataFrame:
-    there = s.dim_station.join(F.broadcast(s.dim_location.where(F.col("city") == CITY)), "location_key").select("station_key")
+    there = s.dim_station.join(s.dim_location.where(F.col("city") == CITY), "location_key").select("station_key")
     busy = s.fact_observation.where("availability_status = 'busy'").join(there, "station_key").groupBy("time_key").agg(F.count("*").alias("busy_obs"))
     return busy.join(F.broadcast(warehouse.time_slots(s.spark)), "time_key").select("slot_15min", "busy_obs").orderBy(F.desc("busy_obs"), "slot_15min")
 
@@ -105,9 +106,12 @@ def _(s: Star) -> DataFrame:
     return s.dim_source.join(per, "source_key", "left").select("name", zero("stations").alias("stations_observed"), zero("n").alias("observations"))
 
 
-@query("qry_10_maturity_overview", "SELECT maturity, count(*) AS stations FROM (SELECT station_key, arg_max(maturity, date_key) AS maturity FROM fact_daily GROUP BY 1) GROUP BY 1", **CTES)
+@query("qry_10_maturity_overview", """SELECT maturity, count(*) AS stations FROM (SELECT station_key, arg_max(state, date_key) AS maturity FROM (SELECT station_key, date_key, CASE WHEN seen < 10 THEN 'cold' WHEN seen < 60 THEN 'warming' ELSE 'ready' END AS state
+FROM (SELECT station_key, date_key, sum(observation_count) OVER (PARTITION BY station_key ORDER BY date_key) AS seen FROM fact_daily)) GROUP BY 1) GROUP BY 1""", **CTES)
 def _(s: Star) -> DataFrame:
-    return relational.latest_values(daily(s), ["station_key"], ["date_key"], ["maturity"]).groupBy("maturity").agg(F.count("*").alias("stations"))
+    seen = F.sum("observation_count").over(W.partitionBy("station_key").orderBy("date_key"))
+    staged = daily(s).withColumn("maturity", F.when(seen < 10, "cold").when(seen < 60, "warming").otherwise("ready"))
+    return relational.latest_values(staged, ["station_key"], ["date_key"], ["maturity"]).groupBy("maturity").agg(F.count("*").alias("stations"))
 
 
 _UTIL = f"count(DISTINCT f.station_key) AS active_stations, CAST(sum(f.observation_count) AS BIGINT) AS total_ticks, {percent_sql('f.busy_ratio')} AS utilization_pct, {percent_sql('f.availability_ratio')} AS uptime_pct"
@@ -137,7 +141,7 @@ def _(s: Star) -> DataFrame:
 
 
 def _with_dims(s: Star) -> DataFrame:
-    d = s.dim_station.join(F.broadcast(s.dim_operator), "operator_key").join(F.broadcast(s.dim_location), "location_key")
+    d = s.dim_station.join(s.dim_operator, "operator_key").join(s.dim_location, "location_key")
     return daily(s).join(d.select("station_key", "station_name", "operator_name", "city", "locality"), "station_key")
 
 
@@ -167,8 +171,6 @@ def _(s: Star) -> DataFrame:
 @query("olap_5_top3_by_operator", f"""SELECT * FROM (SELECT operator_name, station_name, utilization, dense_rank() OVER (PARTITION BY operator_name ORDER BY utilization DESC NULLS LAST) AS rank_in_network
 FROM (SELECT o.operator_name, s.station_name, {percent_sql('f.busy_ratio')} AS utilization {_DIMS} GROUP BY 1, 2)) WHERE rank_in_network <= 3""", **CTES)
 def _(s: Star) -> DataFrame:
-    from pyspark.sql import Window as W
-
     u = _with_dims(s).groupBy("operator_name", "station_name").agg(percent("busy_ratio").alias("utilization"))
     rank = F.dense_rank().over(W.partitionBy("operator_name").orderBy(F.desc_nulls_last("utilization")))
     return u.withColumn("rank_in_network", rank.cast("long")).where("rank_in_network <= 3")
@@ -187,7 +189,7 @@ def current_state(s: Star) -> DataFrame:
     obs = relational.latest_values(seen, ["station_key"], order, ["observation_id", "availability_status", "queue_level", "available_connectors", "total_connectors", "observed_at", "is_simulated"])
     obs = obs.withColumnRenamed("is_simulated", "observation_is_simulated").withColumnRenamed("operational_status", "x")
     minutes = F.round((F.unix_micros(F.lit(AS_OF).cast("timestamp")) - F.unix_micros(F.col("observed_at").cast("timestamp"))) / 60e6).cast("int")
-    j = s.dim_station.join(F.broadcast(s.dim_operator), "operator_key").join(F.broadcast(s.dim_location), "location_key").join(conn, "station_key", "left").join(rev, "station_key", "left").join(obs, "station_key", "left")
+    j = s.dim_station.join(s.dim_operator, "operator_key").join(s.dim_location, "location_key").join(conn, "station_key", "left").join(rev, "station_key", "left").join(obs, "station_key", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     return j.select(
         "station_id", "station_name", "operator_name", "city", "locality", "latitude", "longitude", "operational_status", zero("connector_rows").alias("total_connector_types"), zero("plugs").alias("total_plugs"),
@@ -215,7 +217,7 @@ def _(s: Star) -> DataFrame:
 FROM dim_connector c LEFT JOIN (SELECT DISTINCT ON (connector_key) * FROM fact_observation WHERE connector_key IS NOT NULL AND observed_at <= TIMESTAMP '{AS_OF}' ORDER BY connector_key, is_simulated ASC, observed_at DESC, received_at DESC, observation_id DESC) b USING (connector_key)""")
 def _(s: Star) -> DataFrame:
     seen = s.fact_observation.where(F.col("connector_key").isNotNull() & (F.col("observed_at") <= F.lit(AS_OF).cast("timestamp_ntz")))
-    top = relational.latest_by(seen, ["connector_key"], [F.col("is_simulated").asc(), F.col("observed_at").desc(), F.col("received_at").desc(), F.col("observation_id").desc()])
+    top = relational.latest_values(seen, ["connector_key"], [~F.col("is_simulated"), F.col("observed_at"), F.col("received_at"), F.col("observation_id")], ["availability_status", "available_connectors", "observed_at", "is_simulated"])
     top = top.select("connector_key", "availability_status", "available_connectors", F.unix_micros(F.col("observed_at").cast("timestamp")).alias("observed_us"), F.col("is_simulated").alias("observation_is_simulated"))
     return s.dim_connector.join(top, "connector_key", "left").select("connector_id", "station_key", "connector_type", "power_kw", "quantity", "price_per_kwh", "availability_status", "available_connectors", "observed_us", "observation_is_simulated")
 
@@ -230,7 +232,7 @@ def _(s: Star) -> DataFrame:
 round(f.availability_ratio, 6) AS availability_ratio, round(f.busy_ratio, 6) AS busy_ratio, round(f.broken_ratio, 6) AS broken_ratio, round(f.avg_queue_score, 6) AS avg_queue_score, f.peak_queue_score, f.report_count, f.review_count, round(f.avg_rating, 6) AS avg_rating, round(f.data_completeness_score, 6) AS data_completeness_score, f.source_count, f.maturity, f.has_evidence
 FROM fact_daily f JOIN dim_date d USING (date_key) JOIN dim_station s USING (station_key) JOIN dim_operator o USING (operator_key)""", **CTES)
 def _(s: Star) -> DataFrame:
-    names = s.dim_station.join(F.broadcast(s.dim_operator), "operator_key").select("station_key", "station_id", "operator_name")
+    names = s.dim_station.join(s.dim_operator, "operator_key").select("station_key", "station_id", "operator_name")
     x = daily(s).join(names, "station_key").join(dates(s), "date_key")
     rounded = [F.round(c, 6).alias(c) for c in ("availability_ratio", "busy_ratio", "broken_ratio", "avg_queue_score", "avg_rating", "data_completeness_score")]
     return x.select(F.date_format("full_date", "yyyy-MM-dd").alias("full_date"), "year", "month", "day_name", "is_weekend", "station_id", "operator_name", "observation_count", "available_count", "busy_count", "broken_count", "peak_queue_score", "report_count", "review_count", "source_count", "maturity", "has_evidence", *rounded)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voltmill.operators import quality, warehouse
+from voltmill.operators.graph import checkpointed
 from voltmill.sources.driver_tables import Star
 
 from .core import query
@@ -17,7 +18,7 @@ AS_OF = "2024-01-20 00:00:00"
 def checks(s: Star) -> DataFrame:
     tables = {
         "observation": s.fact_observation, "report": s.fact_report, "review": s.fact_review, "station": s.dim_station, "source": s.dim_source, "connector": s.dim_connector,
-        "date": warehouse.calendar(s.spark), "daily": warehouse.daily_evidence(s.fact_observation, s.fact_report, s.fact_review),
+        "date": warehouse.calendar(s.spark), "daily": checkpointed(warehouse.daily_evidence(s.fact_observation, s.fact_report, s.fact_review)),
         "oltp_observation": s.events, "oltp_report": s.user_report, "oltp_review": s.review, "oltp_station": s.supplier, "oltp_connector": s.part,
     }
     return quality.run_checks(s.spark, quality.warehouse_checks(tables, F.lit(AS_OF).cast("timestamp_ntz")))

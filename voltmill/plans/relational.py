@@ -59,17 +59,17 @@ def _(s: Star) -> DataFrame:
     return relational.latest_values(s.fact_observation, ["station_key"], [F.col("connector_key").isNull(), F.col("observed_at"), F.col("received_at"), F.col("observation_id")], ["observation_id", "availability_status"])
 
 
-@query("win_05_state_changes_after_stable_runs", """WITH x AS (SELECT station_key, observed_at, observation_id, availability_status AS st, lag(availability_status) OVER w AS p, row_number() OVER w AS n FROM fact_observation WINDOW w AS (PARTITION BY station_key ORDER BY observed_at, observation_id)),
+_FLAG = "CASE WHEN availability_status = 'broken' THEN 'out of order' ELSE 'in order' END"
+
+
+@query("win_05_state_changes_after_stable_runs", f"""WITH x AS (SELECT station_key, observed_at, observation_id, {_FLAG} AS st, lag({_FLAG}) OVER w AS p, row_number() OVER w AS n FROM fact_observation WINDOW w AS (PARTITION BY station_key ORDER BY observed_at, observation_id)),
 r AS (SELECT *, sum(CASE WHEN n > 1 AND st IS DISTINCT FROM p THEN 1 ELSE 0 END) OVER (PARTITION BY station_key ORDER BY observed_at, observation_id) AS run FROM x),
 l AS (SELECT station_key, run, count(*) AS len, any_value(st) AS st, min(n) AS first_n FROM r GROUP BY 1, 2)
-SELECT b.station_key, b.first_n - 1 AS idx, a.st AS from_state, b.st AS to_state, a.len AS stable_run FROM l a JOIN l b ON a.station_key = b.station_key AND b.run = a.run + 1 WHERE a.len >= 4""")
+SELECT b.station_key, b.first_n - 1 AS idx, a.st AS from_state, b.st AS to_state, a.len AS stable_run FROM l a JOIN l b ON a.station_key = b.station_key AND b.run = a.run + 1 WHERE a.len >= 10""")
 def _(s: Star) -> DataFrame:
-    order = [F.col("observed_at"), F.col("observation_id")]
-    runs = relational.islands(s.fact_observation, ["station_key"], order, "availability_status")
-    n = F.row_number().over(W.partitionBy("station_key").orderBy(*order)) - 1
-    per = runs.withColumn("i", n).groupBy("station_key", "run").agg(F.count("*").alias("len"), F.first("availability_status").alias("st"), F.min("i").alias("idx"))
-    w = W.partitionBy("station_key").orderBy("run")
-    return per.select("station_key", F.col("idx").cast("long").alias("idx"), F.lag("st").over(w).alias("from_state"), F.col("st").alias("to_state"), F.lag("len").over(w).alias("stable_run")).where("stable_run >= 4")
+    flag = F.when(F.col("availability_status") == "broken", "out of order").otherwise("in order")
+    x = s.fact_observation.select("station_key", "observed_at", "observation_id", flag.alias("st"))
+    return relational.state_changes(x, ["station_key"], [F.col("observed_at"), F.col("observation_id")], "st")
 
 
 @query("win_06_agg_18_gap_profile", """WITH d AS (SELECT DISTINCT station_key, CAST(observed_at AS DATE) AS day FROM fact_observation), g AS (SELECT station_key, day, day - lag(day) OVER (PARTITION BY station_key ORDER BY day) AS gap FROM d)
@@ -200,6 +200,19 @@ def _(s: Star) -> DataFrame:
     return metrics.per_label(s.fact_observation.select(F.col("availability_status").alias("y"), p.alias("p")), "y", "p")
 
 
+_XP = "(SELECT availability_status AS y, CASE queue_level WHEN 'none' THEN 'available' WHEN 'long' THEN 'busy' WHEN 'medium' THEN 'broken' ELSE 'unknown' END AS p FROM fact_observation)"
+
+
+@query("agg_24_accuracy_and_macro_f1", f"""WITH x AS {_XP}, l AS (SELECT y AS label FROM x UNION SELECT p FROM x),
+t AS (SELECT label, (SELECT count(*) FROM x WHERE y = label AND p = label) AS tp, (SELECT count(*) FROM x WHERE y = label) AS actual, (SELECT count(*) FROM x WHERE p = label) AS said FROM l)
+SELECT round((SELECT avg(CAST(y = p AS INT)) FROM x), 9) AS accuracy, round(avg(CASE WHEN actual + said > 0 THEN 2.0::DOUBLE * tp / (actual + said) ELSE 0 END), 6) AS macro_f1 FROM t""")
+def _(s: Star) -> DataFrame:
+    q = F.col("queue_level")
+    p = F.when(q == "none", "available").when(q == "long", "busy").when(q == "medium", "broken").otherwise("unknown")
+    m = metrics.classification(s.fact_observation.select(F.col("availability_status").alias("y"), p.alias("p")), "y", "p")
+    return m.select(F.round("accuracy", 9).alias("accuracy"), F.round("macro_f1", 6).alias("macro_f1"))
+
+
 @query("agg_24_regression_metrics", """SELECT round(avg(abs(y - p)), 6) AS mae, round(sqrt(avg((y - p) * (y - p))), 6) AS rmse, round(median(abs(y - p)), 6) AS median_ae, CASE WHEN bool_or(y = 0) THEN NULL ELSE round(avg(abs((y - p) / y)) * 100, 6) END AS mape FROM (SELECT value AS y, CAST(total_connectors * 10 AS DOUBLE) AS p FROM fact_observation)""")
 def _(s: Star) -> DataFrame:
     x = s.fact_observation.select(F.col("value").alias("y"), (F.col("total_connectors") * 10.0).alias("p"))
@@ -286,8 +299,7 @@ _LOAD = f"FROM (SELECT e.*, row_number() OVER () AS rid FROM ({_SHIP}) e) e LEFT
 @query("scd_03_fact_load_and_rejects", f"SELECT CASE WHEN v.version_key IS NULL THEN 'no version at event time' ELSE 'loaded' END AS outcome, count(*) AS n {_LOAD} GROUP BY 1")
 def _(s: Star) -> DataFrame:
     dates = warehouse.calendar(s.spark, "1990-01-01", "2010-12-31")
-    events = shipments(s).withColumn("event_id", F.monotonically_increasing_id())
-    loaded, rejected = warehouse.load_facts(events, s.station_version, dates, "station_id", "at")
+    loaded, rejected = warehouse.load_facts(shipments(s), s.station_version, dates, "station_id", "at")
     return loaded.select(F.lit("loaded").alias("outcome")).unionByName(rejected.select(F.col("reason").alias("outcome"))).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
@@ -296,7 +308,7 @@ def _(s: Star) -> DataFrame:
     current = s.dim_station.where("is_current").select("station_key")
     once = relational.latest_by(s.fact_observation, ["station_key", "observed_at", "source_payload_hash"], [F.col("observation_id").asc()])
     available = F.least(F.greatest(F.col("available_connectors") * 2, F.lit(0)), F.col("total_connectors"))
-    return once.join(F.broadcast(current), "station_key", "left_semi").select("observation_id", "station_key", available.alias("available_connectors"), F.unix_micros(F.greatest("observed_at", "received_at").cast("timestamp")).alias("received_us"))
+    return once.join(current, "station_key", "left_semi").select("observation_id", "station_key", available.alias("available_connectors"), F.unix_micros(F.greatest("observed_at", "received_at").cast("timestamp")).alias("received_us"))
 
 
 @query("scd_06_first_seen_keys", "SELECT o_orderpriority AS value, row_number() OVER (ORDER BY min(o_orderkey)) AS key FROM orders GROUP BY 1")

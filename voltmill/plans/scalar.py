@@ -258,7 +258,7 @@ def _(s: Star) -> DataFrame:
 
 @query("fn_25_address_and_area", """SELECT station_id, concat_ws(', ', station_name, locality, city, state, country) AS address, coalesce(locality, city) AS area FROM dim_station JOIN dim_location USING (location_key)""")
 def _(s: Star) -> DataFrame:
-    j = s.dim_station.join(F.broadcast(s.dim_location), "location_key")
+    j = s.dim_station.join(s.dim_location, "location_key")
     return j.select("station_id", station.address(F.col("station_name"), F.col("locality"), F.col("city"), F.upper("city"), F.col("state"), F.lit(" "), F.col("country")).alias("address"), station.area(F.col("locality"), F.col("city"), F.col("state")).alias("area"))
 
 

@@ -133,4 +133,7 @@ def with_star(body: str, **more: str) -> str:
     ctes = ",\n".join(f"{n} AS ({bare(known[n])})" for n in needed)
     if not needed:
         return body
-    return f"WITH {ctes},\n{body[5:]}" if body.startswith("WITH ") else f"WITH {ctes}\n{body}"
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if body.startswith(head):
+            return f"{head}{ctes},\n{body[len(head):]}"
+    return f"WITH {ctes}\n{body}"

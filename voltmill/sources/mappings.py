@@ -241,31 +241,15 @@ def missing_operators(stations: DataFrame, operators: DataFrame) -> DataFrame:
 def greedy_capped(scored: DataFrame, per_state: int, per_city: int, total: int) -> DataFrame:
     """Accept rows by score while the caps of their state, city and the whole hold.
 
-    The caps are coupled and depend on the order, so the scan itself is sequential; first every row beyond its
-    city's or state's own cap in the order is dropped in parallel, which leaves at most the caps' sum.
+    A row beyond its city's cap in the order is never accepted: either those before it fill the city, or one of
+    them was refused because the state or the whole is full, and it is full for this row too.  The same holds for
+    the state among the rows that are left, and then for the whole, so three top-k steps equal the scan.
     """
     by = [F.col("score").desc(), F.col("id")]
-    w = lambda *k: F.row_number().over(W.partitionBy(*k).orderBy(*by))
-    near = scored.withColumn("__c", w("state", "city")).where(F.col("__c") <= per_city).drop("__c")
-
-    def scan(rows):
-        import pandas as pd
-
-        states: dict = {}
-        cities: dict = {}
-        kept = 0
-        for batch in rows:
-            keep = []
-            for st, ct in zip(batch["state"], batch["city"], strict=True):
-                ok = kept < total and states.get(st, 0) < per_state and cities.get((st, ct), 0) < per_city
-                if ok:
-                    kept += 1
-                    states[st] = states.get(st, 0) + 1
-                    cities[(st, ct)] = cities.get((st, ct), 0) + 1
-                keep.append(ok)
-            yield batch[pd.Series(keep, index=batch.index, dtype=bool)]
-
-    return near.coalesce(1).sortWithinPartitions(*by).mapInPandas(scan, near.schema)
+    out = scored
+    for keys, most in ((("state", "city"), per_city), (("state",), per_state)):
+        out = out.withColumn("__k", F.row_number().over(W.partitionBy(*keys).orderBy(*by))).where(F.col("__k") <= most).drop("__k")
+    return out.orderBy(*by).limit(total)
 
 
 def snapshot_status(status_id: Column, title: Column, is_operational: Column) -> Column:

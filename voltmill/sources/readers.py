@@ -2,15 +2,8 @@
 
 from __future__ import annotations
 
-import sys
-
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-
-# Data source classes travel by value, so executors need no installed copy of this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 STATION_SCHEMA = (
     "id string, name string, operator string, address_line string, locality string, city string, state string, postal_code string, country string, "
@@ -50,50 +43,19 @@ def write_json_report(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
-class _Page(InputPartition):
-    def __init__(self, offset: int, limit: int):
-        self.offset, self.limit = offset, limit
-
+def read_landed_pages(spark: SparkSession, path: str, date_from: str | None = None) -> DataFrame:
+    """Rows (offset, payload) of a partner feed's landed pages: files page_<offset>.json that hold one JSON array each.
 
-class PagedLocations(DataSource):
-    """Paged landing files of a partner feed: options path (a folder of page_<offset>.json), limit, pages, date_from.
-
-    Each page is one partition.  A page that repeats one already named or lies beyond 1000 pages is an error,
-    as a feed that never ends would be.
+    Spark's own readers read them, so any file system will do.  Records last updated before date_from are left out;
+    those without a time stay.  A folder without pages is an error, as a feed that landed nothing isn't an empty one.
     """
-
-    @classmethod
-    def name(cls) -> str:
-        return "paged_locations"
-
-    def schema(self) -> str:
-        return "offset int, payload string"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _PageReader(self.options)
-
-
-class _PageReader(DataSourceReader):
-    def __init__(self, options):
-        self.path, self.limit, self.pages = options["path"], int(options.get("limit", 100)), int(options.get("pages", 1))
-        self.date_from = options.get("date_from")
-
-    def partitions(self):
-        if self.pages > 1000:
-            raise ValueError("more than 1000 pages")
-        return [_Page(i * self.limit, self.limit) for i in range(self.pages)]
-
-    def read(self, partition):
-        import json
-        import os
-
-        file = os.path.join(self.path, f"page_{partition.offset}.json")
-        if not os.path.exists(file):
-            return
-        with open(file, encoding="utf-8") as f:
-            for location in json.load(f)[: partition.limit]:
-                if not self.date_from or str(location.get("last_updated") or "9") >= self.date_from:
-                    yield partition.offset, json.dumps(location)
+    pages = spark.read.option("wholetext", True).text(f"{path.rstrip('/')}/page_*.json")
+    offset = F.regexp_extract(F.col("_metadata.file_name"), r"page_([0-9]+)\.json$", 1).cast("int")
+    records = pages.select(offset.alias("offset"), F.explode(F.from_json("value", "array<string>", {"mode": "FAILFAST"})).alias("payload"))
+    if date_from is None:
+        return records
+    updated = F.get_json_object("payload", "$.last_updated")
+    return records.where(updated.isNull() | (updated >= date_from))
 
 
 def run_record(spark: SparkSession, source: str, state: str, counters: dict[str, int], error: str | None = None) -> DataFrame:
