@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 
 from voltmill.llm import exact_dedup, line_dedup, mixing, ngram_join, sharding
 from voltmill.llm.shared import dense_index
@@ -194,36 +195,58 @@ def edits(a, b):
     return 1 if a[i:] == b[i + 1 :] else 2
 
 
+def text_mark(text):
+    """Spark's xxhash64 of a text."""
+    h = xxhash.xxh64(text.encode(), seed=42).intdigest()
+    return h - (1 << 64) if h >> 63 else h
+
+
 def brute_lines(rows):
-    lines = [(d, i, x) for d, t in sorted(rows, key=lambda r: r[0]) if t is not None for i, x in enumerate(t.split("\n")) if x.strip(" ")]
+    """Dropped line numbers by id and text; rows of equal id and text count once."""
+    order = sorted({(-1 if d is None else d, text_mark(t), t) for d, t in rows if t is not None})
+    lines = [(d, t, i, x) for d, _, t in order for i, x in enumerate(t.split("\n")) if x.strip(" ")]
     want = defaultdict(list)
-    for k, (d, i, x) in enumerate(lines):
-        if any(y == x or min(len(x), len(y)) >= line_dedup.MIN_CHARS and edits(x, y) <= 1 for _, _, y in lines[:k]):
-            want[d].append(i)
+    for k, (d, t, i, x) in enumerate(lines):
+        if any(edits(x, y) <= 1 for _, _, _, y in lines[:k]):
+            want[(None if d < 0 else d, t)].append(i)
     return dict(want)
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_lines_equal_brute_force(spark, seed):
+def check_lines(spark, rows):
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = brute_lines(rows)
+    got = Counter((r.doc_id, r.n_lines, tuple(r.dropped)) for r in line_dedup.report(df).collect())
+    assert got == Counter((d, sum(bool(x.strip(" ")) for x in (t or "").split("\n")), tuple(want.get((d, t), ()))) for d, t in rows)
+    stripped = Counter(tuple(r) for r in line_dedup.strip_lines(df, line_dedup.dropped_lines(df)).collect())
+    assert stripped == Counter((d, t if (d, t) not in want else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in want[(d, t)])) for d, t in rows)
+
+
+@pytest.mark.parametrize("seed,shortest,longest", [(0, 1, 6), (1, 12, 20), (2, 14, 40)])
+def test_lines_equal_brute_force(spark, seed, shortest, longest):
+    """Lines of any length: one code point, around the number of blocks, and above it."""
     rng = random.Random(seed)
-    base = ["".join(rng.choice("abé ") for _ in range(rng.randint(14, 40))) for _ in range(12)]
+    base = ["".join(rng.choice("abé ") for _ in range(rng.randint(shortest, longest))) for _ in range(12)]
     rows = []
     for d in range(50):
         lines = []
         for _ in range(rng.randint(0, 6)):
             s = rng.choice(base)
             for _ in range(rng.choice([0, 0, 1, 1, 2])):
-                p, r = rng.randrange(len(s)), rng.random()
+                p, r = rng.randrange(len(s) + 1), rng.random()
                 s = s[:p] + s[p + 1 :] if r < 0.3 else s[:p] + rng.choice("abxé") + (s[p:] if r < 0.6 else s[p + 1 :])
             lines.append(s)
         rows.append((d, "\n".join(lines) if lines else None))
-    df = spark.createDataFrame(rows, SCHEMA)
-    got = {r.doc_id: list(r.dropped) for r in line_dedup.report(df).collect() if r.n_dropped}
-    assert got == brute_lines(rows)
-    drops = line_dedup.dropped_lines(df)
-    stripped = {r.doc_id: r.text for r in line_dedup.strip_lines(df, drops).collect()}
-    for d, t in rows:
-        assert stripped[d] == (t if d not in got else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in got[d]))
+    check_lines(spark, rows)
+
+
+def test_lines_around_the_number_of_blocks(spark):
+    """Fifteen and sixteen code points go the same way."""
+    check_lines(spark, [(0, "hello brave one\nhello brave onf"), (1, "Hello brave ones\nHello brave onez"), (2, "a\nbc\nbcd\n\n   \nzz")])
+
+
+def test_lines_of_equal_ids(spark):
+    """No line goes that nothing equals; repeated rows are one document; null ids come first."""
+    check_lines(spark, [(0, "line of B"), (1, "another, A"), (1, "line of B"), (1, "line of B"), (None, "first of all"), (None, "something else"), (2, "first of all!\nown"), (None, None)])
 
 
 def test_lines_on_edge_rows(docs, empty):

@@ -1,18 +1,20 @@
 """Line dedup (3): deletion-neighbourhood join within one edit, in DataFrame operations only.
 
 Lines are parts of texts between line feeds that have a character other than a space.  A line is dropped
-where an earlier line, by document id and line number, is equal or, for lines of MIN_CHARS code points or
-more, at most one edit (insertion, deletion, replacement of a code point) away.
+where an earlier line, by document id, text hash and line number, is equal or at most one edit (insertion,
+deletion, replacement of a code point) away.
 
 Two lines one edit apart agree outside any stretch that holds the edit.  So neighbourhoods are emitted from
 coarse to fine, and only what shares a hashed key goes on: each line without one of its two halves, then
-without one of BLOCKS blocks, then without one code point inside such a block.  Of the last keys, lines of
+without one of BLOCKS blocks, then without one code point inside such a block.  Blocks of a line of fewer code
+points are empty or one code point wide, so lines of any length go the same way.  Of the last keys, lines of
 equal length that lack the same place are one replacement apart, and a line that equals a longer one without
 a code point is one insertion apart, so each group needs its earliest lines only and no pairs.  The edit
 distance of a line to the earliest line found is verified.
 
-Defined results: null and empty texts have no lines; rows of equal id and text are one document; a null id
-comes before all others; texts are read whole; an empty table gives no rows.
+Defined results: null and empty texts have no lines; rows of equal id and text are one document; rows of equal
+id and other texts are documents of their own, in order of a hash of their text; a null id comes before all
+others; texts are read whole; an empty table gives no rows; extra columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,14 +22,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, files_for
+from .shared import cut, files_for, fresh, named
 
-MIN_CHARS, BLOCKS = 16, 16
+BLOCKS = 16
+
+
+def _mark(text: Column) -> Column:
+    """Tells rows of equal id and different text apart."""
+    return F.xxhash64(text.cast("string"))
 
 
 def split_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, line_no (from 0, all parts counted) and line."""
-    parts = docs.select("doc_id", F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("line_no", "line"))
+    """doc_id, mark (hash of the text), line_no (from 0, all parts counted) and line."""
+    parts = docs.select("doc_id", _mark(F.col("text")).alias("mark"), F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("line_no", "line"))
     return parts.where(F.length(F.trim("line")) > 0)
 
 
@@ -85,7 +92,7 @@ def _variants() -> Column:
 
 def near_lines(docs: DataFrame, first: DataFrame, files: int) -> DataFrame:
     """(id, keep): lines with an earlier one an edit away, and the earliest such place.  first has id and place."""
-    lines = split_lines(docs).where(F.length("line") >= MIN_CHARS)
+    lines = split_lines(docs)
     keys = lines.select(F.xxhash64("line").alias("h"), F.explode(_half_keys()).alias("k"))
     live = cut(keys.join(_shared(keys, "k", "h", files), "k", "left_semi").select("h").distinct(), files)
     texts = lines.select("line", F.xxhash64("line").alias("h")).join(live.hint("shuffle_hash"), "h", "left_semi").select("line").distinct()
@@ -93,7 +100,7 @@ def near_lines(docs: DataFrame, first: DataFrame, files: int) -> DataFrame:
     blocks = cut(texts.select("id", F.inline(_block_keys())))
     some = blocks.join(_shared(blocks, "key", "id", files), "key", "left_semi")
     emitted = some.join(texts, "id").select("id", "place", F.inline(_variants()))
-    emitted = cut(emitted.distinct(), files)
+    emitted = cut(emitted.distinct(), 8 * files)  # several keys a line
     me = F.struct("place", "id")
     least = cut(emitted.groupBy("v").agg(
         F.min(F.when(F.col("kind") == "same", me)).alias("same"),
@@ -110,9 +117,9 @@ def near_lines(docs: DataFrame, first: DataFrame, files: int) -> DataFrame:
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
-    """A row for each dropped line: doc_id, line_no, keep_doc_id, keep_line_no, distance (0 or 1)."""
+    """A row for each dropped line: doc_id, mark, line_no, keep_doc_id, keep_mark, keep_line_no, distance (0 or 1)."""
     docs = docs.select("doc_id", "text")
-    place = F.struct("doc_id", "line_no").alias("place")
+    place = F.struct("doc_id", "mark", "line_no").alias("place")
     every = cut(split_lines(docs).select(place, _id(F.col("line")).alias("id")))
     files = files_for(every.count())
     first = cut(every.groupBy("id").agg(F.min("place").alias("place"), F.count("*").alias("n")), files)
@@ -121,16 +128,15 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     hit = every.join(marks, "id").where(F.col("keep").isNotNull() | (F.col("place") > F.col("own")))
     keep = F.when(F.col("place") > F.col("own"), F.struct(F.col("own").alias("p"), F.lit(0).alias("d"))).otherwise(F.struct(F.col("keep").alias("p"), F.lit(1).alias("d")))
     out = hit.select("place.*", keep.alias("k")).distinct()
-    return out.select("doc_id", "line_no", F.col("k.p.doc_id").alias("keep_doc_id"), F.col("k.p.line_no").alias("keep_line_no"), F.col("k.d").alias("distance"))
+    return out.select("doc_id", "mark", "line_no", F.col("k.p.doc_id").alias("keep_doc_id"), F.col("k.p.mark").alias("keep_mark"), F.col("k.p.line_no").alias("keep_line_no"), F.col("k.d").alias("distance"))
 
 
 def report(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_lines, n_dropped, dropped (line numbers, ascending)."""
-    drops = dropped_lines(docs).groupBy("doc_id").agg(F.array_sort(F.collect_list("line_no")).alias("dropped"))
-    drops = drops.select(F.col("doc_id").alias("__id"), "dropped")
+    drops = dropped_lines(docs).groupBy(F.col("doc_id").alias("id"), F.col("mark").alias("of")).agg(F.array_sort(F.collect_list("line_no")).alias("dropped"))
     lines = F.coalesce(F.size(F.filter(F.split(F.col("text").cast("string"), "\n"), lambda x: F.length(F.trim(x)) > 0)), F.lit(0))
-    counted = docs.select("doc_id", F.when(F.col("text").isNull(), 0).otherwise(lines).cast("long").alias("n_lines"))
-    out = counted.join(drops, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    counted = docs.select("doc_id", _mark(F.col("text")).alias("mark"), F.when(F.col("text").isNull(), 0).otherwise(lines).cast("long").alias("n_lines"))
+    out = counted.join(drops, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("of")), "left")
     empty = F.array().cast("array<int>")
     dropped = F.coalesce("dropped", empty)
     return out.select("doc_id", "n_lines", F.size(dropped).cast("long").alias("n_dropped"), dropped.alias("dropped"))
@@ -138,8 +144,9 @@ def report(docs: DataFrame) -> DataFrame:
 
 def strip_lines(docs: DataFrame, drops: DataFrame) -> DataFrame:
     """The documents without the dropped lines, with all columns."""
-    d = drops.groupBy("doc_id").agg(F.collect_set("line_no").alias("__gone")).select(F.col("doc_id").alias("__id"), "__gone")
-    keep = F.filter(F.split(F.col("text").cast("string"), "\n"), lambda x, i: ~F.array_contains(F.coalesce("__gone", F.array().cast("array<int>")), i))
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(keep, "\n"))
-    joined = docs.join(d, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    return joined.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    own, id_, of, gone = fresh(docs, "own_mark", "drop_id", "drop_mark", "gone")
+    d = drops.groupBy(F.col("doc_id").alias(id_), F.col("mark").alias(of)).agg(F.collect_set("line_no").alias(gone))
+    keep = F.filter(F.split(F.col("text").cast("string"), "\n"), lambda x, i: ~F.array_contains(gone, i))
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(keep, "\n"))
+    joined = docs.withColumn(own, _mark(F.col("text"))).join(d, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(of)), "left")
+    return joined.select(*[text.alias(c) if c == "text" else named(c) for c in docs.columns])

@@ -174,7 +174,7 @@ _LINES_SQL = """
 WITH RECURSIVE d AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL),
 l AS (SELECT doc_id, k - 1 AS line_no, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM d) WHERE length(trim(line, ' ')) > 0),
 u AS (SELECT line, min((doc_id, line_no)) AS first, length(line) AS n FROM l GROUP BY line),
-k AS (SELECT line, first, n, unnest([concat('p', left(line, n // 2)), concat('p', left(line, (n - 1) // 2)), concat('s', right(line, n - n // 2)), concat('s', right(line, (n - 1) - (n - 1) // 2))]) AS half FROM u WHERE n >= 16),
+k AS (SELECT line, first, n, unnest([concat('p', left(line, n // 2)), concat('p', left(line, (n - 1) // 2)), concat('s', right(line, n - n // 2)), concat('s', right(line, (n - 1) - (n - 1) // 2))]) AS half FROM u),
 c AS (SELECT DISTINCT a.line AS x, b.line AS y FROM k a JOIN k b ON a.half = b.half AND b.first < a.first AND abs(a.n - b.n) <= 1),
 -- Length of the common beginning, then the rests must be equal after one code point of the longer or of both.
 e AS (SELECT x, y, least(length(x), length(y)) AS m, 0 AS lo, least(length(x), length(y)) AS hi FROM c

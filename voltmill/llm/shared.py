@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import StructType
+
+from voltmill.session import shared_folder
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -24,13 +25,31 @@ def cut(df: DataFrame, files: int | None = None) -> DataFrame:
     """Write df to the cluster's shared checkpoint folder, in at most so many files, and go on from there."""
     if files is not None:
         df = df.coalesce(files)
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="voltmill-checkpoint-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of df has, whatever its case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
+def named(column: str) -> Column:
+    """A column by its whole name, dots and backquotes included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def fields(schema: StructType) -> str:
+    """The fields of a schema as DDL text with quoted names."""
+    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema.fields)
+
+
 def parts(df: DataFrame) -> int:
     """The session's number of shuffle partitions."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
