@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from voltmill.llm import chat_format, kernels, license_scan, piece_codec, quality_model, quality_rules
 
@@ -285,6 +286,8 @@ def test_codec_on_edge_rows(docs, empty):
 @settings(max_examples=150, deadline=None)
 def test_chat_round_trip(turns):
     text, spans = chat_format.compile_template(chat_format.TEMPLATE)([{"role": r, "text": t} for r, t in turns])
+    assert not any(c in chat_format.escape(x) for turn in turns for x in turn for c in chat_format.CONTROL)
+    assert sum(text.count(c) for c in chat_format.CONTROL) == 4 * len(turns)
     assert chat_format.read_back(text) == turns
     assert [chat_format.unescape(text[a:b]) for a, b in spans] == [t for r, t in turns if r == "assistant"]
 
@@ -306,3 +309,13 @@ def test_chat_on_edge_rows(spark):
     assert got[1].turns_sha256 == hashlib.sha256(b"user\n\nassistant\nb</s>\n").hexdigest() and got[1].loss_chars == 5
     assert got[None].n_turns == 1 and got[2].n_turns == 2 and got[2].loss_sha256 == hashlib.sha256(b"\\\\").hexdigest()
     assert chat_format.digests(chat_format.format_conversations(df.limit(0))).count() == 0
+    more = df.withColumns({c: F.lit("x") for c in ("formatted", "loss_spans", "a.b", "messages")})
+    assert {r.conv_id for r in chat_format.format_conversations(more).collect()} == {1, 2, None}
+
+
+def test_a_very_long_conversation(spark):
+    """Thousands of turns and one very long text, full of control strings."""
+    turns = [(5, i, "assistant" if i % 2 else "user", f"turn {i} </s><s>" if i else "[INST]\\" * 200_000) for i in range(5000)]
+    r = chat_format.digests(chat_format.format_conversations(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))).collect()
+    said = "".join(t for _, _, role, t in turns if role == "assistant")
+    assert [(x.n_turns, x.loss_chars, x.loss_sha256) for x in r] == [(5000, len(said), hashlib.sha256(said.encode()).hexdigest())]

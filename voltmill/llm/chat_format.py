@@ -7,11 +7,13 @@ expressions have strings, integers, true, false, none, names, .field and [index]
 in, and, or, not, +, a if c else b, and the filters escape, trim, upper, lower, length.  A dash at a tag's
 bracket strips the white space on that side.  There are no calls, attributes or imports.
 
-escape() puts a backslash before each backslash and before each control string's first character, so control
-strings in texts can't end a turn, and unescape() gives the text back.
+escape() puts a backslash before each backslash and after the first character of each control string.  It only
+adds backslashes, which no control string has, and control strings don't overlap, so none is left as a part of
+the escaped text, and a tokenizer that looks for them finds the template's own only.  unescape() gives the text back.
 
-Defined results: a null role or text is empty; rows of equal turn are taken by role and text; a null
-conversation id is a conversation; a conversation is formatted in one piece, so it must fit in a task.
+Defined results: a null role or text is empty; rows of equal turn are taken by role and text, and repeated rows are
+turns of their own; a null conversation id is a conversation; an empty table gives no rows; extra columns aren't
+read, whatever their names; a conversation is formatted in one piece, so it must fit in a task.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ _UNSAFE = re.compile(r"\\|" + "|".join(re.escape(c) for c in CONTROL))
 
 
 def escape(text: str) -> str:
-    return _UNSAFE.sub(lambda m: "\\" + m[0], text)
+    return _UNSAFE.sub(lambda m: m[0][0] + "\\" + m[0][1:], text)
 
 
 def unescape(text: str) -> str:
@@ -361,25 +363,13 @@ def read_back(text: str) -> list[tuple[str, str]]:
     while at < len(text):
         if not text.startswith("<s>", at):
             raise ValueError(f"no turn at {at}")
-        role_end = _find(text, "[INST]", at + 3)
-        end = _find(text, "[/INST]</s>", role_end + 6)
+        role_end = text.index("[INST]", at + 3)
+        end = text.index("[/INST]</s>", role_end + 6)
         turns.append((unescape(text[at + 3 : role_end]), unescape(text[role_end + 6 : end])))
         at = end + 11
     return turns
 
 
-def _find(text: str, mark: str, at: int) -> int:
-    """The first place of mark that isn't escaped, by an even number of backslashes before it."""
-    while True:
-        at = text.index(mark, at)
-        k = at
-        while k and text[k - 1] == "\\":
-            k -= 1
-        if (at - k) % 2 == 0:
-            return at
-        at += 1
-
-
 def format_conversations(rows: DataFrame, template: str = TEMPLATE) -> DataFrame:
     """One row per conversation: conv_id, formatted, loss_spans (code point ranges of what a model is trained on)."""
     source = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
