@@ -170,6 +170,63 @@ def test_classifier_edges(spark, docs, empty):
     assert quality_model.score(empty, fm).count() == 0
 
 
+def plain_features(text, stated):
+    """The dense statistics of a text by plain means, and its word buckets."""
+    b = text.encode()
+    size, words, lines = max(1, len(b)), SPACED.findall(text), text.split("\n")
+    kinds = [sum(chr(c) in cs for c in b if c < 128) / size for cs in quality_model._CLASSES]
+    length = [len(w.encode()) for w in words]
+    mean = sum(length) / max(1, len(words))
+    grams = list(zip(words, words[1:], words[2:], strict=False))
+    full = [x for x in lines if x]
+    later = lambda xs: len(xs) - len(set(xs))
+    dense = [
+        *kinds, np.log1p(len(words)), np.log1p(len(lines)), mean, np.sqrt(max(0, sum(x * x for x in length) / max(1, len(words)) - mean**2)), len(words) / len(lines),
+        later(full) / len(lines), later(grams) / max(1, len(words)), np.log1p(stated), not words, sum(x > 20 for x in length) / max(1, len(words)),
+    ]
+    bag = Counter()
+    for w in words:
+        x = np.frombuffer("".join(c.lower() if "A" <= c <= "Z" else c for c in w).encode(), np.uint8)
+        bag[int(kernels.hash_spans(x, np.array([0]), np.array([len(x)]))[0]) % quality_model.BUCKETS] += 1
+    v = np.zeros(quality_model.BUCKETS)
+    for k, n in bag.items():
+        v[k] = np.sqrt(n)
+    return v / max(1e-6, np.sqrt((v**2).sum())), np.array(dense, float)
+
+
+@given(st.lists(st.text(alphabet="abAB .,!#|()-'@9é\n", max_size=60), min_size=1, max_size=6))
+@settings(max_examples=60, deadline=None)
+def test_features_equal_plain_ones(texts):
+    stated = np.arange(len(texts)) * 7
+    rows = np.concatenate([x for _, x in quality_model.features(pa.array(texts, pa.string()), stated)])
+    for i, t in enumerate(texts):
+        words, dense = plain_features(t, stated[i])
+        assert np.allclose(rows[i, : quality_model.BUCKETS], words, atol=1e-6)
+        assert np.allclose(rows[i, quality_model.BUCKETS :], dense, atol=1e-5), (t, rows[i, quality_model.BUCKETS :] - dense)
+
+
+def test_the_sample_is_one_row_an_id(spark, monkeypatch):
+    """Repeated ids, contradicting labels and one kind of label only; the bound holds for rows that reach the driver."""
+    seen = []
+    monkeypatch.setattr(quality_model, "Machine", lambda x, y: seen.append((len(x), sorted(y.tolist()))))
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 3 != 1]
+    docs = spark.createDataFrame([(i, f"text {i} {k}") for i in ids for k in range(50)], "doc_id long, text string")
+    labels = lambda rows: spark.createDataFrame(rows, "doc_id long, quality int")
+    quality_model.train(docs, labels([(i, i % 2) for i in ids] * 3), rows=5)
+    quality_model.train(docs, labels([(ids[0], 0), (ids[0], 1), (ids[1], 1), (ids[1], 1), (None, 0), (ids[2], None)]))
+    assert seen[0][0] == 5 and seen[1] == (1, [1.0])
+    monkeypatch.undo()
+    one_kind = quality_model.train(docs, labels([(i, 1) for i in ids]))
+    assert {r.score for r in quality_model.score(docs.limit(9), one_kind).collect()} == {1.0}
+
+
+def test_scores_of_very_long_texts(spark, sf):
+    model = quality_model.train(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    rows = quality_model.score(spark.createDataFrame([(1, "word " * 600_000), (2, "x" * 3_000_000), (3, None), (4, "")], "doc_id long, text string"), model).collect()
+    got = {r.doc_id: r.score for r in rows}
+    assert all(0 <= x <= 1 for x in got.values()) and got[3] == got[4]
+
+
 # 6: piece codec
 
 

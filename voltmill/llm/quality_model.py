@@ -1,13 +1,14 @@
 """Quality classifier (4): a factorisation machine over hashed words, structure statistics and metadata.
 
 The score of x is sigmoid(w0 + <w, x> + 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2)): all pairwise
-interactions, in time linear in x.  It learns from at most TRAIN_ROWS labelled rows, those with the
-smallest keyed hash of their id among the rows that are not held out; everything else reads all rows.  The
-only metadata read is n_chars where that column exists; labels, lang, source and doc_id are never inputs.
+interactions, in time linear in x.  It learns from at most TRAIN_ROWS labelled ids, those with the
+smallest keyed hash among the ids that are not held out, one document an id; everything else reads all rows.
+The only metadata read is n_chars where that column exists; labels, lang, source and doc_id are never inputs.
 
 Defined results: null and empty texts get the score of an empty text; without labels of both kinds every
-score is the share of label 1, or 0.5 without any label; repeated rows are scored one by one; a null id is
-not held out and has no label.
+score is the share of label 1, or 0.5 without any label; an id with both labels has none; of several documents
+of an id the one with the least text hash is learned from; repeated rows are scored one by one; a null id is not
+held out and has no label; an empty table gives no rows; other columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
@@ -125,9 +126,10 @@ def _stated(batch: pa.RecordBatch, at: int) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rows: int = TRAIN_ROWS) -> Machine:
-    """Fit on the sample; only its feature rows come to the driver."""
-    usable = labels.select("doc_id", F.col(label_col).cast("int").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)").where(~held_out(F.col("doc_id")))
-    ids = usable.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id", "y").limit(rows)
+    """Fit on the sample; only its feature rows come to the driver, one an id."""
+    usable = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id IS NOT NULL AND y IN (0, 1)").where(~held_out(F.col("doc_id")))
+    one = usable.groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("other")).where("y = other").drop("other")
+    ids = one.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,7 +137,10 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", rows:
             flat = [r.astype(np.float16).tobytes() for m in x for r in m]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(flat, pa.binary())], ["doc_id", "y", "x"])
 
-    sample = _source(docs).join(F.broadcast(ids), "doc_id").mapInArrow(run, "doc_id long, y int, x binary").toArrow()
+    found = _source(docs).join(F.broadcast(ids), "doc_id")  # at most `rows` ids are broadcast
+    place = F.struct(F.xxhash64("text"), F.col("n_chars"))
+    first = found.groupBy("doc_id").agg(F.min_by(F.struct("text", "n_chars", "y"), place).alias("d")).select("doc_id", "d.*")
+    sample = first.mapInArrow(run, "doc_id long, y int, x binary").toArrow()
     order = np.lexsort((sample["y"].to_numpy(), sample["doc_id"].to_numpy()))
     x = np.zeros((len(order), BUCKETS + DENSE), np.float32)
     column = sample["x"]
