@@ -8,9 +8,10 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from voltmill.llm import exact_dedup, line_dedup, mixing, ngram_join, sharding
-from voltmill.llm.shared import dense_index
+from voltmill.llm.shared import dense_index, join_groups, running_sums
 
 SCHEMA = "doc_id long, text string"
 
@@ -75,7 +76,36 @@ def test_components_on_edge_rows(docs, empty):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == want
     assert ngram_join.jaccard_components(empty).count() == 0
     kept = ngram_join.keep_rows(docs)
-    assert kept.columns == docs.columns
+    assert kept.columns == docs.columns and {r["a.b"] for r in kept.collect()} == {"own"}
+    assert ngram_join.keep_rows(empty).count() == 0
+
+
+def test_sets_that_share_a_class(spark, monkeypatch):
+    """With a first name of three bits nearly all sets share theirs; links and kept rows stay the same."""
+    names = ngram_join.set_names
+    monkeypatch.setattr(ngram_join, "set_names", lambda s: (names(s)[0] & 7, names(s)[1]))
+    rows = near_copies(11, groups=8, size=5)
+    df = spark.createDataFrame(rows, SCHEMA)
+    want = brute_components(rows)
+    got = ngram_join.jaccard_components(df).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == want
+    assert {r.doc_id for r in ngram_join.keep_rows(df).collect()} == {c for _, _, c in want}
+
+
+def test_hot_groups_are_joined_apart(spark):
+    """Keys with many rows, with few, without a group, and without a key."""
+    rows = [(i, 1) for i in range(9000)] + [(i, i) for i in range(20_000, 20_040)] + [(5, 77), (6, None), (7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, root long")
+    groups = df.where("root <> 77").groupBy("root").agg(F.min("doc_id").alias("least"), F.count("*").alias("m"))
+    got = Counter((r.doc_id, r.root, r.least) for r in join_groups(df, groups, "root", "m", ["least"], F.col("doc_id"), len(rows)).collect())
+    assert got == Counter((d, r, {1: 0, 77: None, None: None}.get(r, r)) for d, r in rows)
+
+
+def test_running_sums(spark):
+    df = spark.range(500).withColumn("v", F.col("id") % 7)
+    got = running_sums(df.repartition(9), [F.col("id").desc()], {"before": "v"}, place="i").collect()
+    assert len(got) == 500 and all(r.i == 499 - r.id and r.before == sum(k % 7 for k in range(r.id + 1, 500)) for r in got)
+    assert running_sums(df.limit(0), [F.col("id")], {"before": "v"}).count() == 0
 
 
 def test_memberships_of_frequent_shingles_go_to_many_parts():
@@ -165,6 +195,7 @@ def test_dedup_equals_brute_force(spark, docs, empty):
     assert exact_dedup.decide(empty).count() == 0
     kept = exact_dedup.keep_rows(docs)
     assert kept.columns == docs.columns and kept.count() == docs.selectExpr("coalesce(text, '') t").distinct().count()
+    assert {(r["__n"], r["a.b"]) for r in kept.collect()} == {("own", "own")} and exact_dedup.keep_rows(empty).count() == 0
 
 
 @pytest.mark.parametrize("n", [1, 2, 5, 100, 5000, 60000])
@@ -252,7 +283,11 @@ def test_lines_of_equal_ids(spark):
 def test_lines_on_edge_rows(docs, empty):
     rows = {r.doc_id: r for r in line_dedup.report(docs).collect()}
     assert rows[4].n_lines == 0 and rows[9].n_lines == 30 and rows[9].n_dropped == 29 and rows[3].n_dropped == 0
-    assert line_dedup.report(docs).count() == 13 and line_dedup.report(empty).count() == 0
+    assert line_dedup.report(docs).count() == 15 and line_dedup.report(empty).count() == 0
+    left = line_dedup.strip_lines(docs, line_dedup.dropped_lines(docs))
+    assert left.columns == docs.columns and left.count() == 15 and {r["__gone"] for r in left.collect()} == {"own"}
+    assert sorted(r.text for r in left.where("doc_id = 12").collect()) == ["one id, that text", "one id, this text"]
+    assert line_dedup.strip_lines(empty, line_dedup.dropped_lines(empty)).count() == 0
 
 
 # 7: mixing
@@ -297,22 +332,34 @@ def test_mix(spark, seed):
 
 
 def test_pivotal_expectation(spark):
-    """Over many seeds a document's copies average to its share."""
-    rows = [(i, i % 5 + 1, "a") for i in range(40)] + [(100 + i, 3, "b") for i in range(40)]
+    """Over many documents and some seeds a document's copies average to its share."""
+    n, seeds = 400, 4
+    rows = [(i, i % 5 + 1, "a") for i in range(n)] + [(1000 + i, 3, "b") for i in range(n)]
     df = spark.createDataFrame(rows, "doc_id long, size long, source string")
     total = Counter()
-    for seed in range(25):
+    for seed in range(seeds):
         for r in mixing.copies(df, seed)[1].collect():
-            total[r.source] += r.copies / 25 / 40
-    t = brute_targets(Counter({"a": sum(r[1] for r in rows[:40]), "b": 120}))
-    assert abs(total["b"] - t["b"] / 120) < 0.05 and abs(total["a"] - t["a"] / 120) < 0.15
+            total[r.source] += r.copies / seeds / n
+    t = brute_targets(Counter({"a": sum(r[1] for r in rows[:n]), "b": 3 * n}))
+    assert abs(total["b"] - t["b"] / (3 * n)) < 0.05 and abs(total["a"] - t["a"] / (3 * n)) < 0.15
+
+
+def test_targets_of_many_sources(spark):
+    """As many sources as hosts: the level is found in ranges."""
+    rng = random.Random(9)
+    sizes = Counter({f"host{i:04d}": rng.choice([1, 2, 30, 700]) for i in range(1500)} | {None: 50})
+    df = spark.createDataFrame(list(sizes.items()), "source string, size long")
+    got = {r.source: r.target for r in mixing.source_targets(df.repartition(7)).collect()}
+    want = brute_targets(sizes)
+    assert set(got) == set(want) and all(abs(got[s] - want[s]) < 1e-6 * max(1, want[s]) for s in want)
 
 
 def test_mix_on_edge_rows(docs, empty):
-    assert mixing.mix(docs).count() == 13 and mixing.mix(empty).count() == 0
+    assert mixing.mix(docs).count() == 15 and mixing.mix(empty).count() == 0
     assert mixing.mix(docs.where("doc_id IN (4, 5)")).count() == 2
+    assert mixing.repeat_rows(empty).count() == 0
     out = mixing.repeat_rows(docs)
-    assert out.columns == docs.columns
+    assert out.columns == docs.columns and {r["m_k"] for r in out.collect()} == {"own"}
     assert sum(len((r.text or "").split()) for r in out.collect()) == sum(r.taken for r in mixing.mix(docs).collect())
 
 
@@ -352,16 +399,98 @@ def test_shards(spark):
     assert max(where[(4, zlib.crc32(b"hot"))].values()) > 150
 
 
+def spark_hash(*parts):
+    """Spark's xxhash64 of ints (four bytes) and bytes."""
+    h = 42
+    for x in parts:
+        h = xxhash.xxh64(x.to_bytes(4, "little", signed=True) if isinstance(x, int) else bytes(x), seed=h).intdigest()
+    return h - (1 << 64) if h >> 63 else h
+
+
+def plain_propagation(state, quota, rounds=sharding.ROUNDS):
+    """The rounds of label propagation over {(g, s): n}, one group at a time."""
+    shards = len(quota)
+    for r in range(rounds):
+        late = r >= rounds - sharding.LATE
+        held = [sum(n for (_, s), n in state.items() if s == t) for t in range(shards)]
+        full = {t for t in range(shards) if late and held[t] >= 0.95 * quota[t]}
+        rank = lambda g, s: (state[(g, s)], spark_hash(g, s))
+        on = defaultdict(list)
+        for g, s in state:
+            on[g].append(s)
+        to = {}
+        for g, ss in on.items():
+            top = max(ss, key=lambda s, g=g: rank(g, s))
+            free = [s for s in ss if s not in full]
+            nxt = max(free, key=lambda s, g=g: rank(g, s)) if free else None
+            for s in ss:
+                to[(g, s)] = top if not late else s if s in full and s == top else s if nxt is None else nxt
+        flow = [[sum(n for (g, s), n in state.items() if s == a and to[(g, s)] == b) for b in range(shards)] for a in range(shards)]
+        if not sum(flow[a][b] for a in range(shards) for b in range(shards) if a != b):
+            if late:
+                return state
+            continue
+        share = [1.0] * shards
+        for _ in range(20):
+            for t in range(shards):
+                inflow = sum(flow[a][t] for a in range(shards) if a != t)
+                outflow = sum(flow[t][u] * share[u] for u in range(shards) if u != t)
+                share[t] = min(1.0, max(0.0, (quota[t] - held[t] + outflow) / inflow)) if inflow else 1.0
+        new = Counter()
+        for (g, s), n in state.items():
+            t = to[(g, s)]
+            let = share[t]
+            u = spark_hash(sharding.SEED + r, g, s) % (1 << 52) / float(1 << 52)
+            go = 0 if s == t else int(n * let) if n * let >= 64 else n if u < let else 0
+            new[(g, s)] += n - go
+            new[(g, t)] += go
+        state = {k: n for k, n in new.items() if n}
+    return state
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_propagation_equals_a_plain_one(spark, seed):
+    rng = random.Random(seed)
+    state = {}
+    for k in range(60):
+        g = hashlib.sha256(f"{seed} {k}".encode()).digest()
+        for s in rng.sample(range(4), rng.randint(1, 4)):
+            state[(g, s)] = rng.choice([1, 1, 2, 3, 9, 150 if k < 3 else 4])
+    total = sum(state.values()) + 40
+    quota = [total // 4 + (s < total % 4) for s in range(4)]
+    df = spark.createDataFrame([(bytearray(g), s, n) for (g, s), n in state.items()], "g binary, s int, n long")
+    moved = sharding.propagate(df, quota, 2)
+    got = {(bytes(r.g), r.s): r.n for r in moved.collect()}
+    assert got == plain_propagation(dict(state), quota)
+    settled, held = sharding.settle(moved, quota)
+    rows = {(bytes(r.g), r.s): r.n for r in settled.collect()}
+    assert Counter(g for (g, _), n in rows.items() for _ in range(n)) == Counter(g for (g, _), n in state.items() for _ in range(n))
+    assert held == [sum(n for (_, s), n in rows.items() if s == t) for t in range(4)] and all(h <= q for h, q in zip(held, quota, strict=True))
+
+
+def test_settling_cuts_few_groups(spark):
+    """All groups on one shard: the others are filled with whole groups but at their bounds."""
+    rows = [(f"g{i:03d}".encode(), 0, 1 + i % 6) for i in range(200)]
+    total = sum(n for _, _, n in rows)
+    quota = [total // 4 + (s < total % 4) for s in range(4)]
+    settled, held = sharding.settle(spark.createDataFrame(rows, "g binary, s int, n long"), quota)
+    parts = Counter(bytes(r.g) for r in settled.collect())
+    assert held == quota and sum(n > 1 for n in parts.values()) <= 4
+
+
+def test_one_group_larger_than_all_shards(spark):
+    rows = [(i, "same") for i in range(403)]
+    check_shards(sharding.assign(spark.createDataFrame(rows, SCHEMA)).collect(), rows)
+
+
 def test_shards_on_edge_rows(docs, empty):
     rows = sharding.assign(docs).collect()
     n = Counter(r.shard for r in rows)
-    assert len(rows) == 13 and max(n.values()) == 2 and {r.law for r in rows} == {"rows"}
+    assert len(rows) == 15 and max(n.values()) == 2 and {r.law for r in rows} == {"rows"}
     assert sharding.assign(empty).count() == 0
 
 
 def test_dense_index(spark):
-    from pyspark.sql import functions as F
-
     df = spark.range(1000).withColumn("g", F.when(F.col("id") < 700, F.lit("a")))
     rows = dense_index(df, ["g"], [F.col("id")], "i", 50).collect()
     assert sorted(r.i for r in rows if r.g == "a") == list(range(700)) and sorted(r.i for r in rows if r.g is None) == list(range(300))

@@ -60,3 +60,13 @@ def test_pipeline_against_brute_force(spark, sf):
     copies = np.unique([r.doc_id for r in rows], return_counts=True)[1]
     assert copies.max() <= 3
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "exact_dedup", "ngram_jaccard_join", "source_mixing", "piece_codec"]
+
+
+def test_pipeline_on_edge_rows(spark, docs, empty, tmp_path):
+    """An empty table, and one with nulls, ties, repeated rows and other columns."""
+    import corpus_pipeline
+
+    for name, df in (("empty", empty), ("edge", docs.select("doc_id", "text", "lang", "source", "n_chars", "`a.b`", "copy", "__id"))):
+        df.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        rows = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert all(r.lossless for r in rows) and bool(rows) == (name == "edge")

@@ -72,13 +72,15 @@ def test_rules_equal_brute_force(texts):
 
 def test_rules_on_edge_rows(docs, empty):
     rows = quality_rules.annotate(docs, keep=["doc_id"]).collect()
-    assert len(rows) == 13
+    assert len(rows) == 15
     got = {r.doc_id: r for r in rows}
     assert got[4].n_words == 0 and got[4].base_failed and not got[4].kept
     assert got[1].kept and got[8].base_failed and got[9].n_dup_lines == 29
     assert quality_rules.annotate(empty, keep=["doc_id"]).count() == 0
     own = quality_rules.annotate(docs, only_kept=True)
-    assert own.columns == docs.columns and {r.kept for r in own.collect()} == {"mine"}
+    assert own.columns == docs.columns and {(r.kept, r["a.b"], r["__text"]) for r in own.collect()} == {("mine", "own", "own")}
+    assert quality_rules.annotate(docs).columns[: len(docs.columns) - 2] == [c for c in docs.columns if c not in ("kept", "cover_5")]
+    assert quality_rules.annotate(empty, only_kept=True).count() == 0
 
 
 # 2: license scans
@@ -106,7 +108,7 @@ def test_license_places(spark, docs, empty):
         assert r.base_labels == ",".join(sorted({x for _, x in places})) and set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(",")))
         assert 0 <= r.score <= 1 and (r.score == 1 or not places)
     edge = license_scan.scan(docs).collect()
-    assert len(edge) == 13 and {r.doc_id: r.n_base for r in edge}[11] == 2
+    assert len(edge) == 15 and {r.doc_id: r.n_base for r in edge}[11] == 2
     assert license_scan.scan(empty).count() == 0
 
 
@@ -166,7 +168,7 @@ def test_classifier_edges(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id long, quality int")
     fm = quality_model.train(docs, none)
     rows = quality_model.score(docs, fm).collect()
-    assert len(rows) == 13 and {r.score for r in rows} == {0.5} and {r.predicted for r in rows} == {1}
+    assert len(rows) == 15 and {r.score for r in rows} == {0.5} and {r.predicted for r in rows} == {1}
     assert quality_model.score(empty, fm).count() == 0
 
 
@@ -332,8 +334,11 @@ def test_long_text_in_segments(pieces, monkeypatch):
 
 def test_codec_on_edge_rows(docs, empty):
     rows = piece_codec.encode_documents(docs, keep=("doc_id", "kept")).collect()
-    assert len(rows) == 13 and all(r.lossless and r.n_ids == len(r.ids) for r in rows) and {r.kept for r in rows} == {"mine"}
+    assert len(rows) == 15 and all(r.lossless and r.n_ids == len(r.ids) for r in rows) and {r.kept for r in rows} == {"mine"}
     assert piece_codec.encode_documents(empty).count() == 0
+    every = piece_codec.encode_documents(docs, keep=tuple(docs.columns))
+    assert every.columns == [f"kept_{c}" if c in ("ids", "n_ids", "lossless") else c for c in docs.columns] + ["ids", "n_ids", "lossless"]
+    assert {r["a.b"] for r in every.collect()} == {"own"}
 
 
 # 8: chat formatting

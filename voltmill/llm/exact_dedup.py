@@ -7,7 +7,8 @@ buckets.  Digests that occur twice or more then go through a byte check: their t
 bytes, so a digest that stood for two texts would be split and not merged.
 
 Defined results: null text counts as empty; of equal texts the row with the largest id stays, null ids
-being smallest; of repeated rows (same id, same text) one stays; an empty table gives no rows.
+being smallest; of repeated rows (same id, same text) one stays; an empty table gives no rows; extra columns
+pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import mix64
-from .shared import cut, files_for
+from .shared import cut, files_for, fresh, named
 
 #: Distinct digests of a bucket, about; one filter of 9/8 bytes a digest covers it.
 BUCKET_ROWS = 1 << 18
@@ -172,12 +173,12 @@ def keep_rows(docs: DataFrame) -> DataFrame:
     """The rows that stay, with all their columns."""
     groups = cut(duplicate_groups(docs.select("doc_id", "text")))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    cols = docs.columns
-    tagged = docs.withColumn("__digest", F.unhex(F.sha2(text, 256))).withColumn("__mark", F.xxhash64(text))
-    g = groups.select(F.col("digest").alias("__digest"), F.col("mark").alias("__mark"), F.col("top").alias("__top"), F.col("n").alias("__n"))
-    joined = tagged.join(g, ["__digest", "__mark"], "left").where(F.col("__n").isNull() | F.col("__top").eqNullSafe(F.col("doc_id")))
-    single = joined.where(F.col("__n").isNull())
+    own, own_mark, code, mark, top, n, key = fresh(docs, "own_digest", "own_mark", "g_digest", "g_mark", "g_top", "g_n", "g_key")
+    tagged = docs.withColumn(own, F.unhex(F.sha2(text, 256))).withColumn(own_mark, F.xxhash64(text))
+    g = groups.select(F.col("digest").alias(code), F.col("mark").alias(mark), F.col("top").alias(top), F.col("n").alias(n))
+    joined = tagged.join(g, (F.col(own) == F.col(code)) & (F.col(own_mark) == F.col(mark)), "left").where(F.col(n).isNull() | F.col(top).eqNullSafe(F.col("doc_id")))
+    single = joined.where(F.col(n).isNull()).withColumn(key, F.lit(None).cast("string"))
     # Of each group the top row is left, and more than one only where that row itself is repeated.
     # By another key than the join's, so that the join with a large group can be split.
-    several = joined.where(F.col("__n").isNotNull()).withColumn("__key", F.hex("__digest")).dropDuplicates(["__key"]).drop("__key")
-    return single.unionByName(several).select(*[F.col(f"`{c}`") for c in cols])
+    several = joined.where(F.col(n).isNotNull()).withColumn(key, F.hex(own)).dropDuplicates([key])
+    return single.unionByName(several).select(*[named(c) for c in docs.columns])

@@ -10,7 +10,7 @@ numbers are keyed by document and level: reruns agree, whatever the partitioning
 
 Defined results: a null or empty text has size 0, is taken 0 times and doesn't move the mix; a null source is
 a source, the last in order; rows of equal id, source and size share their copies evenly; with no words at
-all every target is 0; an empty table gives no rows.
+all every target is 0; an empty table gives no rows; extra columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import WORD, cut, files_for, unit
+from .shared import WORD, cut, files_for, fresh, named, running_sums, unit
 
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Copies of a document, and so of a source's words, at most.
@@ -39,23 +39,20 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
 
     A source gets weight * level, at most its bound of most times its size.  The level at which the
     targets add up to all words: sources in the order in which they reach their bounds; the first k are at
-    their bounds for the least k that leaves the next one below its own.
+    their bounds for the least k that leaves the next one below its own.  Orders and sums over sources are
+    taken in ranges, so there may be as many sources as hosts.
     """
     s = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    place = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
-    s = s.withColumn("w", F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod(place, F.lit(len(weights))) + 1).cast("int")))
+    s = running_sums(s, [F.col("source").asc_nulls_last()], {}, place="place")
+    s = s.withColumn("w", F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.pmod("place", F.lit(len(weights))) + 1).cast("int")))
     s = s.withColumn("bound", F.col("source_size") * F.lit(float(most))).withColumn("reach", F.col("bound") / F.col("w"))
-    before = W.orderBy("reach", F.col("source").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
-    every = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    s = s.withColumn("full", F.coalesce(F.sum("bound").over(before), F.lit(0.0)))
-    s = s.withColumn("rest_w", F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
-    s = s.withColumn("words", F.sum("source_size").over(every).cast("double"))
-    level = (F.col("words") - F.col("full")) / F.col("rest_w")
-    nth = F.row_number().over(W.orderBy("reach", F.col("source").asc_nulls_last()))
-    s = s.withColumn("first", F.when(level <= F.col("reach"), F.struct(nth.alias("nth"), level.alias("level"))))
-    s = s.withColumn("level", F.min("first").over(every)["level"])
+    # Sums of whole numbers: the same in any order.
+    s = running_sums(s, [F.col("reach"), F.col("place")], {"full": "bound", "light": "w"}, place="nth")
+    every = s.agg(F.sum("w").alias("all_w"), F.sum("source_size").cast("double").alias("words"))
+    s = s.crossJoin(F.broadcast(every)).withColumn("at", (F.col("words") - F.col("full")) / (F.col("all_w") - F.col("light")))
+    level = s.where("at <= reach").agg(F.min_by("at", "nth").alias("level"))
     target = F.when(F.col("words") == 0, F.lit(0.0)).otherwise(F.least("bound", F.col("w") * F.coalesce("level", "reach")))
-    return s.select("source", "source_size", "n", target.alias("target"))
+    return s.crossJoin(F.broadcast(level)).select("source", "source_size", "n", target.alias("target"))
 
 
 _OPEN = "id: bigint, size: bigint, m: bigint, f: double, u: double, b: bigint"
@@ -151,18 +148,20 @@ def mix(docs: DataFrame) -> DataFrame:
 def repeat_rows(docs: DataFrame, copy: str | None = None) -> DataFrame:
     """The mix itself: each row as many times as it is taken, with all columns; rows taken 0 times are left out.
 
-    Where named, column copy is added: a number from 1 that differs among the rows of one id, source and size.
+    Where named, column copy is added, in place of one of that name: a number from 1 that differs among the rows
+    of one id, source and size.
     """
-    cols = docs.columns
-    tagged = docs.withColumn("__size", word_count(F.col("text")))
-    rows = cut(tagged.select("doc_id", "source", F.col("__size").alias("size")))
+    size, id_, src, z, of, n, nth, k, x = fresh(docs, "own_size", "m_id", "m_source", "m_size", "m_rows", "m_copies", "m_nth", "m_k", "m_copy")
+    tagged = docs.withColumn(size, word_count(F.col("text")))
+    rows = cut(tagged.select("doc_id", "source", F.col(size).alias("size")))
     _, taken = copies(rows)
-    some = taken.where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__s"), F.col("size").alias("__z"), F.col("rows").alias("__rows"), F.col("copies").alias("__copies"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__s")) & (F.col("__size") == F.col("__z"))
+    some = taken.where("copies > 0").select(F.col("doc_id").alias(id_), F.col("source").alias(src), F.col("size").alias(z), F.col("rows").alias(of), F.col("copies").alias(n))
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & F.col("source").eqNullSafe(F.col(src)) & (F.col(size) == F.col(z))
     joined = tagged.join(some, same)
-    nth = F.row_number().over(W.partitionBy("__id", "__s", "__z").orderBy(F.xxhash64("text")))
-    lone = joined.where("__rows = 1").withColumn("__k", F.col("__copies")).withColumn("__nth", F.lit(1))
-    several = joined.where("__rows > 1").withColumn("__nth", nth).withColumn("__k", F.floor(F.col("__copies") / F.col("__rows")) + F.when(F.col("__nth") <= F.col("__copies") % F.col("__rows"), 1).otherwise(0))
-    out = lone.unionByName(several).where("__k > 0")
-    number = [] if copy is None else [((F.col("__nth") - 1) * MOST + F.col("__x")).cast("int").alias(copy)]
-    return out.withColumn("__x", F.explode(F.sequence(F.lit(1), F.col("__k")))).select(*[F.col(f"`{c}`") for c in cols], *number)
+    place = F.row_number().over(W.partitionBy(id_, src, z).orderBy(F.xxhash64("text")))
+    lone = joined.where(F.col(of) == 1).withColumn(k, F.col(n)).withColumn(nth, F.lit(1))
+    several = joined.where(F.col(of) > 1).withColumn(nth, place).withColumn(k, F.floor(F.col(n) / F.col(of)) + F.when(F.col(nth) <= F.col(n) % F.col(of), 1).otherwise(0))
+    out = lone.unionByName(several).where(F.col(k) > 0)
+    number = [] if copy is None else [((F.col(nth) - 1) * MOST + F.col(x)).cast("int").alias(copy)]
+    kept = [named(c) for c in docs.columns if c != copy]
+    return out.withColumn(x, F.explode(F.sequence(F.lit(1), F.col(k)))).select(*kept, *number)

@@ -15,9 +15,13 @@ A set goes to one of its buckets first; after the components of those links are
 still hold several components are joined in full: their largest component's sets, dealt into blocks of
 about UNIT_TOKENS, with the sets outside it, which go to every block.
 
+A set's class is a 64-bit name.  Each set has a second one, so two sets of one class show, and all but one of
+them take a new class before anything is joined: a name stands for 128 bits.
+
 Defined results: a null or empty text has an empty set and is linked with nothing; a text shorter than a
 shingle counts as one shingle; equal sets link; repeated rows and equal ids are linked by their texts; a
-null id never names a component that has another id; an empty table gives no rows.
+null id never names a component that has another id; an empty table gives no rows; extra columns pass through
+keep_rows, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,12 +36,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from . import kernels as K
-from .shared import cut, parts
+from .shared import cut, fresh, join_groups, named, parts
 
 WIDTH = 5
 NUM, DEN = 75, 100
-#: A shingle in at least this many texts may be put last in the order; at most HEAVY_KEYS of them are (1 MB, broadcast).
-HEAVY_DF, HEAVY_KEYS = 64, 1 << 17
+#: A shingle in at least this many texts may be put last in the order.  At most HEAVY_KEYS of them are, or one for each
+#: HEAVY_BYTES of a larger corpus, or MOST_HEAVY (8 MB, broadcast).  The bound shapes the order only; any order is exact.
+HEAVY_DF, HEAVY_KEYS, HEAVY_BYTES, MOST_HEAVY = 64, 1 << 17, 1 << 18, 1 << 20
+#: Most sets that share their class with another set; of 10^11 sets some hundreds are expected to.
+MOST_RENAMED = 1 << 20
 #: Tokens of a join unit, about: 16 MB of sets.
 UNIT_TOKENS = 1 << 21
 #: Bytes of text whose shingles one partition of the counting and prefix steps receives.
@@ -66,10 +73,37 @@ def shingle_sets(texts: pa.Array | pa.ChunkedArray, width: int = WIDTH) -> Itera
 
 def set_class(s: np.ndarray) -> int:
     """A signed 64-bit name of a set."""
+    return set_names(s)[0]
+
+
+def set_names(s: np.ndarray) -> tuple[int, int]:
+    """Class and mark of a set: two signed 64-bit names that only together stand for the set."""
     with np.errstate(over="ignore"):
         a = s.sum(dtype=np.uint64)
         b = K.mix64(s + np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
-        return int(K.mix64(np.array([a]) ^ K.mix64(np.array([b]) + np.uint64(len(s))))[0].view(np.int64))
+        x = np.array([a ^ K.mix64(np.array([b]) + np.uint64(len(s)))[0], b ^ K.mix64(np.array([a]) + np.uint64(0x14057B7EF767814F))[0]])
+        return tuple(K.mix64(x).view(np.int64).tolist())
+
+
+def class_of(s: np.ndarray, renamed: dict[int, dict[int, int]]) -> int:
+    """The class of a set after those that other sets share are given anew."""
+    c = set_class(s)
+    return renamed[c].get(set_names(s)[1], c) if c in renamed else c
+
+
+def shared_classes(sets: DataFrame) -> dict[int, dict[int, int]]:
+    """New classes, by class and mark, of all but one of the sets (class, mark) of each class that several sets have."""
+    twice = sets.groupBy("class").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi")).where("lo < hi")
+    if twice.isEmpty():
+        return {}
+    rows = sets.join(twice, "class").where("mark > lo").select("class", "mark").distinct().limit(MOST_RENAMED + 1).collect()
+    if len(rows) > MOST_RENAMED:
+        raise RuntimeError("more sets share a class than a good hash lets expect")
+    out: dict[int, dict[int, int]] = {}
+    for c, m in rows:
+        x = K.mix64(np.array([c, m], np.int64).view(np.uint64))
+        out.setdefault(c, {})[m] = int((x[:1] ^ (x[1:] >> np.uint64(1))).view(np.int64)[0])
+    return out
 
 
 def pack(a: np.ndarray) -> bytes:
@@ -96,7 +130,7 @@ def _slices(part: np.ndarray) -> Iterator[tuple[int, int, int]]:
             yield int(part[a]), int(a), int(b)
 
 
-def heavy_shingles(texts: DataFrame, bits: int) -> np.ndarray:
+def heavy_shingles(texts: DataFrame, bits: int, most: int) -> np.ndarray:
     """The most frequent shingles, by their first 32 + bits bits, sorted; counted over all texts."""
     low, shift = HEAVY_DF, np.uint64(32 - bits)
 
@@ -131,7 +165,7 @@ def heavy_shingles(texts: DataFrame, bits: int) -> np.ndarray:
         return pa.table({"key": k, "df": total[often]})
 
     counted = texts.mapInArrow(count, "part int, keys binary, counts binary").groupBy("part").applyInArrow(add, "key long, df long")
-    top = counted.orderBy(F.desc("df"), "key").limit(HEAVY_KEYS).toArrow()
+    top = counted.orderBy(F.desc("df"), "key").limit(most).toArrow()
     return np.sort(top["key"].to_numpy().astype(np.uint64))
 
 
@@ -148,14 +182,16 @@ def prefix(s: np.ndarray, heavy: np.ndarray, bits: int) -> tuple[np.ndarray, np.
 
 
 def documents_and_leaders(docs: DataFrame, heavy, bits: int) -> DataFrame:
-    """Rows (doc_id, class, n, map) of the documents, and rows (key, class) with the least class seen with a heavy prefix shingle."""
+    """Rows (doc_id, class, mark, n, map) of the documents, and rows (key, class) with the least class seen with a heavy prefix shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rare = heavy.value
         for batch in batches:
-            cls, n, key, least, maps = [], [], [], [], []
+            cls, mark, n, key, least, maps = [], [], [], [], [], []
             for s in shingle_sets(batch.column(1)):
-                cls.append(set_class(s) if len(s) else 0)
+                c, m = set_names(s) if len(s) else (0, 0)
+                cls.append(c)
+                mark.append(m)
                 n.append(len(s))
                 maps.append(signature(s) if len(s) else b"")
                 _, h = prefix(s, rare, bits) if len(s) else (s, s)
@@ -171,14 +207,15 @@ def documents_and_leaders(docs: DataFrame, heavy, bits: int) -> DataFrame:
                 [
                     pa.concat_arrays([batch.column(0), pa.nulls(w, pa.int64())]),
                     pa.concat_arrays([pa.array(cls, pa.int64()), pa.array(c, pa.int64())]),
+                    pa.concat_arrays([pa.array(mark, pa.int64()), pa.nulls(w, pa.int64())]),
                     pa.concat_arrays([pa.array(n, pa.int32()), pa.nulls(w, pa.int32())]),
                     pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(k.astype(np.int64))]),
                     pa.concat_arrays([pa.array(maps, pa.binary()), pa.nulls(w, pa.binary())]),
                 ],
-                ["doc_id", "class", "n", "key", "map"],
+                ["doc_id", "class", "mark", "n", "key", "map"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, class long, n int, key long, map binary")
+    return docs.mapInArrow(run, "doc_id long, class long, mark long, n int, key long, map binary")
 
 
 def _dealt(rows: list[tuple[int, int, int]], bits: int) -> list[pa.Array]:
@@ -195,11 +232,11 @@ def _dealt(rows: list[tuple[int, int, int]], bits: int) -> list[pa.Array]:
     return [pa.array([p for p, _, _ in runs], pa.int32()), pa.nulls(len(runs), pa.binary()), *packed]
 
 
-def members(texts: DataFrame, heavy, leaders, bits: int) -> DataFrame:
+def members(texts: DataFrame, heavy, leaders, renamed, bits: int) -> DataFrame:
     """Distinct (bucket, class, n): every set of a list of sets that share a prefix shingle, in the bucket of its least set."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rare, lead = heavy.value, leaders.value
+        rare, lead, new = heavy.value, leaders.value, renamed.value
         names = ["part", "keys", "at", "classes", "sizes"]
 
         def flush(keys: list, at: list, cls: list, sizes: list) -> pa.RecordBatch:
@@ -219,7 +256,7 @@ def members(texts: DataFrame, heavy, leaders, bits: int) -> DataFrame:
                 if not len(s):
                     continue
                 light, h = prefix(s, rare, bits)
-                c = set_class(s)
+                c = class_of(s, new)
                 if len(h):
                     own |= {(int(b), c, len(s)) for b in np.unique(lead[np.searchsorted(rare, h >> np.uint64(32 - bits))])}
                 if len(light):
@@ -527,28 +564,35 @@ def components(links: DataFrame) -> DataFrame:
         label = new.select("u", "l")
 
 
-def link_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Documents (doc_id, class, n) and the components (node, root) of linked classes, of docs (doc_id, text)."""
+def link_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame, dict[int, dict[int, int]]]:
+    """Documents (doc_id, class, n), the components (node, root) of linked classes, and renamed classes, of docs (doc_id, text)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = docs.select("text")
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(20, max(total / PART_BYTES, parts(docs) / 4, 1).__ceil__().bit_length())
-    top = heavy_shingles(texts, bits)
+    top = heavy_shingles(texts, bits, max(HEAVY_KEYS, min(MOST_HEAVY, total // HEAVY_BYTES)))
     heavy = spark.sparkContext.broadcast(top)
     found = cut(documents_and_leaders(docs, heavy, bits))
-    table = found.where("n IS NOT NULL").select("doc_id", "class", "n")
-    lead = found.where("n IS NULL").groupBy("key").agg(F.min("class").alias("class")).toArrow()  # at most HEAVY_KEYS rows
+    sets_of = found.where("n IS NOT NULL")
+    new = shared_classes(sets_of.where("n > 0").select("class", "mark"))
+    renamed = spark.sparkContext.broadcast(new)
+    if new:
+        entries = [(c, m, x) for c, by in new.items() for m, x in by.items()]
+        given = F.broadcast(spark.createDataFrame(entries, "class long, mark long, given long"))  # at most MOST_RENAMED rows
+        sets_of = cut(sets_of.join(given, ["class", "mark"], "left").withColumn("class", F.coalesce("given", "class")).drop("given"))
+    table = sets_of.select("doc_id", "class", "n")
+    lead = found.where("n IS NULL").groupBy("key").agg(F.min("class").alias("class")).toArrow()  # as many rows as heavy shingles at most
     led = np.zeros(len(top), np.int64)
     led[np.searchsorted(top, lead["key"].to_numpy().astype(np.uint64))] = lead["class"].to_numpy()
     leaders = spark.sparkContext.broadcast(led)
-    member = cut(members(texts, heavy, leaders, bits))
+    member = cut(members(texts, heavy, leaders, renamed, bits))
 
     # Signature trees drop what can't link.  A bucket too large for one tree keeps all its members.
     bucket = member.groupBy("bucket").agg(F.count("*").alias("m"), F.sum("n").alias("tokens")).where("m > 1")
     member = cut(member.join(bucket, "bucket"))
     fits = F.col("tokens") <= F.lit(32 * UNIT_TOKENS)
-    one = found.where("n > 0").select("class", "map").groupBy("class").agg(F.min("map").alias("map"))
+    one = sets_of.where("n > 0").select("class", "map").groupBy("class").agg(F.min("map").alias("map"))
     small = member.where(fits).select("bucket", "class", "n").join(one, "class")
     small = small.repartition(parts(docs), "bucket").sortWithinPartitions("bucket", "class").mapInArrow(_prune, "bucket long, class long, n long")
     member = cut(small.union(member.where(~fits).select("bucket", "class", F.col("n").cast("long"))))
@@ -560,10 +604,11 @@ def link_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # of this task's share of the classes
+        given = renamed.value
         for batch in batches:
             cls, sets = [], []
             for want, s in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1)), strict=True):
-                if len(s) and want not in seen and set_class(s) == want:
+                if len(s) and want not in seen and class_of(s, given) == want:
                     seen.add(want)
                     cls.append(want)
                     sets.append(s.tobytes())
@@ -585,23 +630,18 @@ def link_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     blocks = F.sequence(F.lit(0), F.col("blocks") - 1)
     probes = labelled.where("label <> main").select("bucket", F.explode(blocks).alias("block"), F.lit(True).alias("probe"), "label", "class")
     more = cut(_links(base.union(probes).join(sets, "class")))
-    return table, (reach if more.isEmpty() else components(links.union(more)))
+    return table, (reach if more.isEmpty() else components(links.union(more))), new
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the least id reached by links)."""
-    table, reach = link_documents(docs)
+    table, reach, _ = link_documents(docs)
     rows = table.join(reach, table["class"] == reach["node"], "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("root", "class").alias("root"))
-    full = rows.where("n_shingles > 0")
-    least = full.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    linked = full.join(least, "root").select("doc_id", "n_shingles", "component_id")
-    return linked.union(rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-
-
-@F.arrow_udf(LongType())
-def _class_of(text: pa.Array) -> pa.Array:
-    """The class of each text's set, as link_documents names it."""
-    return pa.array([set_class(s) if len(s) else 0 for s in shingle_sets(text)], pa.int64())
+    least = rows.where("n_shingles > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("m"))
+    # A row without shingles joins nothing, by a key of its own.
+    dealt = rows.withColumn("root", F.when(F.col("n_shingles") > 0, F.col("root")))
+    out = join_groups(dealt, least, "root", "m", ["component_id"], F.col("doc_id"), table.count())
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_rows(docs: DataFrame) -> DataFrame:
@@ -610,19 +650,28 @@ def keep_rows(docs: DataFrame) -> DataFrame:
     Rows go by id and class, so a row that only shares its id, or null, with a linked one stays.  A component
     of null ids only keeps one of them.
     """
-    cols = [F.col(f"`{c}`") for c in docs.columns]
-    table, reach = link_documents(docs)
+    table, reach, new = link_documents(docs)
+    renamed = docs.sparkSession.sparkContext.broadcast(new)
+
+    @F.arrow_udf(LongType())
+    def name(text: pa.Array) -> pa.Array:
+        """The class of each text's set, as link_documents names it."""
+        return pa.array([class_of(s, renamed.value) if len(s) else 0 for s in shingle_sets(text)], pa.int64())
+
     rows = table.where("n > 0").join(reach, table["class"] == reach["node"], "left").select("doc_id", "class", F.coalesce("root", "class").alias("root"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "class")
     best = rows.groupBy("root").agg(F.min(place).alias("best"), F.count("*").alias("m")).where("m > 1")
-    linked = rows.join(best, "root").groupBy(F.col("doc_id").alias("__id"), F.col("class").alias("__c")).agg(F.max(place == F.col("best")).alias("first"), F.count("*").alias("times"))
+    own, id_, code, nth = fresh(docs, "own_class", "drop_id", "drop_class", "nth")
+    linked = join_groups(rows, best, "root", "m", ["best"], F.col("doc_id"), table.count()).where("best IS NOT NULL")
+    linked = linked.groupBy(F.col("doc_id").alias(id_), F.col("class").alias(code)).agg(F.max(place == F.col("best")).alias("first"), F.count("*").alias("times"))
     linked = cut(linked.where("NOT first OR times > 1"), max(1, parts(docs) // 8))
-    named = docs.withColumn("__class", _class_of(F.col("text").cast("string")))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__class") == F.col("__c"))
-    out = named.join(linked.select("__id", "__c").hint("shuffle_hash"), same, "left_anti").select(*cols)
-    several = linked.where("first").select("__id", "__c")
+    tagged = docs.withColumn(own, name(F.col("text").cast("string")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(code))
+    cols = [named(c) for c in docs.columns]
+    out = tagged.join(linked.select(id_, code).hint("shuffle_hash"), same, "left_anti").select(*cols)
+    several = linked.where("first").select(id_, code)
     if several.isEmpty():
         return out
-    nth = F.row_number().over(W.partitionBy("__id", "__c").orderBy("text"))
-    one = named.join(several.hint("shuffle_hash"), same).withColumn("__nth", nth).where("__nth = 1")
+    order = F.row_number().over(W.partitionBy(id_, code).orderBy("text"))
+    one = tagged.join(several.hint("shuffle_hash"), same).withColumn(nth, order).where(F.col(nth) == 1)
     return out.union(one.select(*cols))

@@ -12,8 +12,8 @@ Characters without a piece become byte pieces; so does U+2581 itself, which else
 Decoding therefore gives every text back.  With dropout 0 ids equal those of the sentencepiece library.
 
 Defined results: null is encoded like the empty text, to no ids; repeated rows of equal copy number give equal
-ids; texts of any length are read whole, in segments that end before a space; other columns
-pass through where asked for.
+ids; texts of any length are read whole, in segments that end before a space; an empty table gives no rows; other
+columns pass through where asked for, whatever their names; one called ids, n_ids or lossless gets kept_ before it.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import mix64
+from .shared import fields, named
 
 DROPOUT, SEED = 0.1, 1234
 CHUNK_CHARS = 1 << 19
@@ -409,8 +410,11 @@ def encode_documents(docs: DataFrame, model_path: str | None = None, keep: tuple
     """
     loaded = Pieces.load(model_path or default_model())
     shipped = docs.sparkSession.sparkContext.broadcast((loaded.pieces, loaded.scores, loaded.byte_ids))
-    kept = [c for c in keep if c not in ("ids", "n_ids", "lossless")]
-    source = docs.select(*kept, F.col("doc_id").cast("long").alias("__name"), F.col("text").cast("string").alias("__text"), (F.lit(0) if copy is None else F.col(copy)).cast("long").alias("__copy"))
+    names = [f"kept_{c}" if c.lower() in ("ids", "n_ids", "lossless") else c for c in keep]
+    # By place, as names may clash with the helpers' or hold dots.
+    kept = [f"c{i}" for i in range(len(keep))]
+    number = F.lit(0) if copy is None else named(copy)
+    source = docs.select(*[named(c).alias(k) for c, k in zip(keep, kept, strict=True)], F.col("doc_id").cast("long").alias("name"), F.col("text").cast("string").alias("text"), number.cast("long").alias("copy"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Pieces(*shipped.value)
@@ -423,5 +427,6 @@ def encode_documents(docs: DataFrame, model_path: str | None = None, keep: tuple
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(kept))] + [lists, pa.array(np.diff(bounds)), pa.array(same)], [*kept, "ids", "n_ids", "lossless"])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[: len(kept)]]
-    return source.mapInArrow(run, ", ".join([*fields, "ids array<int>, n_ids long, lossless boolean"]))
+    own = fields(source.select(*kept).schema)
+    out = source.mapInArrow(run, ", ".join(x for x in (own, "ids array<int>, n_ids long, lossless boolean") if x))
+    return out.toDF(*names, "ids", "n_ids", "lossless")

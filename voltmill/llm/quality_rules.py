@@ -1,8 +1,8 @@
 """Quality rules (5): characters inside duplicated n-grams and lines, from rolling hashes in numpy.
 
 Defined results: a null or empty text has no words and fails the base rule; repeated rows and equal
-doc_ids are judged one by one; extra columns pass through annotate() unchanged, and its own columns
-replace equal names.  Texts of any length are read whole.
+doc_ids are judged one by one; extra columns, whatever their names, pass through annotate() unchanged, and its
+own columns replace equal names; an empty table gives no rows.  Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -12,9 +12,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import kernels as K
+from .shared import fields, named
 
 #: Largest share of a text's word characters inside later copies of an n-gram, by n.  A short text that
 #: says one line twice stays below; the published rules for long web pages (0.15 to 0.11) would drop it.
@@ -81,20 +81,20 @@ def annotate(docs: DataFrame, text_col: str = "text", keep: list[str] | None = N
     names = [x.split()[0] for x in added]
     through = docs.columns if keep is None else keep
     own = [c for c in through if only_kept or c not in names]
-    source = docs.select(*[F.col(f"`{c}`") for c in own], F.col(f"`{text_col}`").cast("string").alias("__text"))
+    # By place, as names may clash with the helpers' or hold dots.
+    numbers = [f"c{i}" for i in range(len(own))]
+    source = docs.select(*[named(c).alias(k) for c, k in zip(own, numbers, strict=True)], named(text_col).cast("string").alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            m = measure(texts)
+            m = measure(batch.column(batch.num_columns - 1))
             failed, kept = verdicts(m)
             columns = [batch.column(i) for i in range(len(own))]
             if only_kept:
-                yield pa.RecordBatch.from_arrays(columns, own).filter(pa.array(kept))
+                yield pa.RecordBatch.from_arrays(columns, numbers).filter(pa.array(kept))
                 continue
             arrays = columns + [pa.array(m[k]) for k in names[:-2]] + [pa.array(failed), pa.array(kept)]
-            yield pa.RecordBatch.from_arrays(arrays, own + names)
+            yield pa.RecordBatch.from_arrays(arrays, numbers + names)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    schema = ", ".join(x for x in (fields, "" if only_kept else ", ".join(added)) if x)
-    return source.mapInArrow(run, schema)
+    schema = ", ".join(x for x in (fields(source.drop("t").schema), "" if only_kept else ", ".join(added)) if x)
+    return source.mapInArrow(run, schema).toDF(*own, *([] if only_kept else names))

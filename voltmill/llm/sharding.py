@@ -2,10 +2,12 @@
 
 Documents with equal texts are linked.  Rows start on a shard by keyed hash.  In each round every group of
 linked rows learns which shard most of its rows are on, and its rows elsewhere want to move there; a round's
-moves into a shard are let through as far as its quota and the rows that leave it allow; in the last rounds what a full shard can't take gathers elsewhere.  Rows of one group on one
-shard are alike, so the state is one count per group and shard: a group of any size is a few rows.  Then
-rows take the shards of their group's counts, surplus rows leave shards over quota, and unlinked rows, which cut no
-edge anywhere, fill every shard to its exact quota: row counts differ by one at most (law `rows`).
+moves into a shard are let through as far as its quota and the rows that leave it allow; in the last rounds what a
+full shard can't take gathers elsewhere.  Rows of one group on one shard are alike, so the state is one count per
+group and shard: a group of any size is a few rows.  A shard that is still over its quota then gives up whole
+groups, the smallest first and one of them in part, and these fill the room on other shards in one piece but where
+a shard's room ends.  Rows take the shards of their group's counts, and unlinked rows, which cut no edge anywhere,
+fill every shard to its exact quota: row counts differ by one at most (law `rows`).
 
 Defined results: a null text has no bytes and is equal to the empty text; repeated rows are rows; an empty table
 gives no rows; extra columns are not read.
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import cut, dense_index, files_for, unit
+from .shared import cut, dense_index, files_for, running_sums, unit
 
 SHARDS, ROUNDS, LATE, SEED = 8, 8, 4, 5
 
@@ -64,6 +66,34 @@ def propagate(state: DataFrame, quota: list[int], files: int, rounds: int = ROUN
     return state
 
 
+def settle(state: DataFrame, quota: list[int]) -> tuple[DataFrame, list[int]]:
+    """Counts that hold no shard over its quota, and the rows on each shard."""
+    shards = len(quota)
+    per_shard = lambda df: {x["s"]: x["n"] for x in df.groupBy("s").agg(F.sum("n").alias("n")).collect()}
+    held = per_shard(state)
+    held = [held.get(s, 0) for s in range(shards)]
+    if all(h <= q for h, q in zip(held, quota, strict=True)):
+        return state, held
+    of = lambda values: F.element_at(F.array(*[F.lit(x).cast("long") for x in values]), F.col("s") + 1)
+    ranked = running_sums(state, [F.col("s"), F.col("n"), F.col("g")], {"before": "n"})
+    before = F.col("before") - of([sum(held[:s]) for s in range(shards)])
+    surplus = of([max(0, h - q) for h, q in zip(held, quota, strict=True)])
+    ranked = cut(ranked.select("g", "s", "n", F.least(F.col("n"), F.greatest(F.lit(0).cast("long"), surplus - before)).alias("out")))
+    kept = ranked.select("g", "s", (F.col("n") - F.col("out")).alias("n")).where("n > 0")
+    held = [min(h, q) for h, q in zip(held, quota, strict=True)]
+    loose = ranked.where("out > 0").groupBy("g").agg(F.sum("out").alias("n"))
+    loose = running_sums(loose, [F.col("n").desc(), F.col("g")], {"a": "n"})
+    lo, spans = 0, []
+    for s in range(shards):
+        hi = lo + quota[s] - held[s]
+        spans.append(F.struct(F.lit(s).alias("s"), F.greatest(F.lit(0).cast("long"), F.least(F.col("a") + F.col("n"), F.lit(hi)) - F.greatest(F.col("a"), F.lit(lo))).alias("m")))
+        lo = hi
+    put = loose.select("g", F.inline(F.array(*spans))).where("m > 0").select("g", "s", F.col("m").alias("n"))
+    out = cut(kept.unionByName(put).groupBy("g", "s").agg(F.sum("n").alias("n")))
+    held = per_shard(out)
+    return out, [held.get(s, 0) for s in range(shards)]
+
+
 def group_rows(rows: DataFrame, state: DataFrame, files: int) -> DataFrame:
     """Give the rows of each group the shards of its counts, in order of a keyed hash."""
     numbered = _index_in_group(rows)
@@ -101,22 +131,15 @@ def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     start = F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "size"), F.lit(shards)).cast("int")
     linked = cut(rows.join(linked_groups, "g"), files)
     state = linked.groupBy("g", start.alias("s")).agg(F.count("*").alias("n"))
-    placed = group_rows(linked, propagate(cut(state, files), quota, files), files)
-
-    # Surplus rows of a shard are those with the last numbers.
-    numbered = cut(dense_index(placed, ["shard"], [F.col("g"), F.col("doc_id")], "k"), files)
-    limit = F.element_at(F.array(*[F.lit(q) for q in quota]), F.col("shard") + 1)
-    stay = numbered.where(F.col("k") < limit).drop("k")
-    held = [0] * shards
-    for x in stay.groupBy("shard").count().collect():
-        held[x["shard"]] = x["count"]
-    pool = numbered.where(F.col("k") >= limit).drop("k", "shard").unionByName(rows.join(linked_groups, "g", "left_anti"))
-    filled = dense_index(pool, [], [F.col("g"), F.col("doc_id")], "k")
+    state, held = settle(propagate(cut(state, files), quota, files), quota)
+    placed = group_rows(linked, state, files)
+
+    filled = dense_index(rows.join(linked_groups, "g", "left_anti"), [], [F.col("g"), F.col("doc_id")], "k")
     lo, shard = 0, F.lit(None).cast("int")
     for s in range(shards):
         shard = F.when((F.col("k") >= lo) & (F.col("k") < lo + quota[s] - held[s]), F.lit(s)).otherwise(shard)
         lo += quota[s] - held[s]
-    every = cut(stay.unionByName(filled.withColumn("shard", shard).drop("k")), files)
+    every = cut(placed.unionByName(filled.withColumn("shard", shard).drop("k")), files)
     out = dense_index(every, ["shard"], [F.col("g"), F.col("doc_id")], "slot")
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
 

@@ -9,6 +9,8 @@ from pyspark.sql.types import StructType
 
 from voltmill.session import shared_folder
 
+#: Most groups of rows that are handled as hot ones, and most buckets of a dense numbering.
+HOT, BUCKETS = 4096, 1 << 15
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -60,14 +62,45 @@ def unit(*cols: Column | str) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 52)) / F.lit(float(1 << 52))
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, count: str, values: list[str], spread: Column, total: int) -> DataFrame:
+    """Left join of rows with the values of their group (one row a key, with its number of rows).
+
+    Groups of at least total / HOT rows are at most HOT; they are broadcast, and their rows, like those without a
+    key, are dealt by spread, so that no task gathers a hot group.
+    """
+    hot = groups.where(F.col(count) * HOT >= total).select(key, *values).limit(HOT)
+    marked = rows.join(F.broadcast(hot.select(F.col(key).alias("__k"), F.struct(*values).alias("__hot"))), F.col(key) == F.col("__k"), "left").drop("__k")
+    dealt = marked.withColumn("__by", F.when(F.col("__hot").isNotNull() | F.col(key).isNull(), F.xxhash64(spread)).otherwise(F.col(key)))
+    rest = groups.where(F.col(count) * HOT < total).select(F.col(key).alias("__k"), F.struct(*values).alias("__rest"))
+    found = dealt.join(rest, (F.col("__by") == F.col("__k")) & (F.col(key) == F.col("__k")), "left")
+    return found.select(*rows.columns, *[F.coalesce(F.col("__hot"), F.col("__rest"))[v].alias(v) for v in values])
+
+
+def running_sums(df: DataFrame, order: list[Column], sums: dict[str, str], place: str | None = None) -> DataFrame:
+    """Add for each name the sum of a column over all earlier rows in a total order, and the place from 0 where named.
+
+    Rows are sorted in ranges and cut once with their place in the range; ranges are shifted by the sums of
+    earlier ones, so no task holds all rows.
+    """
+    ranged = cut(df.orderBy(*order).withColumn("__at", F.monotonically_increasing_id())).withColumn("__p", F.shiftright("__at", 33))
+    wanted = {name: F.col(c) for name, c in sums.items()} | ({place: F.lit(1).cast("long")} if place else {})
+    per = ranged.groupBy("__p").agg(*[F.sum(x).alias(f"__t_{n}") for n, x in wanted.items()])
+    earlier = W.orderBy("__p").rowsBetween(W.unboundedPreceding, -1)  # one row a range
+    shift = per.select(F.col("__p").alias("__q"), *[F.coalesce(F.sum(f"__t_{n}").over(earlier), F.lit(0)).alias(f"__s_{n}") for n in wanted])
+    inside = W.partitionBy("__p").orderBy("__at").rowsBetween(W.unboundedPreceding, -1)
+    out = ranged.join(F.broadcast(shift), F.col("__p") == F.col("__q"))
+    out = out.withColumns({n: F.col(f"__s_{n}") + F.coalesce(F.sum(x).over(inside), F.lit(0)) for n, x in wanted.items()})
+    return out.select(*df.columns, *wanted)
+
+
 def dense_index(df: DataFrame, within: list[str], order: list[Column], name: str, rows_per_bucket: int = 2_500) -> DataFrame:
     """Number the rows from 0 without gaps in each group of the columns within.
 
-    Rows are dealt by hash into buckets, numbered there, and shifted by the rows of earlier buckets,
-    so a group of any size is spread over many tasks.  Equal rows may swap numbers.
+    Rows are dealt by hash into buckets, at most BUCKETS, numbered there, and shifted by the rows of earlier
+    buckets, so a group of any size is spread over many tasks.  Equal rows may swap numbers.
     """
     total = df.count()
-    n = max(1, -(-total // rows_per_bucket))
+    n = min(BUCKETS, max(1, -(-total // rows_per_bucket)))
     cols = df.columns
     dealt = df.withColumn("__b", F.pmod(F.xxhash64(F.lit(17), *order), F.lit(n)).cast("int"))
     keys = [*within, "__b"]
