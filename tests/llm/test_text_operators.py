@@ -127,11 +127,11 @@ def test_template_blocks_equal_brute_force(spark):
     assert got == want and len(want) > 10
 
 
-@pytest.mark.parametrize("n", [33, 34, 64, 65, 90])
+@pytest.mark.parametrize("n", [30, 33, 34, 60, 65, 66, 90, 300])
 def test_long_templates_and_phrases_wherever_they_stand(spark, n):
     """Beside a short template, whose blocks stay as they are."""
     t, short = [f"t{i}" for i in range(n)], "this is a short notice"
-    rows = [(k, " ".join(["foo"] * k + t + ["bar"] * 20)) for k in range(0, 2 * n, 7)] + [(-1, " ".join(t[: n // 2])), (-2, "this is " + "foo " * 70 + "a short notice")]
+    rows = [(k, " ".join(["foo"] * k + t + ["bar"] * 20)) for k in range(0, 2 * n, 7 if n < 100 else 41)] + [(-1, " ".join(t[: n // 2])), (-2, "this is " + "foo " * 70 + "a short notice")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = by_id(license_scan.scan(df, {"long": " ".join(t), "short": short}, {" ".join(t): "phrase"}))
     for k, _ in rows:
@@ -139,6 +139,20 @@ def test_long_templates_and_phrases_wherever_they_stand(spark, n):
         assert (r.labels, r.score, r.first_word, r.n_base) == (("long,phrase", 1.0, k, 1) if k >= 0 else ("", 0.0, None, 0))
 
 
+@pytest.mark.parametrize("label", ["apache-header", "bsd-text", "gpl-header", "isc-text", "mit-text"])
+def test_whole_license_texts_at_every_offset(spark, label):
+    """As a file has them, with a few words lost, and not where the text is about something else."""
+    text = license_scan.TEMPLATES[label]
+    rng = np.random.default_rng(3)
+    words = text.split()
+    damaged = " ".join(w for i, w in enumerate(words) if i % 40 != 7)
+    rows = [(k, "word " * k + text) for k in range(0, 300, 13)] + [(1000 + k, "word " * k + damaged + " end" * 99) for k in range(0, 300, 29)]
+    rows += [(-1, " ".join(rng.permutation(words)[: len(words) // 2])), (-2, "the software is provided to any person under the license " * 30)]
+    got = by_id(license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert all(label in got[k].labels.split(",") and got[k].score > 0.9 for k, _ in rows if k >= 0)
+    assert all(label not in got[k].labels.split(",") for k in (-1, -2))
+
+
 # 4: quality classifier
 
 

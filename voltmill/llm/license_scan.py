@@ -1,19 +1,20 @@
 """License scans (2): exact set-similarity join of text blocks with license templates.
 
-A block is a window of WINDOW words, a new one every STRIDE words, so any span of STRIDE + 1 words lies in
-one.  A template or phrase of more words has blocks of its own: as far apart as it has words less one, and
-twice as long.  A template is a set of words, a phrase a template that must be contained in full.  Words are ordered
+A block is a window of two strides, a new one every STRIDE words, so any span of STRIDE + 1 words lies in one.
+For templates and phrases of more words the stride is doubled until they fit, whatever their length.  A template is a set of words, a phrase a template that must be contained in full.  Words are ordered
 by their count over all documents, rare ones first; a block that contains at least the share `threshold` of
 a template has one of the template's first s - o + 1 words (prefix filter), at least o words (length filter),
 and enough words of the template from its first common one on (positional filter).  Blocks that pass are
 counted exactly.  Phrase blocks then go through an exact check for the words standing consecutively.
 
 Defined results: a null or empty text has no words, no labels and score 0; repeated rows and equal ids are
-scanned one by one; no table size or text length is special; extra columns are not read.
+scanned one by one; no table size or text length is special; an empty table gives no rows; extra columns are not
+read, whatever their names.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,10 +24,10 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 
-WINDOW, STRIDE, THRESHOLD = 64, 32, 0.9
+STRIDE, THRESHOLD = 32, 0.9
 #: Phrases and the labels of their places.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Notices as their licenses word them, and labels of this scan.
+#: Notices and whole texts as their licenses word them, and labels of this scan.
 TEMPLATES = {
     "apache-notice": "licensed under the apache license version 2 0",
     "apache-terms": "you may not use this file except in compliance with the license you may obtain a copy of the license at",
@@ -40,14 +41,58 @@ TEMPLATES = {
     "mit-terms": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
     "mpl-notice": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "rights-reserved": "all rights reserved no part may be reproduced without permission",
+    "apache-header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.
+        You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing,
+        software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+        See the License for the specific language governing permissions and limitations under the License.""",
+    "bsd-text": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+        1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+        2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation
+        and/or other materials provided with the distribution.
+        THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO,
+        THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS
+        BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE
+        GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT
+        LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
+    "gpl-header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by
+        the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it
+        will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General
+        Public License for more details. You should have received a copy of the GNU General Public License along with this program.""",
+    "isc-text": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above
+        copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD
+        TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
+        INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE
+        OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "mit-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"),
+        to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or
+        sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright
+        notice and this permission notice shall be included in all copies or substantial portions of the Software.
+        THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+        FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+        LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS
+        IN THE SOFTWARE.""",
 }
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a template, as documents have them."""
+    return _WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+
+
+def stride_of(n: int) -> int:
+    """Words between the blocks that hold any span of n words."""
+    stride = STRIDE
+    while n > stride + 1:
+        stride *= 2
+    return stride
 
 
 class Plan:
     """Templates over a vocabulary that is ordered by corpus counts."""
 
     def __init__(self, templates: dict[str, str], phrases: dict[str, str], threshold: float, counts: dict[str, int] | None = None):
-        rows = [(label, t.split(), threshold, False) for label, t in templates.items()] + [(label, p.split(), 1.0, True) for p, label in phrases.items()]
+        rows = [(label, words_of(t), threshold, False) for label, t in templates.items()] + [(label, words_of(p), 1.0, True) for p, label in phrases.items()]
         words = sorted({w for _, ws, _, _ in rows for w in ws}, key=lambda w: ((counts or {}).get(w, 0), w))
         self.words, self.rank = words, {w: i for i, w in enumerate(words)}
         data = "\n".join(words).encode()
@@ -63,7 +108,7 @@ class Plan:
             tokens = sorted({self.rank[w] for w in ws})
             need = max(1, int(np.ceil(share * len(tokens) - 1e-9)))
             self.rows.append((label, tokens, need, [self.rank[w] for w in ws] if whole else None))
-            of_stride = self.by_prefix.setdefault(max(STRIDE, len(ws) - 1), {})
+            of_stride = self.by_prefix.setdefault(stride_of(len(ws)), {})
             for r in tokens[: len(tokens) - need + 1]:
                 of_stride.setdefault(r, []).append(k)
         self.is_prefix = {stride: np.zeros(len(words) + 1, bool) for stride in self.by_prefix}
@@ -84,7 +129,7 @@ class Plan:
             pairs = np.unique(np.stack((np.concatenate((text, text)), np.concatenate((block, block - 1)))), axis=1)
             for d, k in pairs[:, pairs[1] >= 0].T.tolist():
                 a = first_word[d] + k * stride
-                b = min(a + (WINDOW if stride == STRIDE else 2 * stride), first_word[d + 1])
+                b = min(a + 2 * stride, first_word[d + 1])
                 here = ranks[a:b]
                 tokens = np.unique(here[here >= 0]).tolist()
                 own = set(tokens)

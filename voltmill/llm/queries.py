@@ -108,14 +108,15 @@ reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.a, both_
 """
 
 _N_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: A word range of blocks of 64 words, one every 32.
 _ALNUM = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_N_WORDS}')"
 
 
 def _license_sql() -> str:
-    from .license_scan import PHRASES, STRIDE, TEMPLATES, THRESHOLD, WINDOW
+    from .license_scan import PHRASES, TEMPLATES, THRESHOLD, stride_of, words_of
 
-    values = ", ".join(f"('{label}', '{w}')" for label, t in TEMPLATES.items() for w in sorted(set(t.split())))
+    words = {label: words_of(t) for label, t in TEMPLATES.items()}
+    values = ", ".join(f"('{label}', '{w}', {stride_of(len(ws))})" for label, ws in words.items() for w in sorted(set(ws)))
+    strides = ", ".join(f"({n})" for n in sorted({stride_of(len(ws)) for ws in words.values()}))
     spans = " UNION ALL ".join(
         f"SELECT r, '{label}' AS label, i - 1 AS at FROM w WHERE " + " AND ".join(f"x{k} = '{x}'" for k, x in enumerate(p.split())) for p, label in PHRASES.items()
     )
@@ -123,11 +124,11 @@ def _license_sql() -> str:
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_ALNUM} AS ws FROM documents),
 w AS (SELECT r, i, x AS x0, lead(x, 1) OVER q AS x1, lead(x, 2) OVER q AS x2 FROM (SELECT r, unnest(ws) AS x, generate_subscripts(ws, 1) AS i FROM d) WINDOW q AS (PARTITION BY r ORDER BY i)),
 places AS ({spans}),
-b AS (SELECT r, unnest(range(0, len(ws), {STRIDE})) AS a, ws FROM d),
-x AS (SELECT DISTINCT r, a, unnest(ws[a + 1:a + {WINDOW}]) AS t FROM b),
-v AS (SELECT * FROM (VALUES {values}) AS t(label, t)),
+v AS (SELECT * FROM (VALUES {values}) AS t(label, t, stride)),
+k AS (SELECT r, i - 1 AS i, x0 AS t FROM w WHERE x0 IN (SELECT t FROM v)),
+x AS (SELECT DISTINCT r, stride, i // stride - back AS a, t FROM k, (VALUES {strides}) AS s(stride), (VALUES (0), (1)) AS b(back) WHERE i // stride >= back),
 n AS (SELECT label, count(*) AS n FROM v GROUP BY 1),
-m AS (SELECT x.r, v.label, count(*)::DOUBLE / any_value(n.n) AS share FROM x JOIN v USING (t) JOIN n USING (label) GROUP BY x.r, x.a, v.label HAVING count(*) >= ceil({THRESHOLD} * any_value(n.n) - 1e-9)),
+m AS (SELECT x.r, v.label, count(*)::DOUBLE / any_value(n.n) AS share FROM x JOIN v USING (t, stride) JOIN n USING (label) GROUP BY x.r, x.a, v.label HAVING count(*) >= ceil({THRESHOLD} * any_value(n.n) - 1e-9)),
 a AS (SELECT r, label, share FROM m UNION ALL SELECT r, label, 1.0 FROM places)
 SELECT d.doc_id, len(d.ws) AS n_words, count(DISTINCT (p.at, p.label)) FILTER (WHERE p.at IS NOT NULL) AS n_base, min(p.at) AS first_word, max(p.at) AS last_word, coalesce(string_agg(DISTINCT p.label, ',' ORDER BY p.label), '') AS base_labels,
   coalesce((SELECT string_agg(DISTINCT a.label, ',' ORDER BY a.label) FROM a WHERE a.r = d.r), '') AS labels, coalesce((SELECT max(share) FROM a WHERE a.r = d.r), 0) AS score
