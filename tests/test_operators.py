@@ -330,3 +330,35 @@ def test_quarter_hour_counts_of_a_stream(spark, tmp_path):
     q = ingest.slot_counts(ingest.observations(spark, str(src))).writeStream.outputMode("complete").format("memory").queryName("slots").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r.slot.start.minute, r.n) for r in spark.table("slots").collect()) == [(0, 2), (15, 1)]
+
+
+def test_coordinates_that_survive(spark):
+    """A lone record, equal places, close ones by quality then key, and a spread over 50 m in a chain."""
+    rows = [
+        (1, 10, "b", 19.0, 72.0, 0.1), (2, 20, "b", 19.0, 72.0, 0.9), (2, 21, "a", 19.0, 72.0, 0.1), (3, 30, "a", 19.0, 72.0, 0.1), (3, 31, "b", 19.0001, 72.0, 0.9), (3, 32, "c", 19.0001, 72.0, 0.9),
+        (4, 40, "a", 19.0, 72.0, 0.9), (4, 41, "b", 19.0004, 72.0, 0.1), (4, 42, "c", 19.0008, 72.0, 0.1),
+    ]
+    from voltmill.operators import identity
+
+    df = spark.createDataFrame(rows, "cluster int, id int, key string, latitude double, longitude double, quality double")
+    got = {r.cluster: (r.strategy, r.coordinate_from, r.conflict) for r in identity.coordinate_survivors(df).collect()}
+    assert got == {1: ("SINGLE_REPORTING_SOURCE", 10, False), 2: ("UNANIMOUS_AGREEMENT", 21, False), 3: ("HIGHEST_QUALITY", 31, False), 4: ("CONFLICT_UNRESOLVED", None, True)}
+
+
+def test_a_dry_run_writes_nothing(spark):
+    from voltmill.operators import persistence
+
+    d = spark.createDataFrame([(1, "MERGE", None, False), (2, "LINK", "C", False), (3, "REVIEW", None, False), (4, "KEEP_SEPARATE", None, True), (5, "LINK", "C", False)], "cluster int, state string, canon_id string, blocked boolean")
+    m = spark.createDataFrame([(1, "s", "1", "h1", "One", 1, "2024-01-01", "busy"), (1, "t", "1", "h1", "One A", 1, None, None), (2, "s", "2", "h2", "Two", 1, None, None), (3, "s", "3", "h3", "x", 1, "2024-01-01", "busy"), (5, "s", "5", "h5", "y", 1, None, None)], "cluster int, source_id string, source_station_id string, payload_hash string, name string, connectors int, observed_at string, availability_status string")
+    links = spark.createDataFrame([("s", "5", "other", "h5", 1, "2023")], "source_id string, source_station_id string, station_id string, payload_hash string, connectors int, last_seen string")
+    stations = spark.createDataFrame([("C", "Canon", "2023"), ("other", "Other", "2023")], "station_id string, name string, updated_at string")
+    obs = spark.createDataFrame([], "station_id string, source_id string, payload_hash string, observed_at string, availability_status string")
+    dry = persistence.persist(d, m, stations, links, obs, F.lit("2024"), dry_run=True)
+    wet = persistence.persist(d, m, stations, links, obs, F.lit("2024"))
+    assert dry["counters"].collect() == wet["counters"].collect() and dry["counters"].first().asDict() == {"stations_persisted": 1, "stations_updated": 0, "stations_unchanged": 0, "stations_linked": 1, "records_review_skipped": 1, "records_blocked": 1, "failed": 1, "observations_persisted": 1}
+    assert dry["stations"].count() == 2 and dry["links"].count() == 1 and dry["observations"].count() == 0
+    assert sorted(tuple(r) for r in wet["stations"].collect()) == [("C", "Two", "2024"), ("other", "Other", "2023"), ("station-1", "One A", "2024")]
+    assert sorted((r.source_id, r.source_station_id, r.station_id, r.last_seen) for r in wet["links"].collect()) == [("s", "1", "station-1", "2024"), ("s", "2", "C", "2024"), ("s", "5", "other", "2023"), ("t", "1", "station-1", "2024")]
+    assert [r.cluster for r in wet["rejects"].collect()] == [5] and wet["observations"].count() == 1
+    again = persistence.persist(d, m, wet["stations"], wet["links"], wet["observations"], F.lit("2025"))
+    assert again["counters"].first().stations_unchanged == 2 and again["counters"].first().observations_persisted == 0 and sorted(tuple(r) for r in again["stations"].collect()) == sorted(tuple(r) for r in wet["stations"].collect())

@@ -69,6 +69,36 @@ def evaluate(facts: DataFrame, as_of: Column) -> DataFrame:
     return facts.withColumns({"basis": basis, "state": state, "age_s": age, "decay_score": score, "is_future": future})
 
 
+def live_usable(state: Column) -> Column:
+    """Whether a fact may be shown as live: fresh or aging, never stale or unknown."""
+    return F.coalesce(state.isin("FRESH", "AGING"), F.lit(False))
+
+
+def record_facets(spark: SparkSession, records: DataFrame, as_of: Column) -> DataFrame:
+    """Freshness of each record's live observation and of its profile, one not touching the other.
+
+    records has source, observed_s, date_last_status_update and date_created (texts), retrieved_s; the profile's
+    time is the first of the two texts that is filled in, where it can be read.  Adds live_state, live_age_s,
+    has_live, live_usable, profile_state, profile_basis and profile_age_s; a record without observation has no live state.
+    """
+    none, no_s = F.lit(None).cast("string"), F.lit(None).cast("double")
+    keep = records.columns
+    base = records.withColumn("__n", F.struct(*keep)).withColumn("policy_name", none)
+
+    def facet(kind: str, observed: Column, changed: Column, retrieved: Column, prefix: str, before: DataFrame, carry: list[str]) -> DataFrame:
+        facts = before.select("__n", "policy_name", "source", *carry, F.lit(kind).alias("information_type"), observed.alias("observed_s"), changed.alias("updated_s"), retrieved.alias("retrieved_s"))
+        x = evaluate(resolve_policy(spark, facts), as_of)
+        return x.select("__n", "policy_name", "source", *carry, F.col("state").alias(f"{prefix}_state"), F.col("age_s").alias(f"{prefix}_age_s"), F.col("basis").alias(f"{prefix}_basis"))
+
+    n = lambda c: F.col("__n")[c]
+    live = facet("live_telemetry", n("observed_s").cast("double"), no_s, no_s, "live", base, [])
+    done = ["live_state", "live_age_s", "live_basis"]
+    changed = F.unix_micros(F.coalesce(F.nullif(n("date_last_status_update"), F.lit("")), F.nullif(n("date_created"), F.lit(""))).try_cast("timestamp")) / 1e6
+    both = facet("static_metadata", no_s, changed, n("retrieved_s").cast("double"), "profile", live, done)
+    has = n("observed_s").isNotNull()
+    return both.select("__n.*", has.alias("has_live"), F.when(has, F.col("live_state")).alias("live_state"), F.when(has, F.col("live_age_s")).alias("live_age_s"), (has & live_usable(F.col("live_state"))).alias("live_usable"), "profile_state", "profile_basis", "profile_age_s")
+
+
 def bucket(minutes: Column, stale_after: float = 120) -> Column:
     """The coarse state of list views: fresh to 30 minutes, aging, stale; negative or missing is unknown."""
     return F.when(minutes.isNull() | (minutes < 0), "unknown").when(minutes <= 30, "fresh").when(minutes <= stale_after, "aging").otherwise("stale")
