@@ -164,7 +164,7 @@ def heavy_shingles(texts: DataFrame, bits: int, most: int) -> np.ndarray:
         k = (np.int64(t["part"][0].as_py()) << np.int64(32)) | key[order][head][often].astype(np.int64)
         return pa.table({"key": k, "df": total[often]})
 
-    counted = texts.mapInArrow(count, "part int, keys binary, counts binary").groupBy("part").applyInArrow(add, "key long, df long")
+    counted = texts.mapInArrow(K.tidy(count), "part int, keys binary, counts binary").groupBy("part").applyInArrow(add, "key long, df long")
     top = counted.orderBy(F.desc("df"), "key").limit(most).toArrow()
     return np.sort(top["key"].to_numpy().astype(np.uint64))
 
@@ -215,7 +215,7 @@ def documents_and_leaders(docs: DataFrame, heavy, bits: int) -> DataFrame:
                 ["doc_id", "class", "mark", "n", "key", "map"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, class long, mark long, n int, key long, map binary")
+    return docs.mapInArrow(K.tidy(run), "doc_id long, class long, mark long, n int, key long, map binary")
 
 
 def _dealt(rows: list[tuple[int, int, int]], bits: int) -> list[pa.Array]:
@@ -294,7 +294,7 @@ def members(texts: DataFrame, heavy, leaders, renamed, bits: int) -> DataFrame:
         both = np.unique(np.stack((b, c, n.astype(np.int64))), axis=1)
         return pa.table({"bucket": both[0], "class": both[1], "n": both[2]})
 
-    blobs = texts.mapInArrow(emit, "part int, keys binary, at binary, classes binary, sizes binary")
+    blobs = texts.mapInArrow(K.tidy(emit), "part int, keys binary, at binary, classes binary, sizes binary")
     return blobs.groupBy("part").applyInArrow(gather, "bucket long, class long, n long").distinct()
 
 
@@ -528,7 +528,7 @@ def _join_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _links(rows: DataFrame) -> DataFrame:
     """Join units of rows (bucket, block, probe, label, class, set)."""
     dealt = rows.repartition(parts(rows), "bucket", "block").sortWithinPartitions("bucket", "block", "probe", "class")
-    return dealt.mapInArrow(_join_units, "a long, b long")
+    return dealt.mapInArrow(K.tidy(_join_units), "a long, b long")
 
 
 def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -594,7 +594,7 @@ def link_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame, dict[int, dic
     fits = F.col("tokens") <= F.lit(32 * UNIT_TOKENS)
     one = sets_of.where("n > 0").select("class", "map").groupBy("class").agg(F.min("map").alias("map"))
     small = member.where(fits).select("bucket", "class", "n").join(one, "class")
-    small = small.repartition(parts(docs), "bucket").sortWithinPartitions("bucket", "class").mapInArrow(_prune, "bucket long, class long, n long")
+    small = small.repartition(parts(docs), "bucket").sortWithinPartitions("bucket", "class").mapInArrow(K.tidy(_prune), "bucket long, class long, n long")
     member = cut(small.union(member.where(~fits).select("bucket", "class", F.col("n").cast("long"))))
 
     # Of each class that is left one text is read again; its set is kept.
@@ -614,7 +614,7 @@ def link_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame, dict[int, dic
                     sets.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(sets, pa.binary())], ["class", "set"])
 
-    sets = cut(again.mapInArrow(encode, "class long, set binary"))
+    sets = cut(again.mapInArrow(K.tidy(encode), "class long, set binary"))
     weight = member.groupBy("bucket").agg(F.sum("n").alias("tokens")).select("bucket", F.ceil(F.col("tokens") / F.lit(UNIT_TOKENS)).cast("int").alias("blocks"))
     member = cut(member.join(weight, "bucket").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")))
 

@@ -28,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import mix64
+from .kernels import mix64, tidy
 from .shared import fields, named
 
 DROPOUT, SEED = 0.1, 1234
-CHUNK_CHARS = 1 << 19
+CHUNK_CHARS = 1 << 17
 LONG_UNIT = 256
 _SPACE = 0x20
 _NEVER = np.iinfo(np.int64).max
@@ -428,5 +428,5 @@ def encode_documents(docs: DataFrame, model_path: str | None = None, keep: tuple
                 yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(kept))] + [lists, pa.array(np.diff(bounds)), pa.array(same)], [*kept, "ids", "n_ids", "lossless"])
 
     own = fields(source.select(*kept).schema)
-    out = source.mapInArrow(run, ", ".join(x for x in (own, "ids array<int>, n_ids long, lossless boolean") if x))
+    out = source.mapInArrow(tidy(run), ", ".join(x for x in (own, "ids array<int>, n_ids long, lossless boolean") if x))
     return out.toDF(*names, "ids", "n_ids", "lossless")

@@ -97,4 +97,4 @@ def annotate(docs: DataFrame, text_col: str = "text", keep: list[str] | None = N
             yield pa.RecordBatch.from_arrays(arrays, numbers + names)
 
     schema = ", ".join(x for x in (fields(source.drop("t").schema), "" if only_kept else ", ".join(added)) if x)
-    return source.mapInArrow(run, schema).toDF(*own, *([] if only_kept else names))
+    return source.mapInArrow(K.tidy(run), schema).toDF(*own, *([] if only_kept else names))
