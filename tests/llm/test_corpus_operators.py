@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -168,6 +169,21 @@ def test_unit_links_every_pair(seed):
     assert roots(cross) == roots([(i, j) for i, j in true if (i < half) != (j < half)])
 
 
+def test_units_give_stars():
+    """Each linked class, or label, once with the least one of its component in the unit."""
+    base = np.arange(100, 200, dtype=np.uint64)
+    sets = {-5: base, 3: base[:-1], 8: base[1:], 20: base + np.uint64(1000), 21: base[:-2] + np.uint64(1000), 40: base + np.uint64(5000)}
+
+    def stars(rows):
+        cols = zip(*[(1, 0, probe, label, c, sets[c].tobytes()) for c, label, probe in rows], strict=True)
+        batch = pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["bucket", "block", "probe", "label", "class", "set"])
+        return sorted(tuple(r.values()) for out in ngram_join._join_units(iter([batch])) for r in out.to_pylist())
+
+    assert stars([(c, None, False) for c in sets]) == [(3, -5), (8, -5), (21, 20)]
+    # Base rows of labels 7 and 9, probes of labels 2 and 4; 40 links with nothing.
+    assert stars([(-5, 9, False), (20, 7, False), (3, 2, True), (8, 2, True), (21, 4, True), (40, 40, True)]) == [(7, 4), (9, 2)]
+
+
 # 9: exact dedup
 
 

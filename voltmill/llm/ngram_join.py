@@ -513,20 +513,22 @@ def _by_unit(batches: Iterator[pa.RecordBatch], key: tuple[str, ...]) -> Iterato
 
 
 def _join_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each unit's links as pairs of classes; bases come before probes."""
+    """Each unit's components as stars: every class, or label where given, with the least one linked to it.  Bases come before probes."""
     for rows in _by_unit(batches, ("bucket", "block")):
         if len(rows) < 2:
             continue
-        sets = [np.frombuffer(r["set"], np.uint64) for r in rows]
-        label = np.array([r["label"] for r in rows]) if rows[0]["label"] is not None else None
-        found = Unit(sets, label, None if label is None else sum(not r["probe"] for r in rows)).join()
-        if found:
-            c = [r["class"] for r in rows]
-            yield pa.RecordBatch.from_arrays([pa.array([c[i] for i, _ in found], pa.int64()), pa.array([c[j] for _, j in found], pa.int64())], ["a", "b"])
+        label = np.array([r["label"] for r in rows], np.int64) if rows[0]["label"] is not None else None
+        unit = Unit([np.frombuffer(r["set"], np.uint64) for r in rows], label, None if label is None else sum(not r["probe"] for r in rows))
+        if unit.join():
+            name = np.array([r["class"] for r in rows], np.int64) if label is None else label
+            least = name.copy()
+            np.minimum.at(least, unit.root, name)
+            star = np.unique(np.stack([name, least[unit.root]], 1)[name != least[unit.root]], axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(star[:, 0]), pa.array(star[:, 1])], ["a", "b"])
 
 
 def _links(rows: DataFrame) -> DataFrame:
-    """Join units of rows (bucket, block, probe, label, class, set)."""
+    """Stars (a, b) of the units of rows (bucket, block, probe, label, class, set)."""
     dealt = rows.repartition(parts(rows), "bucket", "block").sortWithinPartitions("bucket", "block", "probe", "class")
     return dealt.mapInArrow(K.tidy(_join_units), "a long, b long")
 
@@ -565,7 +567,10 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def link_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame, dict[int, dict[int, int]]]:
-    """Documents (doc_id, class, n), the components (node, root) of linked classes, and renamed classes, of docs (doc_id, text)."""
+    """Documents (doc_id, class, n), the components (node, root) of linked classes, and renamed classes, of docs (doc_id, text).
+
+    A class that is its component's root may be missing from the components.
+    """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = docs.select("text")
@@ -621,8 +626,8 @@ def link_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame, dict[int, dic
     # First each set in one of its buckets only; then buckets that still hold several components, in full.
     home = member.groupBy("class").agg(F.min(F.struct("bucket", "block")).alias("h")).select("class", "h.*")
     first = home.select("bucket", "block", F.lit(False).alias("probe"), F.lit(None).cast("long").alias("label"), "class")
-    links = cut(_links(first.join(sets, "class")))
-    reach = components(links)
+    # Those units share no class, so their stars are whole components.
+    reach = cut(_links(first.join(sets, "class"))).toDF("node", "root")
     labelled = member.join(reach.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("label", F.coalesce("root", "class")).drop("root")
     sides = labelled.groupBy("bucket", "label").agg(F.count("*").alias("m")).groupBy("bucket").agg(F.max_by("label", F.struct("m", "label")).alias("main"), F.count("*").alias("sides"))
     labelled = cut(labelled.join(sides.where("sides > 1"), "bucket"))
@@ -630,7 +635,12 @@ def link_documents(docs: DataFrame) -> tuple[DataFrame, DataFrame, dict[int, dic
     blocks = F.sequence(F.lit(0), F.col("blocks") - 1)
     probes = labelled.where("label <> main").select("bucket", F.explode(blocks).alias("block"), F.lit(True).alias("probe"), "label", "class")
     more = cut(_links(base.union(probes).join(sets, "class")))
-    return table, (reach if more.isEmpty() else components(links.union(more))), new
+    if more.isEmpty():
+        return table, reach, new
+    # Labels that met are joined in a graph of labels only; members follow their label.
+    merged = components(more)
+    moved = reach.join(merged.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return table, cut(moved.union(merged)), new
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
