@@ -31,7 +31,7 @@ def kept(spark):
     return sum(os.path.getsize(os.path.join(p, f)) for p, _, names in os.walk(top) for f in names) if top else 0
 
 
-@pytest.mark.parametrize("name", ["dd_02_08_decisions", "dd_09_12_field_survivors", "dd_09_coordinates", "ext_04_09_written_status", "ext_14_rerun_changes_nothing", "dd_13_connector_conflicts", "dd_13_connector_inventory"])
+@pytest.mark.parametrize("name", ["dd_02_08_decisions", "dd_09_12_field_survivors", "dd_09_coordinates", "ext_04_09_written_status", "ext_14_rerun_changes_nothing", "ext_14_run_accounting", "dd_13_connector_conflicts", "dd_13_connector_inventory"])
 def test_pairs_of_a_crowded_place_are_not_kept(spark, crowd, name):
     was = kept(spark)
     df = registry.QUERIES[name](spark, crowd)
