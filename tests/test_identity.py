@@ -92,7 +92,7 @@ def shuffled(spark, since=-1):
     return max((x.stageId() for x in stages), default=-1), sum(x.shuffleWriteBytes() for x in stages if x.stageId() > since)
 
 
-@pytest.mark.parametrize(("name", "most"), [("ext_04_09_written_status", 270), ("ext_14_rerun_changes_nothing", 300)])
+@pytest.mark.parametrize(("name", "most"), [("ext_04_09_written_status", 270), ("ext_14_rerun_changes_nothing", 300), ("ext_14_run_accounting", 400)])
 def test_sites_are_dealt_out_once(spark, copies, name, most):
     since, _ = shuffled(spark)
     was, small = kept(spark), "spark.sql.autoBroadcastJoinThreshold"

@@ -22,10 +22,11 @@ def _box(lat: Column, lon: Column, b: tuple[float, float, float, float]) -> Colu
     return lat.between(b[0], b[1]) & lon.between(b[2], b[3])
 
 
-def station_rules(as_of_offset_s: Column) -> list[tuple[str, str, Column]]:
+def station_rules(as_of_offset_s: Column, bare: Column | None = None) -> list[tuple[str, str, Column]]:
     """(rule, bucket, holds) over station columns: E rejects, Q quarantines, W warns, I only informs.
 
-    as_of_offset_s is the observation's age in seconds, negative in the future.
+    as_of_offset_s is the observation's age in seconds, negative in the future; bare is whether a station has no
+    connectors, by default whether its array of them is empty.
     """
     c = F.col
     blank = lambda x: F.coalesce(F.trim(c(x)), F.lit("")) == ""
@@ -51,7 +52,7 @@ def station_rules(as_of_offset_s: Column) -> list[tuple[str, str, Column]]:
         ("DQ-ADDR-002", "W", F.coalesce((c("postal_code") != "") & india & ~F.trim("postal_code").rlike("^[1-9][0-9]{5}$"), F.lit(False))),
         ("DQ-HOURS-001", "W", day & ((F.coalesce("opening_time", F.lit("")) != "") | (F.coalesce("closing_time", F.lit("")) != ""))),
         ("DQ-HOURS-003", "Q", day & closed), ("DQ-HOURS-002", "E", not_day & bad_time("opening_time")), ("DQ-HOURS-002", "E", not_day & bad_time("closing_time")),
-        ("DQ-CONN-001", "W", F.size("connectors") == 0),
+        ("DQ-CONN-001", "W", F.size("connectors") == 0 if bare is None else bare),
         ("DQ-OBS-001", "E", F.coalesce(as_of_offset_s < -300, F.lit(False))), ("DQ-OBS-002", "W", F.coalesce(as_of_offset_s > 86400, F.lit(False))),
         ("DQ-OBS-003", "E", F.coalesce(c("observed_available") > c("observed_total"), F.lit(False))),
     ]
@@ -88,6 +89,27 @@ def validate_records(stations: DataFrame, age_s: Column) -> DataFrame:
     return x.withColumn("outcome", outcome).withColumn("quality_score", quality_score(has("E")))
 
 
+#: Outcomes by the gravest bucket.
+OUTCOMES = {"E": "REJECT", "Q": "QUARANTINE", "W": "ACCEPT_WITH_WARNINGS"}
+
+
+def _level(rules: list[tuple[str, str, Column]]) -> Column:
+    """The gravest bucket of the rules that hold: 3 for E, 2 for Q, 1 for W, else 0."""
+    grave = {b: len(OUTCOMES) - i for i, b in enumerate(OUTCOMES)}
+    return F.greatest(F.lit(0), F.lit(0), *[F.when(holds, F.lit(grave[bucket])) for _, bucket, holds in rules if bucket in grave])
+
+
+def record_outcomes(stations: DataFrame, connectors: DataFrame, age_s: Column, key: str = "k") -> DataFrame:
+    """(key, outcome) as by validate_records, with connectors as rows of their own: they are summed up, not gathered."""
+    worst = connectors.groupBy(key).agg(F.max(_level(connector_rules(F.struct(*[c for c in connectors.columns if c != key])))).alias("worst"))
+    own = stations.select(key, *[_level(station_rules(age_s, F.lit(bare))).alias(name) for name, bare in (("own", False), ("bare", True))])
+    level = F.when(F.col("worst").isNull(), F.col("bare")).otherwise(F.greatest("own", "worst"))
+    outcome = F.lit("ACCEPT")
+    for i, o in enumerate(reversed(OUTCOMES.values()), 1):
+        outcome = F.when(level == i, o).otherwise(outcome)
+    return own.join(worst, key, "left").select(key, outcome.alias("outcome"))
+
+
 def quality_score(rejected: Column) -> Column:
     """Completeness less 0.04 a warning (0.20 at most), between 0.1 and 1, to two places; 0 for rejected records."""
     c = F.col
